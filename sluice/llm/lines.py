@@ -119,10 +119,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
         rows = []
         for k, text, wanted in _columns(batch, "k", "text", "wanted"):
-            wanted = set(wanted)
-            for bare, a, b, chunk in eligible(text):
-                if a in wanted:
-                    rows.append((k, a, b, *_hashed(chunk), chunk, bare[max(0, a - CONTEXT) : a], bare[b : b + CONTEXT]))
+            first = {w["at"]: w["first"] for w in wanted}
+            found = [c for c in eligible(text) if c[1] in first]
+            ends = {c[2] for c in found}
+            for bare, a, b, chunk in found:
+                # a repeated chunk beside this one stands for itself; what others are compared with has all
+                before = bare[max(0, a - CONTEXT) : a] if first[a] or a not in ends else []
+                after = bare[b : b + CONTEXT] if first[a] or b not in first else []
+                rows.append((k, a, b, *_hashed(chunk), chunk, before, after))
         yield _table(rows, _CHUNK_KINDS)
 
 
@@ -181,7 +185,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", "k", "at")
     firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f <> g")
     firsts = written(firsts.select("h1", "h2", F.col("f.k").alias("fk"), F.col("f.at").alias("f_at")), "firsts")
-    wanted = places.join(firsts, ["h1", "h2"]).groupBy("k").agg(F.collect_set("at").alias("wanted"))
+    wanted = places.join(firsts, ["h1", "h2"]).withColumn("first", (F.col("k") == F.col("fk")) & (F.col("at") == F.col("f_at")))
+    wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
     schema = "k long, at int, end int, h1 long, h2 long, chunk binary, before array<binary>, after array<binary>"
     repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
     heads = repeats.join(firsts, ["h1", "h2"]).where("k = fk and at = f_at").dropDuplicates(["h1", "h2"])
