@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from sluice.llm import embeddings_classifier, jaccard, licenses, lines, mixing, packing, quality_rules, sharding, warc
+import corpus_pipeline
+from sluice.llm import embeddings_classifier, hnsw, jaccard, licenses, lines, mixing, packing, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op2_license_scan": licenses.query,
     "op3_ngram_jaccard_join": jaccard.query,
+    "op4_hnsw_neighbours": hnsw.query,
     "op5_packing": packing.query,
     "op6_virtual_slots": sharding.query,
     "op7_line_chunks": lines.query,
     "op8_sainte_lague_mix": mixing.query,
     "op9_subword_quality": embeddings_classifier.query,
     "op10_quality_rules": quality_rules.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE}

@@ -127,9 +127,7 @@ def _judge(model: Broadcast, threshold: float):
             counts = base_counts(data, bounds)
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
             score = sigmoid(factor * table_means(data, bounds, weights) + bias)
-            others = [x for x in batch.schema.names if x not in ("judged_text", "text")]
-            columns = {x: batch.column(batch.schema.get_field_index(x)) for x in others}
-            columns["text"] = batch.column(batch.schema.get_field_index("text"))
+            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             columns |= {k: pa.array(counts[k], pa.int64()) for k in COUNTS} | {"base_failed": pa.array(failed), "kept": pa.array(~failed & (score >= threshold)), "probability": pa.array(score)}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -137,11 +135,16 @@ def _judge(model: Broadcast, threshold: float):
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text, base counts, base_failed, kept and probability for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """``docs`` (doc_id, text, others) with base counts, base_failed, kept and probability.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop(*COUNTS, "base_failed", "kept", "probability").withColumn("text", F.col("text").cast("string"))
     model = fitted(docs, labels, train)
-    return docs.mapInArrow(_judge(model, threshold), f"doc_id long, text string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, probability double")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} long" for c in COUNTS]
+    return docs.mapInArrow(_judge(model, threshold), ", ".join([*kinds, "base_failed boolean, kept boolean, probability double"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
