@@ -36,9 +36,13 @@ def sample_verdicts(lines: DataFrame, sample_bytes: int = Limits().sample_bytes)
 def file_gate(imports: DataFrame, files: DataFrame, samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``imports`` (original_filename, path) with ``reason``: null where the file may be read.
 
-    files: path, length; samples: see ``sample_verdicts``.
+    files: path, length; samples: see ``sample_verdicts``. Spark's readers leave files
+    without bytes out, so a file that isn't found counts as empty where the import
+    recorded its size (source_size_bytes) as 0, else as missing.
     """
     joined = imports.join(files, "path", "left").join(samples, "path", "left")
+    if "source_size_bytes" in imports.columns:
+        joined = joined.withColumn("length", F.coalesce("length", F.when(F.col("source_size_bytes") == 0, F.lit(0))))
     reason = (
         F.when(ascii_lower(extension(F.col("original_filename"))) != "csv", F.lit("it is not a .csv file"))
         .when(F.col("length").isNull(), F.lit("the uploaded file is missing"))
