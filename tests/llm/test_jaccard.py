@@ -1,0 +1,84 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from samples import COLUMNS, WORDS, documents, frame
+
+from sluice.llm import jaccard, shared
+from sluice.llm.jaccard import near_duplicates
+
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows):
+    """(doc_id, n_shingles, component_id, n_links) of every row, by all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i)), links[i]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
+
+
+def test_equals_all_pairs(spark):
+    rows = documents()
+    want = brute([(r[0], r[1]) for r in rows])
+    assert got(near_duplicates(frame(spark, clashes=True))) == want
+    assert len({r[2] for r in want}) < len(want) - 10
+
+
+def test_large_components_are_cut_into_parts(spark, monkeypatch):
+    draw = random.Random(8)
+    base = [draw.choice(WORDS) + str(i) for i in range(120)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(draw.randint(0, 5)):
+            words[draw.randrange(120)] = f"new{draw.random()}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    monkeypatch.setattr(jaccard, "PART_CLASSES", 9)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 9000)
+    monkeypatch.setattr(jaccard, "RANGE_TOKENS", 2000)
+    assert got(near_duplicates(frame(spark, rows))) == brute([r[:2] for r in rows])
+
+
+def test_no_rows(spark):
+    assert near_duplicates(spark.createDataFrame([], COLUMNS)).count() == 0
+    assert got(near_duplicates(spark.createDataFrame([(1, None, None, None, None)], COLUMNS))) == [(1, 0, 1, 0)]
+
+
+def test_words_and_hashes_of_blocks():
+    texts = ["a  b\tc", "", None, "é ü\n", "  ", "one", "x y z u v w x y z u v"]
+    data, bounds = shared.text_bounds(pa.array(texts).slice(1).slice(0))
+    words = shared.split_words(data, bounds)
+    assert words.counts.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts[1:]]
+    hashes, ends = shared.shingle_hashes(words)
+    sets, cuts = shared.shingle_sets(words)
+    assert np.diff(ends).tolist() == [0, 0, 1, 0, 1, 7] and np.diff(cuts).tolist() == [0, 0, 1, 0, 1, 6]
+    # equal words give equal hashes wherever they stand
+    data, bounds = shared.text_bounds(pa.array(["q q w e r t y", "zz q w e r t"]))
+    hashes, ends = shared.shingle_hashes(shared.split_words(data, bounds))
+    assert hashes[1] == hashes[ends[1] + 1] and len(set(hashes.tolist())) == 4
