@@ -1,16 +1,18 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A text is cut into line units: at ``\\n``, inside a line after a sentence, and inside
-an overlong sentence after words that their own hash names. A rolling hash over the
-hashes of the last two units decides where a chunk ends, so two texts that share a
-passage fall into step inside it, whatever stands before it there.
-
-Chunks of two or more units and at least ``LEAST_WORDS`` words count globally by their
-128-bit hash. One that occurs in several places is compared byte by byte with its
-first place (smallest doc_id, then place in the text); if equal, it is removed,
-along with the units next to it as far as they equal the units next to the first
-place, byte by byte too. The first place always stays, and a text loses nothing
-that doesn't stand elsewhere; texts without repeats come out unchanged.
+A text is cut into line units: at line ends, inside a line after a word that ends in
+punctuation, and inside a unit that is still long after words that their own hash
+names. A rolling hash over the hashes of the last units decides where a chunk ends:
+where it is lower than at the units before and after. As that depends on these units
+alone, texts that share a passage fall into step inside it, whatever stands before.
+
+Chunks of two or more units count globally by a 128-bit hash of their bytes. One that
+occurs in several places is compared byte by byte with its first place (smallest
+doc_id, then place in the text). If equal, it is marked, along with the units next
+to it as far as they equal the ones next to the first place, byte by byte too.
+Marked units that stand together are removed if they have ``PASSAGE_WORDS`` words or
+more; a shorter repeat is common speech. The first place always stays, and texts
+without repeats come out unchanged.
 
 Null and empty texts have no units and stay as they are. Rows equal in doc_id and
 text count as one text (all keep or lose the same units); a null doc_id counts as
@@ -19,86 +21,97 @@ larger than any other. Other columns are carried along.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import mix, small_batches, written
+from sluice.llm.shared import blocks, mix, small_batches, span_hashes, split_words, text_bounds, written
 
-LEAST_WORDS = 10
-#: One unit in so many ends a chunk; a chunk has at most so many units.
-CHUNK_UNITS, MOST_UNITS = 2, 12
+#: Words of a chunk that counts, and of a passage that is removed.
+CHUNK_WORDS, PASSAGE_WORDS = 5, 20
+#: Units whose hashes the rolling hash covers.
+ROLLED = 2
 #: A unit of more words is cut further, after one word in so many.
-LONG_WORDS, CUT_WORDS = 40, 8
+LONG_WORDS, CUT_WORDS = 6, 4
 #: Units on either side of a repeated chunk that may go with it.
-CONTEXT = 6
+CONTEXT = 12
 
 _U = np.uint64
-_UNIT = re.compile(rb"[^\n.!?]*(?:[.!?]+(?![ \t.!?])[^\n.!?]*)*(?:[.!?]+[ \t]+|\n|\Z)")
-_WORD = re.compile(rb"\s*\S+\s*")
-
-
-def units_of(text: bytes) -> list[bytes]:
-    """Line units of a text, end to end, white space after a unit included."""
-    out = []
-    for unit in _UNIT.findall(text):
-        if not unit:
-            continue
-        if unit.count(b" ") > LONG_WORDS:
-            at = last = 0
-            for m in _WORD.finditer(unit):
-                at += 1
-                if zlib.crc32(m[0].strip()) % CUT_WORDS == 0 and at >= CUT_WORDS:
-                    out.append(unit[last : m.end()])
-                    last, at = m.end(), 0
-            if last < len(unit):
-                out.append(unit[last:])
-        else:
-            out.append(unit)
-    return out
-
-
-def chunks_of(bare: list[bytes]) -> list[tuple[int, int]]:
-    """Content-defined chunks [first, last + 1) of the units, given without outer white space."""
-    if not bare:
-        return []
-    h = np.array([xxhash.xxh3_64_intdigest(u) for u in bare], dtype=_U)
-    rolled = mix(h + np.concatenate([[_U(0)], h[:-1] * _U(0x9E3779B97F4A7C15)]))
-    ends = (np.flatnonzero(rolled % _U(CHUNK_UNITS) == 0) + 1).tolist()
-    if not ends or ends[-1] != len(bare):
-        ends.append(len(bare))
-    out, first = [], 0
-    for end in ends:
-        while end - first > MOST_UNITS:
-            out.append((first, first + MOST_UNITS))
-            first += MOST_UNITS
-        out.append((first, end))
-        first = end
-    return out
-
-
-def eligible(text: str | None) -> Iterator[tuple[list[bytes], int, int, bytes]]:
-    """The chunks of a text that count: all bare units, first, last + 1, bytes."""
-    bare = [u.strip() for u in units_of((text or "").encode())]
-    for a, b in chunks_of(bare):
-        if b - a >= 2:
-            chunk = b"\n".join(bare[a:b])
-            if chunk.count(b" ") + b - a >= LEAST_WORDS:
-                yield bare, a, b, chunk
+_ROLL = _U(0x9E3779B97F4A7C15)
+_SALT = 7
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".!?,;:")] = True
+
+
+@dataclass
+class Units:
+    """Units and chunks of a block of texts; bounds by document have n + 1 values."""
+
+    start: np.ndarray  # first byte of each unit's first word
+    end: np.ndarray  # last + 1 byte of its last word
+    words: np.ndarray  # how many words
+    bounds: np.ndarray
+    first: np.ndarray  # first unit of each chunk, within its document
+    last: np.ndarray
+    chunk_bounds: np.ndarray
+    eligible: np.ndarray
+
+
+def units_of(data: np.ndarray, bounds: np.ndarray) -> Units:
+    words = split_words(data, bounds)
+    n, none = len(words.start), np.zeros(0, np.int64)
+    if not n:
+        zero = np.zeros(len(bounds), np.int64)
+        return Units(none, none, none, zero, none, none, zero, np.zeros(0, dtype=bool))
+    doc = np.repeat(np.arange(len(bounds) - 1), words.counts)
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    stop = _STOP[data[words.end - 1]]
+    stop[:-1] |= (lines[words.start[1:]] > lines[words.end[:-1]]) | (doc[1:] != doc[:-1])
+    stop[-1] = True
+    size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
+    stop |= (np.repeat(size, size) > LONG_WORDS) & (words.hashes % _U(CUT_WORDS) == 0)
+    last = np.flatnonzero(stop)
+    first = np.concatenate([[0], last[:-1] + 1])
+    start, end, of = words.start[first], words.end[last], doc[first]
+    h = span_hashes(data, start, end)
+    rolled = h.copy()
+    for k in range(1, ROLLED):
+        rolled[k:] = rolled[k:] * _ROLL + np.where(of[k:] == of[:-k], h[:-k], _U(0))
+    rolled = mix(rolled)
+    low = np.ones(len(h), dtype=bool)
+    apart = of[1:] != of[:-1]
+    low[1:] &= (rolled[1:] < rolled[:-1]) | apart
+    low[:-1] &= (rolled[:-1] <= rolled[1:]) | apart
+    low[:-1] |= apart
+    low[-1] = True
+    unit_bounds = np.searchsorted(of, np.arange(len(bounds)))
+    c_last = np.flatnonzero(low) + 1
+    c_first = np.concatenate([[0], c_last[:-1]])
+    c_doc = of[c_first]
+    count = last - first + 1
+    total = np.concatenate([[0], np.cumsum(count)])
+    good = (c_last - c_first >= 2) & (total[c_last] - total[c_first] >= CHUNK_WORDS)
+    base = unit_bounds[c_doc]
+    return Units(start, end, count, unit_bounds, c_first - base, c_last - base, np.searchsorted(c_doc, np.arange(len(bounds))), good)
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Units]]:
+    """First row, bytes, offsets and units of each block of texts."""
+    data, bounds = text_bounds(column)
+    for first, _, part, at in blocks(data, bounds):
+        yield first, part, at, units_of(part, at)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
-
-
-def _hashed(chunk: bytes) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(chunk), np.int64).tolist())  # type: ignore[return-value]
+    return zip(*(_column(batch, c).to_pylist() for c in names), strict=True)
 
 
 def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -106,38 +119,57 @@ def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"doc": pa.int64(), "k": pa.int64(), "at": pa.int32(), "h1": pa.int64(), "h2": pa.int64()}
+def _chunk_hashes(part: np.ndarray, u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and both hash halves of the chunks named by their index."""
+    doc = np.searchsorted(u.chunk_bounds, which, "right") - 1
+    start, end = u.start[u.bounds[doc] + u.first[which]], u.end[u.bounds[doc] + u.last[which] - 1]
+    return doc, span_hashes(part, start, end).view(np.int64), span_hashes(part, start, end, _SALT).view(np.int64)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 4 << 20):
-        yield _table([(doc, k, a, *_hashed(chunk)) for doc, k, text in _columns(batch, "doc", "k", "text") for _, a, _, chunk in eligible(text)], kinds)
+        doc_ids, keys = (np.asarray(_column(batch, c)) for c in ("doc", "k"))
+        for first, part, _, u in _blocks(_column(batch, "text")):
+            which = np.flatnonzero(u.eligible)
+            doc, h1, h2 = _chunk_hashes(part, u, which)
+            yield pa.RecordBatch.from_pydict({"doc": doc_ids[first + doc], "k": keys[first + doc], "at": u.first[which].astype(np.int32), "h1": h1, "h2": h2})
 
 
-_CHUNK_KINDS = {"k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
+_CHUNK = {"k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
-        rows = []
-        for k, text, wanted in _columns(batch, "k", "text", "wanted"):
-            first = {w["at"]: w["first"] for w in wanted}
-            found = [c for c in eligible(text) if c[1] in first]
-            ends = {c[2] for c in found}
-            for bare, a, b, chunk in found:
-                # a repeated chunk beside this one stands for itself; what others are compared with has all
-                before = bare[max(0, a - CONTEXT) : a] if first[a] or a not in ends else []
-                after = bare[b : b + CONTEXT] if first[a] or b not in first else []
-                rows.append((k, a, b, *_hashed(chunk), chunk, before, after))
-        yield _table(rows, _CHUNK_KINDS)
-
-
-def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_before: list[bytes], first_after: list[bytes], floor: int = 0, ceiling: int | None = None) -> tuple[int, int]:
-    """The chunk's units and those beside it that equal the ones beside the first place."""
+        asked = list(_columns(batch, "k", "wanted"))
+        for first_row, part, _, u in _blocks(_column(batch, "text")):
+            raw, rows = part.tobytes(), []
+            chunks = np.flatnonzero(u.eligible)
+            doc, h1, h2 = _chunk_hashes(part, u, chunks)
+            cuts = np.searchsorted(doc, np.arange(len(u.bounds))).tolist()
+            for d in range(len(u.bounds) - 1):
+                k, wanted = asked[first_row + d]
+                first = {w["at"]: w["first"] for w in wanted}
+                base, top = int(u.bounds[d]), int(u.bounds[d + 1])
+                spans = list(zip(u.start[base:top].tolist(), u.end[base:top].tolist(), strict=True))
+                mine = slice(cuts[d], cuts[d + 1])
+                found = [x for x in zip(u.first[chunks[mine]].tolist(), u.last[chunks[mine]].tolist(), h1[mine].tolist(), h2[mine].tolist(), strict=True) if x[0] in first]
+                ends = {b for _, b, _, _ in found}
+                for a, b, x, y in found:
+                    # a repeated chunk beside this one stands for itself; what others are compared with has all
+                    before = [raw[s:e] for s, e in spans[max(0, a - CONTEXT) : a]] if first[a] or a not in ends else []
+                    after = [raw[s:e] for s, e in spans[b : b + CONTEXT]] if first[a] or b not in first else []
+                    rows.append((k, a, b, x, y, raw[spans[a][0] : spans[b - 1][1]], before, after))
+            yield _table(rows, _CHUNK)
+
+
+def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_before: list[bytes], first_after: list[bytes], floor: int = 0) -> tuple[int, int]:
+    """The chunk's units and those beside it that equal the ones beside the first place; none before ``floor``."""
     for mine, theirs in zip(reversed(before), reversed(first_before), strict=False):
         if mine != theirs or at <= floor:
             break
         at -= 1
     for mine, theirs in zip(after, first_after, strict=False):
-        if mine != theirs or ceiling is not None and end >= ceiling:
+        if mine != theirs:
             break
         end += 1
     return at, end
@@ -146,7 +178,7 @@ def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_bef
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"k": pa.int64(), "first": pa.int32(), "last": pa.int32()}
     names = ("k", "at", "end", "chunk", "before", "after", "fk", "f_end", "f_chunk", "f_before", "f_after")
-    for batch in small_batches(batches, "chunk_text", 1 << 20):
+    for batch in small_batches(batches, "chunk", 1 << 20):
         rows = []
         for k, at, end, chunk, before, after, fk, f_end, f_chunk, f_before, f_after in _columns(batch, *names):
             if chunk == f_chunk:
@@ -154,21 +186,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows, kinds)
 
 
+def removable(spans: list[tuple[int, int]], words: np.ndarray) -> np.ndarray:
+    """Flags of the units that go: those of spans that together, where they touch, have words enough."""
+    mark = np.zeros(len(words) + 2, dtype=bool)
+    for a, b in spans:
+        mark[a + 1 : b + 1] = True
+    change = np.diff(mark.astype(np.int8))
+    total = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(len(words), dtype=bool)
+    for a, b in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True):
+        out[a:b] = total[b] - total[a] >= PASSAGE_WORDS
+    return out
+
+
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
-            texts, units, removed = [], [], []
-            for text, spans in _columns(batch, "text", "_spans"):
-                own = units_of(text.encode()) if text else []
-                gone = set()
-                for span in spans or []:
-                    gone.update(range(span["first"], span["last"]))
-                texts.append(b"".join(u for i, u in enumerate(own) if i not in gone).decode() if gone else text)
-                units.append(len(own))
-                removed.append(len(gone))
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            texts, spans = _column(batch, "text").to_pylist(), _column(batch, "_spans").to_pylist()
+            units, removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for first_row, part, bounds, u in _blocks(_column(batch, "text")):
+                units[first_row : first_row + len(bounds) - 1] = np.diff(u.bounds)
+                for d in range(len(bounds) - 1):
+                    if own := spans[first_row + d]:
+                        base, top = u.bounds[d], u.bounds[d + 1]
+                        gone = removable([(s["first"], s["last"]) for s in own], u.words[base:top])
+                        removed[first_row + d] = np.count_nonzero(gone)
+                        if gone.any():
+                            # a unit goes with the white space up to the next one
+                            left, right = u.start[base:top], np.append(u.start[base + 1 : top], bounds[d + 1])
+                            keep = [part[bounds[d] : left[0]].tobytes(), *(part[a:b].tobytes() for a, b, g in zip(left.tolist(), right.tolist(), gone.tolist(), strict=True) if not g)]
+                            texts[first_row + d] = b"".join(keep).decode()
+            columns = {c: _column(batch, c) for c in names}
             columns["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(columns | {"n_units": pa.array(units, pa.int64()), "n_removed": pa.array(removed, pa.int64())})
+            yield pa.RecordBatch.from_pydict(columns | {"n_units": units, "n_removed": removed})
 
     return run
 
@@ -181,7 +231,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_units", "n_removed").withColumn("text", F.col("text").cast("string"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     texts = keyed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("_key").alias("k"), "text")
-    places = written(texts.mapInArrow(_hashes, "doc long, k long, at int, h1 long, h2 long"), "places")
+    places = written(texts.mapInArrow(_places, "doc long, k long, at int, h1 long, h2 long"), "places")
     place = F.struct("doc", "k", "at")
     firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f <> g")
     firsts = written(firsts.select("h1", "h2", F.col("f.k").alias("fk"), F.col("f.at").alias("f_at")), "firsts")
@@ -191,12 +241,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
     heads = repeats.join(firsts, ["h1", "h2"]).where("k = fk and at = f_at").dropDuplicates(["h1", "h2"])
     heads = heads.select("h1", "h2", "fk", "f_at", F.col("end").alias("f_end"), F.col("chunk").alias("f_chunk"), F.col("before").alias("f_before"), F.col("after").alias("f_after"))
-    pairs = repeats.join(written(heads, "heads"), ["h1", "h2"]).where("k <> fk or at <> f_at").withColumn("chunk_text", F.col("chunk"))
+    pairs = repeats.join(written(heads, "heads"), ["h1", "h2"]).where("k <> fk or at <> f_at")
     found = written(pairs.drop("h1", "h2").mapInArrow(_compare, "k long, first int, last int"), "found")
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cut(names), f"{kinds}, n_units long, n_removed long")
+    return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cut(docs.columns), f"{kinds}, n_units long, n_removed long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
