@@ -42,7 +42,7 @@ SIMILARITY_PERCENT = 80
 GROUP_BYTES = 6 << 20
 RANGE_TOKENS = 2_000_000
 #: A part of a candidate component: so many classes and tokens at most, on average.
-PART_CLASSES = 500
+PART_CLASSES = 200
 PART_TOKENS = 400_000
 
 _U = np.uint64
