@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -162,10 +162,10 @@ def chunk_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PART_SQL + "select p_partkey, errors from checked")
 def part_stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of parts as a stream of files, checked by batch; a chunk comes whole in one batch."""
+    """Rows of parts as a stream of files, checked by batch; a chunk is whole in one file."""
     folder = work_folder(spark)
-    part_rows(spark, sf_dir).coalesce(1).write.parquet(f"{folder}/in")
-    stream = table_stream(spark, f"{folder}/in", files_per_trigger=1)
+    part_rows(spark, sf_dir).repartition("chunk_seq").write.parquet(f"{folder}/in")
+    stream = table_stream(spark, f"{folder}/in", files_per_trigger=2)
     validate_stream(stream, lambda rows: validate.validate_rows(rows, PART_RULES), f"{folder}/ok", f"{folder}/bad", f"{folder}/checkpoint").awaitTermination()
     found = spark.read.parquet(f"{folder}/ok").unionByName(spark.read.parquet(f"{folder}/bad"))
     return found.select("p_partkey", error_text(F.col("errors")).alias("errors"))
@@ -188,24 +188,30 @@ def lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents: chunks by bytes, records, gates --------------------------------------------------------------
 
 
+def import_file() -> Column:
+    """The import that a document belongs to: a block of ids of its source, so that none grows with the table."""
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.floor(F.col("doc_id") / 5000).cast("string")).alias("file")
+
+
 @query("""
 with recursive d as (
-  select doc_id, source, cast(coalesce(octet_length(encode(text)), 0) as bigint) as n, row_number() over (partition by source order by doc_id) as rn from documents
+  select doc_id, coalesce(source, '') || '-' || doc_id // 5000 as file, cast(coalesce(octet_length(encode(text)), 0) as bigint) as n,
+    row_number() over (partition by coalesce(source, '') || '-' || doc_id // 5000 order by doc_id) as rn from documents
 ),
 walk as (
-  select doc_id, source, rn, n as bytes, cast(1 as bigint) as rows, 1 as seq from d where rn = 1
+  select doc_id, file, rn, n as bytes, cast(1 as bigint) as rows, 1 as seq from d where rn = 1
   union all
-  select d.doc_id, d.source, d.rn,
+  select d.doc_id, d.file, d.rn,
     case when w.rows >= 50 or w.bytes >= 20000 then d.n else w.bytes + d.n end,
     case when w.rows >= 50 or w.bytes >= 20000 then 1 else w.rows + 1 end,
     case when w.rows >= 50 or w.bytes >= 20000 then w.seq + 1 else w.seq end
-  from walk w join d on d.source is not distinct from w.source and d.rn = w.rn + 1
+  from walk w join d on d.file = w.file and d.rn = w.rn + 1
 )
-select doc_id, source, cast(seq as int) as chunk_seq, rows as row_in_chunk from walk
+select doc_id, file, cast(seq as int) as chunk_seq, rows as row_in_chunk from walk
 """)
 def documents_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    return chunking.assign_chunks(docs, "source", "doc_id", "n", Limits(chunk_rows=50, chunk_bytes=20_000)).select("doc_id", "source", "chunk_seq", "row_in_chunk")
+    docs = table(spark, sf_dir, "documents").select("doc_id", import_file(), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    return chunking.assign_chunks(docs, "file", "doc_id", "n", Limits(chunk_rows=50, chunk_bytes=20_000)).select("doc_id", "file", "chunk_seq", "row_in_chunk")
 
 
 @query("""
@@ -248,37 +254,37 @@ def documents_length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_files(rows: DataFrame, header: list[str], folder: str) -> DataFrame:
-    """Writes rows (source, n, record) as one delimited file per source, header first; returns path and source of each."""
-    heads = rows.select("source").distinct().select("source", F.lit(-1).cast("long").alias("n"), c.join_cells(F.array(*map(F.lit, header))).alias("record"))
-    ordered = heads.unionByName(rows).repartition("source").sortWithinPartitions("source", "n")
-    ordered.select("source", "record").write.partitionBy("source").text(folder)
+    """Writes rows (file, n, record) as one delimited file each, header first; returns path and file."""
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), c.join_cells(F.array(*map(F.lit, header))).alias("record"))
+    ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "n")
+    ordered.select("file", "record").write.partitionBy("file").text(folder)
     files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    return files.withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    return files.withColumn("file", F.regexp_extract("path", "file=([^/]*)/", 1))
 
 
 @query("""
 with r as (
-  select source, row_number() over (partition by source order by doc_id) + 1 as record_no,
+  select source || '-' || doc_id // 5000 as file, source, row_number() over (partition by source, doc_id // 5000 order by doc_id) + 1 as record_no,
     octet_length(encode(doc_id || ',' || case when regexp_matches(text, '[",\\s\\\\]') then '"' || replace(text, '"', '""') || '"' else text end)) + 1 as n
   from documents where source is not null and text is not null
 ),
-f as (select source, 12 + sum(n) as bytes, min(case when n > 16384 then record_no end) as large from r group by source),
+f as (select file, source, 12 + sum(n) as bytes, min(case when n > 16384 then record_no end) as large from r group by file, source),
 v as (
-  select source, case when cast(substr(source, 4) as int) % 5 = 0 then 'it is not a .csv file' when bytes > 400 * 1024 then 'it is larger than 400 KB'
+  select file, case when cast(substr(source, 4) as int) % 5 = 0 then 'it is not a .csv file' when bytes > 400 * 1024 then 'it is larger than 400 KB'
     when large is not null then 'row ' || large || ' is larger than 16 KB, which usually means a quote is never closed' end as reason from f
 )
-select source, case when reason is null then 'queued' else 'failed' end as status, 'The file is not processable: ' || reason || '.' as failure_message from v
+select file, case when reason is null then 'queued' else 'failed' end as status, 'The file is not processable: ' || reason || '.' as failure_message from v
 """)
 def documents_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of each source as a file that is checked before it is read."""
+    """Documents as files, each checked before it is read."""
     folder = f"{work_folder(spark)}/files"
     docs = table(spark, sf_dir, "documents").where("source is not null and text is not null")
-    rows = docs.select("source", F.col("doc_id").alias("n"), c.join_cells(F.array(F.col("doc_id").cast("string"), "text")).alias("record"))
+    rows = docs.select(import_file(), F.col("doc_id").alias("n"), c.join_cells(F.array(F.col("doc_id").cast("string"), "text")).alias("record"))
     files = _as_files(rows, ["doc_id", "text"], folder)
-    ending = F.when(F.substring("source", 4, 9).cast("int") % 5 == 0, ".txt").otherwise(".CSV")
-    imports = files.withColumn("original_filename", F.concat("source", ending)).withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    ending = F.when(F.regexp_extract("file", "([0-9]+)-", 1).cast("int") % 5 == 0, ".txt").otherwise(".CSV")
+    imports = files.withColumn("original_filename", F.concat("file", ending)).withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
     found = verdicts(spark, imports, csv_records(spark, folder), folder, ("doc_id", "text"), Limits(file_bytes=400 * 1024))
-    return found.select("source", "status", "failure_message")
+    return found.select("file", "status", "failure_message")
 
 
 CONSENT_LIMITS = Limits(chunk_rows=20, record_bytes=1 << 30, file_bytes=1 << 50, chunk_bytes=1 << 50)
@@ -286,25 +292,25 @@ CONSENT_LIMITS = Limits(chunk_rows=20, record_bytes=1 << 30, file_bytes=1 << 50,
 
 @query("""
 with d as (
-  select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as n, 'D' || (doc_id % 7) as code,
+  select source || '-' || doc_id // 5000 as file, doc_id, row_number() over (partition by source, doc_id // 5000 order by doc_id) - 1 as n, 'D' || (doc_id % 7) as code,
     trim(substr(coalesce(text, ''), 1, 300), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) as name, lang as purpose, n_chars % 3 as version,
     case doc_id % 4 when 0 then 'Active' when 1 then 'INACTIVE' when 2 then ' active ' else 'x' end as status
   from documents where source is not null
 ),
 r as (
-  select source, doc_id, cast(n // 20 + 1 as int) as chunk_seq, cast(n % 20 + 1 as bigint) as row_in_chunk, code, version,
+  select file, doc_id, cast(n // 20 + 1 as int) as chunk_seq, cast(n % 20 + 1 as bigint) as row_in_chunk, code, version,
     concat_ws('; ', case when name = '' then 'Consent name is required' end, case when length(name) > 255 then 'Consent name is longer than 255 characters' end,
       case when coalesce(purpose, '') = '' then 'Purpose is required' end, case when version < 1 then 'Version must be a positive whole number' end,
       case when status = 'x' then 'Status must be one of: Active, Inactive' end) as rule_text
   from d
 ),
-f as (select *, min(case when rule_text = '' then row_in_chunk end) over (partition by source, chunk_seq, code, version, rule_text = '') as first_row from r)
-select source, doc_id, chunk_seq, row_in_chunk,
+f as (select *, min(case when rule_text = '' then row_in_chunk end) over (partition by file, chunk_seq, code, version, rule_text = '') as first_row from r)
+select file, doc_id, chunk_seq, row_in_chunk,
   case when rule_text = '' and row_in_chunk > first_row then 'is a duplicate of row ' || first_row || ' of this chunk' else rule_text end as errors
 from f
 """)
 def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole import, files to checked rows, over a file of consent records per source."""
+    """The whole import, files to checked rows, over files of consent records."""
     folder = f"{work_folder(spark)}/imports"
     docs = table(spark, sf_dir, "documents").where("source is not null")
     status = F.element_at(F.array(*map(F.lit, ("Active", "INACTIVE", " active ", "x"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -312,11 +318,12 @@ def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("D"), (F.col("doc_id") % 7).cast("string")), F.substring(F.coalesce("text", F.lit("")), 1, 300), F.lit(""), F.coalesce("lang", F.lit("")),
         (F.col("n_chars") % 3).cast("string"), status, F.col("doc_id").cast("string"),
     )
-    rows = docs.select("source", F.col("doc_id").alias("n"), c.join_cells(cells).alias("record"))
+    rows = docs.select(import_file(), F.col("doc_id").alias("n"), c.join_cells(cells).alias("record"))
     files = _as_files(rows, [*consent_rules().columns, "doc_id"], folder)
-    imports = files.select(F.col("source").alias("id"), "path", F.concat("source", F.lit(".csv")).alias("original_filename"), F.concat(F.lit("consent/import-"), "source", F.lit("/source/source.csv")).alias("source_object_key"))
+    key = F.concat(F.lit("consent/import-"), "file", F.lit("/source/source.csv"))
+    imports = files.select(F.col("file").alias("id"), "path", F.concat("file", F.lit(".csv")).alias("original_filename"), key.alias("source_object_key"))
     done = bulk_import(spark, imports, folder, consent_rules(CONSENT_LIMITS), CONSENT_LIMITS)
-    return done.rows.select(F.col("import_id").alias("source"), F.col("cells")[6].cast("long").alias("doc_id"), "chunk_seq", "row_in_chunk", error_text(F.col("errors")).alias("errors"))
+    return done.rows.select(F.col("import_id").alias("file"), F.col("cells")[6].cast("long").alias("doc_id"), "chunk_seq", "row_in_chunk", error_text(F.col("errors")).alias("errors"))
 
 
 @query("""
