@@ -19,4 +19,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op3_ngram_jaccard_join": jaccard.ORACLE}

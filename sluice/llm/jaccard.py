@@ -267,3 +267,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+),
+s as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2
+),
+l as (
+  select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.k >= 80 * (x.n + y.n - p.k)
+),
+r(d, c) as (select doc_id, doc_id from w union select r.d, l.b from r join l on l.a = r.c),
+g as (select d, min(c) as component_id from r group by d),
+m as (select a, count(*) as n_links from l group by a)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, g.component_id, cast(coalesce(m.n_links, 0) as bigint) as n_links
+from w left join n on n.doc_id = w.doc_id left join g on g.d = w.doc_id left join m on m.a = w.doc_id
+"""
