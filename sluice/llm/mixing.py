@@ -101,21 +101,28 @@ def selection(goals: DataFrame, quota: DataFrame, block: int = BLOCK, seed: int
     return out.select("source", "source_size", "target", "blocks", F.expr("q div blocks").alias("rounds"), (F.col("q") % F.col("blocks")).alias("extra"), "factor", "shift")
 
 
-def taken_blocks(block: int = BLOCK) -> Column:
-    """The blocks taken once more that overlap a row with begin, size: array of (from, to) words of it."""
-    first, last = F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}")
-    picked = F.filter(F.sequence(first, last), lambda k: F.pmod(k * F.col("factor") + F.col("shift"), F.col("blocks")) < F.col("extra"))
-    span = F.transform(picked, lambda k: F.struct(F.greatest(k * block - F.col("begin"), F.lit(0)).alias("from"), F.least((k + 1) * block - F.col("begin"), F.col("size")).alias("to")))
-    return F.when((F.col("size") > 0) & (F.col("extra") > 0), span).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
+def is_picked(k: Column, place: Column) -> Column:
+    """Whether block k of a source is one that is taken once more."""
+    return F.pmod(k * place["factor"] + place["shift"], place["blocks"]) < place["extra"]
+
+
+def taken_blocks(size: Column, place: Column, block: int = BLOCK) -> Column:
+    """The spans of a row's words in blocks that are taken once more: array of (from, to)."""
+    begin = place["begin"]
+    first, last = F.floor(begin / block), F.floor((begin + size - 1) / block)
+    picked = F.filter(F.sequence(first, last), lambda k: is_picked(k, place))
+    span = F.transform(picked, lambda k: F.struct(F.greatest(k * block - begin, F.lit(0)).alias("from"), F.least((k + 1) * block - begin, size).alias("to")))
+    return F.when((size > 0) & (place["extra"] > 0), span).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` (with doc_id, text, source) and size, source_size, target, rounds, parts, taken.
+    """``docs`` (with doc_id, text, source) and size, source_size, target, rounds, place, parts, taken.
 
-    rounds: how often the whole row is taken; parts: word spans taken once more;
-    taken: words in all.
+    rounds: how often the whole row is taken; place: where it lies in its source, and
+    which blocks are taken once more; parts: its word spans in these; taken: words in
+    all. Columns of these names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "rounds", "parts", "taken", "nth")
+    docs = docs.drop("size", "source_size", "target", "rounds", "place", "parts", "taken")
     sized = with_sizes(docs).withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")))
     sized = sized.withColumn("_range", F.shiftrightunsigned("_place", 64 - RANGES.bit_length() + 1).cast("int"))
     narrow = sized.select("source", "size", "_range")
@@ -129,17 +136,19 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     within = Window.partitionBy("source", "_range").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = sized.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     laid = laid.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("_range") == F.col("r")))
-    laid = laid.withColumn("begin", F.col("offset") + F.col("_in")).withColumn("parts", taken_blocks(block))
+    laid = laid.withColumn("place", F.struct((F.col("offset") + F.col("_in")).alias("begin"), "blocks", "factor", "shift", "extra"))
+    laid = laid.withColumn("parts", taken_blocks(F.col("size"), F.col("place"), block))
     part = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
     laid = laid.withColumn("taken", F.col("rounds") * F.col("size") + part)
-    return laid.select(*docs.columns, "size", "source_size", "target", "rounds", "parts", "taken")
+    return laid.select(*docs.columns, "size", "source_size", "target", "rounds", "place", "parts", "taken")
 
 
-def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
+def materialised(mix: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """Rows of the mix itself: a row as often as it is taken whole, and one with its parts' words."""
     whole = mix.where("rounds > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "rounds"))).drop("_copy")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    picked = F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int"))))
+    place = F.col("place")
+    picked = F.filter(words, lambda w, i: is_picked(F.floor((place["begin"] + i) / block), place))
     some = mix.where(F.size("parts") > 0).withColumn("text", F.array_join(picked, " "))
     return whole.select(columns).unionByName(some.select(columns))
 

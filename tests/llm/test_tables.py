@@ -115,7 +115,7 @@ def test_materialised_mix_has_the_words_taken(spark):
     rows = documents(2)
     mix = mixing.mixed(frame(spark, rows), block=8).persist()
     want = sum(r["taken"] for r in mix.collect())
-    out = mixing.materialised(mix, ["doc_id", "text", "source"]).collect()
+    out = mixing.materialised(mix, ["doc_id", "text", "source"], block=8).collect()
     assert sum(size_of(r["text"]) for r in out) == want
     assert mixing.mixed(spark.createDataFrame([], COLUMNS)).count() == 0
 
