@@ -6,7 +6,7 @@ names. A rolling hash over the hashes of the last units decides where a chunk en
 where it is lower than at the units before and after. As that depends on these units
 alone, texts that share a passage fall into step inside it, whatever stands before.
 
-Chunks of two or more units count globally by a 128-bit hash of their bytes. One that
+Chunks of two or more units count globally by a 64-bit hash of their bytes. One that
 occurs in several places is compared byte by byte with its first place (smallest
 doc_id, then place in the text). If equal, it is marked, along with the units next
 to it as far as they equal the ones next to the first place, byte by byte too.
@@ -32,17 +32,16 @@ from pyspark.sql import functions as F
 from sluice.llm.shared import blocks, mix, small_batches, span_hashes, split_words, text_bounds, written
 
 #: Words of a chunk that counts, and of a passage that is removed.
-CHUNK_WORDS, PASSAGE_WORDS = 5, 20
+CHUNK_WORDS, PASSAGE_WORDS = 8, 20
 #: Units whose hashes the rolling hash covers.
 ROLLED = 2
 #: A unit of more words is cut further, after one word in so many.
 LONG_WORDS, CUT_WORDS = 6, 4
 #: Units on either side of a repeated chunk that may go with it.
-CONTEXT = 12
+CONTEXT = 6
 
 _U = np.uint64
 _ROLL = _U(0x9E3779B97F4A7C15)
-_SALT = 7
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?,;:")] = True
 
@@ -80,7 +79,8 @@ def units_of(data: np.ndarray, bounds: np.ndarray) -> Units:
     h = span_hashes(data, start, end)
     rolled = h.copy()
     for k in range(1, ROLLED):
-        rolled[k:] = rolled[k:] * _ROLL + np.where(of[k:] == of[:-k], h[:-k], _U(0))
+        earlier = np.concatenate([np.zeros(min(k, len(h)), dtype=_U), np.where(of[k:] == of[:-k], h[:-k], _U(0))])
+        rolled = rolled * _ROLL + earlier
     rolled = mix(rolled)
     low = np.ones(len(h), dtype=bool)
     apart = of[1:] != of[:-1]
@@ -119,11 +119,11 @@ def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _chunk_hashes(part: np.ndarray, u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document and both hash halves of the chunks named by their index."""
+def _chunk_hashes(part: np.ndarray, u: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the chunks named by their index."""
     doc = np.searchsorted(u.chunk_bounds, which, "right") - 1
     start, end = u.start[u.bounds[doc] + u.first[which]], u.end[u.bounds[doc] + u.last[which] - 1]
-    return doc, span_hashes(part, start, end).view(np.int64), span_hashes(part, start, end, _SALT).view(np.int64)
+    return doc, span_hashes(part, start, end).view(np.int64)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,34 +131,34 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, keys = (np.asarray(_column(batch, c)) for c in ("doc", "k"))
         for first, part, _, u in _blocks(_column(batch, "text")):
             which = np.flatnonzero(u.eligible)
-            doc, h1, h2 = _chunk_hashes(part, u, which)
-            yield pa.RecordBatch.from_pydict({"doc": doc_ids[first + doc], "k": keys[first + doc], "at": u.first[which].astype(np.int32), "h1": h1, "h2": h2})
+            doc, h = _chunk_hashes(part, u, which)
+            yield pa.RecordBatch.from_pydict({"doc": doc_ids[first + doc], "k": keys[first + doc], "at": u.first[which].astype(np.int32), "h": h})
 
 
-_CHUNK = {"k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
+_CHUNK = {"doc": pa.int64(), "k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
-        asked = list(_columns(batch, "k", "wanted"))
+        asked = list(_columns(batch, "doc", "k", "wanted"))
         for first_row, part, _, u in _blocks(_column(batch, "text")):
             raw, rows = part.tobytes(), []
             chunks = np.flatnonzero(u.eligible)
-            doc, h1, h2 = _chunk_hashes(part, u, chunks)
+            doc, h = _chunk_hashes(part, u, chunks)
             cuts = np.searchsorted(doc, np.arange(len(u.bounds))).tolist()
             for d in range(len(u.bounds) - 1):
-                k, wanted = asked[first_row + d]
+                doc_id, k, wanted = asked[first_row + d]
                 first = {w["at"]: w["first"] for w in wanted}
                 base, top = int(u.bounds[d]), int(u.bounds[d + 1])
                 spans = list(zip(u.start[base:top].tolist(), u.end[base:top].tolist(), strict=True))
                 mine = slice(cuts[d], cuts[d + 1])
-                found = [x for x in zip(u.first[chunks[mine]].tolist(), u.last[chunks[mine]].tolist(), h1[mine].tolist(), h2[mine].tolist(), strict=True) if x[0] in first]
-                ends = {b for _, b, _, _ in found}
-                for a, b, x, y in found:
+                found = [x for x in zip(u.first[chunks[mine]].tolist(), u.last[chunks[mine]].tolist(), h[mine].tolist(), strict=True) if x[0] in first]
+                ends = {b for _, b, _ in found}
+                for a, b, x in found:
                     # a repeated chunk beside this one stands for itself; what others are compared with has all
                     before = [raw[s:e] for s, e in spans[max(0, a - CONTEXT) : a]] if first[a] or a not in ends else []
                     after = [raw[s:e] for s, e in spans[b : b + CONTEXT]] if first[a] or b not in first else []
-                    rows.append((k, a, b, x, y, raw[spans[a][0] : spans[b - 1][1]], before, after))
+                    rows.append((doc_id, k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
             yield _table(rows, _CHUNK)
 
 
@@ -231,18 +231,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_units", "n_removed").withColumn("text", F.col("text").cast("string"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     texts = keyed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("_key").alias("k"), "text")
-    places = written(texts.mapInArrow(_places, "doc long, k long, at int, h1 long, h2 long"), "places")
-    place = F.struct("doc", "k", "at")
-    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f <> g")
-    firsts = written(firsts.select("h1", "h2", F.col("f.k").alias("fk"), F.col("f.at").alias("f_at")), "firsts")
-    wanted = places.join(firsts, ["h1", "h2"]).withColumn("first", (F.col("k") == F.col("fk")) & (F.col("at") == F.col("f_at")))
+    places = written(texts.mapInArrow(_places, "doc long, k long, at int, h long"), "places")
+    # chunks in several places, and the smallest doc_id of these
+    firsts = places.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("h", "first_doc")
+    wanted = places.join(written(firsts, "firsts"), "h").withColumn("first", F.col("doc") == F.col("first_doc"))
     wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
-    schema = "k long, at int, end int, h1 long, h2 long, chunk binary, before array<binary>, after array<binary>"
-    repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
-    heads = repeats.join(firsts, ["h1", "h2"]).where("k = fk and at = f_at").dropDuplicates(["h1", "h2"])
-    heads = heads.select("h1", "h2", "fk", "f_at", F.col("end").alias("f_end"), F.col("chunk").alias("f_chunk"), F.col("before").alias("f_before"), F.col("after").alias("f_after"))
-    pairs = repeats.join(written(heads, "heads"), ["h1", "h2"]).where("k <> fk or at <> f_at")
-    found = written(pairs.drop("h1", "h2").mapInArrow(_compare, "k long, first int, last int"), "found")
+    schema = "doc long, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
+    repeats = written(texts.join(wanted, "k").select("doc", "k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
+    place = F.struct("doc", "k", "at")
+    heads = repeats.groupBy("h").agg(F.min(place).alias("f")).select(F.col("h").alias("fh"), F.col("f.k").alias("fk"), F.col("f.at").alias("f_at"))
+    heads = repeats.join(written(heads, "head-places"), (F.col("h") == F.col("fh")) & (F.col("k") == F.col("fk")) & (F.col("at") == F.col("f_at"))).dropDuplicates(["h"])
+    heads = heads.select("h", "fk", "f_at", F.col("end").alias("f_end"), F.col("chunk").alias("f_chunk"), F.col("before").alias("f_before"), F.col("after").alias("f_after"))
+    pairs = repeats.join(written(heads, "heads"), "h").where("k <> fk or at <> f_at").drop("h", "doc")
+    found = written(pairs.mapInArrow(_compare, "k long, first int, last int"), "found")
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cut(docs.columns), f"{kinds}, n_units long, n_removed long")

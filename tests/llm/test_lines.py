@@ -32,8 +32,9 @@ def brute(rows):
         for a, b, chunk in repeated:
             y, fa, fb = where[chunk][0]
             if (y, fa) != (x, a):
-                before = units[max(0, a - size) : a] if a not in ends else []
-                after = units[b : b + size] if b not in begins else []
+                same = y[0] == x[0]  # all places in the first text have their neighbours at hand
+                before = units[max(0, a - size) : a] if same or a not in ends else []
+                after = units[b : b + size] if same or b not in begins else []
                 other = known[y][1]
                 spans.append(lines.extent(a, b, before, after, other[max(0, fa - size) : fa], other[fb : fb + size], fb if y == x else 0))
         gone = lines.removable(spans, u.words).tolist()
@@ -102,6 +103,17 @@ def test_boundaries_do_not_depend_on_what_stands_before():
     assert len(inside) > 20 and all(len(inside - f) <= 2 for f in found)
 
 
+def test_units_do_not_depend_on_the_block():
+    texts = [(t or "").encode() for _, t, *_ in documents()]
+    raw, bounds = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    u = lines.units_of(np.frombuffer(raw, np.uint8), bounds)
+    for d, t in enumerate(texts):
+        _, units, own, _ = read(t.decode())
+        assert len(units) == u.bounds[d + 1] - u.bounds[d]
+        mine = slice(u.chunk_bounds[d], u.chunk_bounds[d + 1])
+        assert (own.first.tolist(), own.last.tolist(), own.eligible.tolist()) == (u.first[mine].tolist(), u.last[mine].tolist(), u.eligible[mine].tolist())
+
+
 def test_short_repeats_stay():
     words = np.full(10, 5)
     assert lines.removable([(1, 3)], words).sum() == 0
