@@ -1,7 +1,7 @@
 """Hashed word and character n-gram features of whole texts, block by block.
 
 A feature is an index below 2 ** BITS: of each word, of each pair of adjacent
-words, and of each run of three and of four bytes. Case is kept. Scoring needs
+words (all pairs of a word and itself share one), and of each run of three and of four bytes. Case is kept. Scoring needs
 only sums of a table over a document's features, which are differences of running
 sums, so no feature list of a document is ever built there.
 """
@@ -23,7 +23,8 @@ def _kinds(data: np.ndarray, bounds: np.ndarray, words: Words) -> Iterator[tuple
     """Feature indices of each kind, with the first and last + 1 of each document."""
     shift = _U(64 - BITS)
     yield (words.hashes >> shift).astype(np.int32), words.bounds[:-1], words.bounds[1:]
-    pair = mix(words.hashes[:-1] * _U(3) + words.hashes[1:])
+    again = words.hashes[:-1] == words.hashes[1:]
+    pair = np.where(again, _U(0), mix(words.hashes[:-1] * _U(3) + words.hashes[1:]))
     yield (pair >> shift).astype(np.int32), words.bounds[:-1], np.maximum(words.bounds[1:] - 1, words.bounds[:-1])
     wide = data.astype(np.uint32)
     value = wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16)) if len(wide) > 2 else np.zeros(0, np.uint32)
