@@ -135,19 +135,19 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc": doc_ids[first + doc], "k": keys[first + doc], "at": u.first[which].astype(np.int32), "h": h})
 
 
-_CHUNK = {"doc": pa.int64(), "k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
+_CHUNK = {"first": pa.bool_(), "k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
-        asked = list(_columns(batch, "doc", "k", "wanted"))
+        asked = list(_columns(batch, "k", "wanted"))
         for first_row, part, _, u in _blocks(_column(batch, "text")):
             raw, rows = part.tobytes(), []
             chunks = np.flatnonzero(u.eligible)
             doc, h = _chunk_hashes(part, u, chunks)
             cuts = np.searchsorted(doc, np.arange(len(u.bounds))).tolist()
             for d in range(len(u.bounds) - 1):
-                doc_id, k, wanted = asked[first_row + d]
+                k, wanted = asked[first_row + d]
                 first = {w["at"]: w["first"] for w in wanted}
                 base, top = int(u.bounds[d]), int(u.bounds[d + 1])
                 spans = list(zip(u.start[base:top].tolist(), u.end[base:top].tolist(), strict=True))
@@ -158,7 +158,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # a repeated chunk beside this one stands for itself; what others are compared with has all
                     before = [raw[s:e] for s, e in spans[max(0, a - CONTEXT) : a]] if first[a] or a not in ends else []
                     after = [raw[s:e] for s, e in spans[b : b + CONTEXT]] if first[a] or b not in first else []
-                    rows.append((doc_id, k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
+                    rows.append((first[a], k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
             yield _table(rows, _CHUNK)
 
 
@@ -177,12 +177,12 @@ def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_bef
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"k": pa.int64(), "first": pa.int32(), "last": pa.int32()}
-    names = ("k", "at", "end", "chunk", "before", "after", "fk", "f_end", "f_chunk", "f_before", "f_after")
+    names = ("k", "at", "end", "chunk", "before", "after", "f_k", "f_end", "f_chunk", "f_before", "f_after")
     for batch in small_batches(batches, "chunk", 1 << 20):
         rows = []
-        for k, at, end, chunk, before, after, fk, f_end, f_chunk, f_before, f_after in _columns(batch, *names):
+        for k, at, end, chunk, before, after, f_k, f_end, f_chunk, f_before, f_after in _columns(batch, *names):
             if chunk == f_chunk:
-                rows.append((k, *extent(at, end, before, after, f_before, f_after, f_end if fk == k else 0)))
+                rows.append((k, *extent(at, end, before, after, f_before, f_after, f_end if f_k == k else 0)))
         yield _table(rows, kinds)
 
 
@@ -236,13 +236,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = places.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("h", "first_doc")
     wanted = places.join(written(firsts, "firsts"), "h").withColumn("first", F.col("doc") == F.col("first_doc"))
     wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
-    schema = "doc long, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
-    repeats = written(texts.join(wanted, "k").select("doc", "k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
-    place = F.struct("doc", "k", "at")
-    heads = repeats.groupBy("h").agg(F.min(place).alias("f")).select(F.col("h").alias("fh"), F.col("f.k").alias("fk"), F.col("f.at").alias("f_at"))
-    heads = repeats.join(written(heads, "head-places"), (F.col("h") == F.col("fh")) & (F.col("k") == F.col("fk")) & (F.col("at") == F.col("f_at"))).dropDuplicates(["h"])
-    heads = heads.select("h", "fk", "f_at", F.col("end").alias("f_end"), F.col("chunk").alias("f_chunk"), F.col("before").alias("f_before"), F.col("after").alias("f_after"))
-    pairs = repeats.join(written(heads, "heads"), "h").where("k <> fk or at <> f_at").drop("h", "doc")
+    schema = "first boolean, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
+    repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
+    # of the places in the smallest doc_id the first one; the others are compared with it
+    head = F.struct("k", "at", "end", "chunk", "before", "after")
+    heads = repeats.where("first").groupBy("h").agg(F.min(head).alias("f"))
+    heads = heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "at", "end", "chunk", "before", "after")))
+    pairs = repeats.join(written(heads, "heads"), "h").where("k <> f_k or at <> f_at").drop("h", "first")
     found = written(pairs.mapInArrow(_compare, "k long, first int, last int"), "found")
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -46,11 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks it was running, and
-    later branches read just the columns they need.
+    later branches read just the columns they need. Spark removes shuffle files once
+    the driver's collector has found the plan that made them unused, so it is asked
+    to look here, where a plan has just ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
