@@ -15,8 +15,8 @@ more; a shorter repeat is common speech. The first place always stays, and texts
 without repeats come out unchanged.
 
 Null and empty texts have no units and stay as they are. Rows equal in doc_id and
-text count as one text (all keep or lose the same units); a null doc_id counts as
-larger than any other. Other columns are carried along.
+text count as one text (all keep or lose the same units), different texts of one
+doc_id don't lose what only they share; a null doc_id counts as larger than any other. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import blocks, mix, small_batches, span_hashes, split_words, text_bounds, written
+from sluice.llm.shared import blocks, discard, mix, small_batches, span_hashes, split_words, text_bounds, written
 
 #: Words of a chunk that counts, and of a passage that is removed.
 CHUNK_WORDS, PASSAGE_WORDS = 8, 20
@@ -148,7 +148,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(doc, np.arange(len(u.bounds))).tolist()
             for d in range(len(u.bounds) - 1):
                 k, wanted = asked[first_row + d]
-                first = {w["at"]: w["first"] for w in wanted}
+                first, seen = {w["at"]: w["first"] for w in wanted}, set()
                 base, top = int(u.bounds[d]), int(u.bounds[d + 1])
                 spans = list(zip(u.start[base:top].tolist(), u.end[base:top].tolist(), strict=True))
                 mine = slice(cuts[d], cuts[d + 1])
@@ -158,7 +158,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # a repeated chunk beside this one stands for itself; what others are compared with has all
                     before = [raw[s:e] for s, e in spans[max(0, a - CONTEXT) : a]] if first[a] or a not in ends else []
                     after = [raw[s:e] for s, e in spans[b : b + CONTEXT]] if first[a] or b not in first else []
-                    rows.append((first[a], k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
+                    head = first[a] and x not in seen
+                    seen.add(x)
+                    rows.append((head, k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
             yield _table(rows, _CHUNK)
 
 
@@ -234,16 +236,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     places = written(texts.mapInArrow(_places, "doc long, k long, at int, h long"), "places")
     # chunks in several places, and the smallest doc_id of these
     firsts = places.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("h", "first_doc")
-    wanted = places.join(written(firsts, "firsts"), "h").withColumn("first", F.col("doc") == F.col("first_doc"))
+    firsts = written(firsts, "firsts")
+    wanted = places.join(firsts, "h").withColumn("first", F.col("doc") == F.col("first_doc"))
     wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
     schema = "first boolean, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
     repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
-    # of the places in the smallest doc_id the first one; the others are compared with it
+    # the first place in the smallest doc_id is what the others are compared with
     head = F.struct("k", "at", "end", "chunk", "before", "after")
     heads = repeats.where("first").groupBy("h").agg(F.min(head).alias("f"))
-    heads = heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "at", "end", "chunk", "before", "after")))
-    pairs = repeats.join(written(heads, "heads"), "h").where("k <> f_k or at <> f_at").drop("h", "first")
+    heads = written(heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "end", "chunk", "before", "after"))), "heads")
+    pairs = repeats.where("not first").join(heads, "h").drop("h", "first")
     found = written(pairs.mapInArrow(_compare, "k long, first int, last int"), "found")
+    discard(places, firsts, repeats, heads)
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cut(docs.columns), f"{kinds}, n_units long, n_removed long")

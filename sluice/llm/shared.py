@@ -57,6 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
     x = x ^ (x >> _U(30))
