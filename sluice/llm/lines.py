@@ -38,7 +38,7 @@ ROLLED = 2
 #: A unit of more words is cut further, after one word in so many.
 LONG_WORDS, CUT_WORDS = 6, 4
 #: Units on either side of a repeated chunk that may go with it.
-CONTEXT = 6
+CONTEXT = 4
 
 _U = np.uint64
 _ROLL = _U(0x9E3779B97F4A7C15)
@@ -241,13 +241,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
     schema = "first boolean, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
     repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
+    discard(places, firsts)
     # the first place in the smallest doc_id is what the others are compared with
     head = F.struct("k", "at", "end", "chunk", "before", "after")
     heads = repeats.where("first").groupBy("h").agg(F.min(head).alias("f"))
     heads = written(heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "end", "chunk", "before", "after"))), "heads")
     pairs = repeats.where("not first").join(heads, "h").drop("h", "first")
     found = written(pairs.mapInArrow(_compare, "k long, first int, last int"), "found")
-    discard(places, firsts, repeats, heads)
+    discard(repeats, heads)
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cut(docs.columns), f"{kinds}, n_units long, n_removed long")
