@@ -177,14 +177,12 @@ def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_bef
     return at, end
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units that go with each chunk that equals its first place."""
     kinds = {"k": pa.int64(), "first": pa.int32(), "last": pa.int32()}
-    names = ("k", "at", "end", "chunk", "before", "after", "f_k", "f_end", "f_chunk", "f_before", "f_after")
-    for batch in small_batches(batches, "chunk", 1 << 20):
-        rows = []
-        for k, at, end, chunk, before, after, f_k, f_end, f_chunk, f_before, f_after in _columns(batch, *names):
-            if chunk == f_chunk:
-                rows.append((k, *extent(at, end, before, after, f_before, f_after, f_end if f_k == k else 0)))
+    names = ("k", "at", "end", "floor", "before", "after", "f_before", "f_after")
+    for batch in batches:
+        rows = [(k, *extent(at, end, before or [], after or [], f_before or [], f_after or [], floor)) for k, at, end, floor, before, after, f_before, f_after in _columns(batch, *names)]
         yield _table(rows, kinds)
 
 
@@ -246,8 +244,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     head = F.struct("k", "at", "end", "chunk", "before", "after")
     heads = repeats.where("first").groupBy("h").agg(F.min(head).alias("f"))
     heads = written(heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "end", "chunk", "before", "after"))), "heads")
-    pairs = repeats.where("not first").join(heads, "h").drop("h", "first")
-    found = written(pairs.mapInArrow(_compare, "k long, first int, last int"), "found")
+    # byte by byte; neighbours travel to Python only where both sides have some
+    pairs = repeats.where("not first").join(heads, "h").where("chunk = f_chunk")
+    near = [F.when(F.size(c) > 0, F.col(f"f_{c}")).alias(f"f_{c}") for c in ("before", "after")]
+    floor = F.when(F.col("k") == F.col("f_k"), F.col("f_end")).otherwise(0).alias("floor")
+    found = written(pairs.select("k", "at", "end", floor, "before", "after", *near).mapInArrow(_extend, "k long, first int, last int"), "found")
     discard(repeats, heads)
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
