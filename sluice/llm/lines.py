@@ -3,20 +3,26 @@
 A text is cut into line units: at line ends, inside a line after a word that ends in
 punctuation, and inside a unit that is still long after words that their own hash
 names. A rolling hash over the hashes of the last units decides where a chunk ends:
-where it is lower than at the units before and after. As that depends on these units
-alone, texts that share a passage fall into step inside it, whatever stands before.
-
-Chunks of two or more units count globally by a 64-bit hash of their bytes. One that
-occurs in several places is compared byte by byte with its first place (smallest
-doc_id, then place in the text). If equal, it is marked, along with the units next
-to it as far as they equal the ones next to the first place, byte by byte too.
+where it is lower than at all units fewer than ``CHUNK_WORDS`` words away, and once
+more among the units that no such place is near. So chunks have ``CHUNK_WORDS`` words
+or more however short the units are, and every word of a text that has as many lies
+in one. As an end depends on the words around it alone, texts that share a passage
+fall into step inside it, whatever stands before.
+
+Chunks count globally by a 64-bit hash of their bytes. One that occurs in several
+places is compared byte by byte with its first place (smallest doc_id, then hash of
+the text, then place in it). If equal, it is marked, along with the units next to it
+as far as they equal the ones next to the first place, byte by byte too. Inside one
+text that is told from the text itself. Between texts the neighbours that travel are
+the chunk beside this one and ``REACH_WORDS`` more: were the texts equal beyond, the
+chunk beside would end at the same place in both, and be a repeated chunk itself.
 Marked units that stand together are removed if they have ``PASSAGE_WORDS`` words or
 more; a shorter repeat is common speech. The first place always stays, and texts
 without repeats come out unchanged.
 
 Null and empty texts have no units and stay as they are. Rows equal in doc_id and
-text count as one text (all keep or lose the same units), different texts of one
-doc_id don't lose what only they share; a null doc_id counts as larger than any other. Other columns are carried along.
+text count as one text (all keep or lose the same units); a null doc_id counts as
+larger than any other. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -37,11 +43,14 @@ CHUNK_WORDS, PASSAGE_WORDS = 8, 20
 ROLLED = 2
 #: A unit of more words is cut further, after one word in so many.
 LONG_WORDS, CUT_WORDS = 6, 4
-#: Units on either side of a repeated chunk that may go with it.
-CONTEXT = 4
+#: Units on either side of a repeated chunk that may go with it: no bound but the first difference.
+CONTEXT = 1 << 40
+#: Times that chunk ends are chosen; an end depends on fewer words to either side than this.
+ROUNDS, REACH_WORDS = 2, 4 * CHUNK_WORDS
 
 _U = np.uint64
 _ROLL = _U(0x9E3779B97F4A7C15)
+_NEVER = _U(2**64 - 1)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?,;:")] = True
 
@@ -60,6 +69,29 @@ class Units:
     eligible: np.ndarray
 
 
+def chunk_ends(rolled: np.ndarray, total: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Flags of the units that end a chunk inside their text.
+
+    total: words up to each unit's end; first, after: words before each unit's text and up to its end.
+    """
+    value, ends = rolled.copy(), np.zeros(len(rolled), dtype=bool)
+    value[(total - first < CHUNK_WORDS) | (after - total < CHUNK_WORDS)] = _NEVER
+    # units of other texts are too far away or can't be chosen
+    close = [c for k in range(1, min(CHUNK_WORDS, len(rolled))) if (c := total[k:] - total[:-k] < CHUNK_WORDS).any()]
+    for _ in range(ROUNDS):
+        low = value < _NEVER
+        for k, c in enumerate(close, 1):
+            low[k:] &= ~c | (value[k:] < value[:-k])
+            low[:-k] &= ~c | (value[:-k] <= value[k:])
+        near = low.copy()
+        for k, c in enumerate(close, 1):
+            near[k:] |= c & low[:-k]
+            near[:-k] |= c & low[k:]
+        ends |= low
+        value[near] = _NEVER
+    return ends
+
+
 def units_of(data: np.ndarray, bounds: np.ndarray) -> Units:
     words = split_words(data, bounds)
     n, none = len(words.start), np.zeros(0, np.int64)
@@ -82,19 +114,16 @@ def units_of(data: np.ndarray, bounds: np.ndarray) -> Units:
         earlier = np.concatenate([np.zeros(min(k, len(h)), dtype=_U), np.where(of[k:] == of[:-k], h[:-k], _U(0))])
         rolled = rolled * _ROLL + earlier
     rolled = mix(rolled)
-    low = np.ones(len(h), dtype=bool)
-    apart = of[1:] != of[:-1]
-    low[1:] &= (rolled[1:] < rolled[:-1]) | apart
-    low[:-1] &= (rolled[:-1] <= rolled[1:]) | apart
-    low[:-1] |= apart
-    low[-1] = True
     unit_bounds = np.searchsorted(of, np.arange(len(bounds)))
-    c_last = np.flatnonzero(low) + 1
-    c_first = np.concatenate([[0], c_last[:-1]])
-    c_doc = of[c_first]
     count = last - first + 1
     total = np.concatenate([[0], np.cumsum(count)])
-    good = (c_last - c_first >= 2) & (total[c_last] - total[c_first] >= CHUNK_WORDS)
+    ends = chunk_ends(rolled, total[1:], total[unit_bounds[of]], total[unit_bounds[of + 1]])
+    ends[:-1] |= of[1:] != of[:-1]
+    ends[-1] = True
+    c_last = np.flatnonzero(ends) + 1
+    c_first = np.concatenate([[0], c_last[:-1]])
+    c_doc = of[c_first]
+    good = total[c_last] - total[c_first] >= CHUNK_WORDS
     base = unit_bounds[c_doc]
     return Units(start, end, count, unit_bounds, c_first - base, c_last - base, np.searchsorted(c_doc, np.arange(len(bounds))), good)
 
@@ -135,32 +164,66 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc": doc_ids[first + doc], "k": keys[first + doc], "at": u.first[which].astype(np.int32), "h": h})
 
 
-_CHUNK = {"first": pa.bool_(), "k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "h": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
+_CHUNK = {"first": pa.bool_(), "again": pa.bool_(), "k": pa.int64(), "at": pa.int32(), "end": pa.int32(), "own_first": pa.int32(), "own_last": pa.int32(), "h": pa.int64(), "chunk": pa.binary(), "before": pa.list_(pa.binary()), "after": pa.list_(pa.binary())}
+
+
+def own_extents(units: list[bytes], pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """``extent`` of chunks (at, end) and their first places (at, end) in the same text."""
+    known: dict[bytes, int] = {}
+    ids = np.array([known.setdefault(x, len(known)) for x in units])
+    differ: dict[int, np.ndarray] = {}
+    out = []
+    for at, end, f_at, f_end in pairs:
+        apart = at - f_at
+        if apart not in differ:
+            differ[apart] = apart + np.flatnonzero(ids[apart:] != ids[:-apart])
+        places = differ[apart]
+        left, right = (int(np.searchsorted(places, x)) for x in (at, end))
+        out.append((max(int(places[left - 1]) + 1 if left else apart, f_end), int(places[right]) if right < len(places) else len(units)))
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 2 << 20):
-        asked = list(_columns(batch, "k", "wanted"))
+        asked = list(_columns(batch, "k", "wanted", "several"))
         for first_row, part, _, u in _blocks(_column(batch, "text")):
             raw, rows = part.tobytes(), []
             chunks = np.flatnonzero(u.eligible)
             doc, h = _chunk_hashes(part, u, chunks)
             cuts = np.searchsorted(doc, np.arange(len(u.bounds))).tolist()
+            # how far the chunk beside and the words that its end depends on reach
+            total = np.concatenate([[0], np.cumsum(u.words)])
+            base, top = u.bounds[doc], u.bounds[doc + 1]
+            left = base + np.where(u.first[chunks] > 0, u.first[chunks - 1], 0)
+            left = np.maximum(np.searchsorted(total, total[left] - REACH_WORDS, "right") - 1 - ROLLED, base) - base
+            right = base + np.where(base + u.last[chunks] < top, u.last[np.minimum(chunks + 1, len(u.last) - 1)], u.last[chunks])
+            right = np.minimum(np.searchsorted(total, total[right] + REACH_WORDS) + ROLLED, top) - base
             for d in range(len(u.bounds) - 1):
-                k, wanted = asked[first_row + d]
-                first, seen = {w["at"]: w["first"] for w in wanted}, set()
-                base, top = int(u.bounds[d]), int(u.bounds[d + 1])
-                spans = list(zip(u.start[base:top].tolist(), u.end[base:top].tolist(), strict=True))
+                k, wanted, several = asked[first_row + d]
+                first, seen = {w["at"]: w["first"] for w in wanted}, {}
+                lo, hi = int(u.bounds[d]), int(u.bounds[d + 1])
+                spans = list(zip(u.start[lo:hi].tolist(), u.end[lo:hi].tolist(), strict=True))
                 mine = slice(cuts[d], cuts[d + 1])
-                found = [x for x in zip(u.first[chunks[mine]].tolist(), u.last[chunks[mine]].tolist(), h[mine].tolist(), strict=True) if x[0] in first]
-                ends = {b for _, b, _ in found}
-                for a, b, x in found:
-                    # a repeated chunk beside this one stands for itself; what others are compared with has all
-                    before = [raw[s:e] for s, e in spans[max(0, a - CONTEXT) : a]] if first[a] or a not in ends else []
-                    after = [raw[s:e] for s, e in spans[b : b + CONTEXT]] if first[a] or b not in first else []
-                    head = first[a] and x not in seen
-                    seen.add(x)
-                    rows.append((head, k, a, b, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
+                columns = (u.first[chunks[mine]], u.last[chunks[mine]], h[mine], left[mine], right[mine])
+                found = [x for x in zip(*(c.tolist() for c in columns), strict=True) if x[0] in first]
+                heads = []
+                for a, b, x, *_ in found:
+                    heads.append(first[a] and seen.setdefault(x, (a, b)) == (a, b))
+                # a repeated chunk beside this one goes by itself, unless it is a first place; what others are compared with has all
+                begins, ends = ({x[i] for x, head in zip(found, heads, strict=True) if not head} for i in (0, 1))
+                own = []
+                for (a, b, x, l, r), head in zip(found, heads, strict=True):
+                    full = head or several and first[a]
+                    alone = not first[a]
+                    before = [raw[s:e] for s, e in spans[max(l, a - CONTEXT) : a]] if full or alone and a not in ends else []
+                    after = [raw[s:e] for s, e in spans[b : min(r, b + CONTEXT)]] if full or alone and b not in begins else []
+                    if first[a] and not head:
+                        own.append((len(rows), (a, b, *seen[x])))
+                    rows.append((head, several or not head, k, a, b, None, None, x, raw[spans[a][0] : spans[b - 1][1]], before, after))
+                if own:
+                    units = [raw[s:e] for s, e in spans]
+                    for (n, _), span in zip(own, own_extents(units, [p for _, p in own]), strict=True):
+                        rows[n] = (*rows[n][:5], *span, *rows[n][7:])
             yield _table(rows, _CHUNK)
 
 
@@ -180,9 +243,11 @@ def extent(at: int, end: int, before: list[bytes], after: list[bytes], first_bef
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The units that go with each chunk that equals its first place."""
     kinds = {"k": pa.int64(), "first": pa.int32(), "last": pa.int32()}
-    names = ("k", "at", "end", "floor", "before", "after", "f_before", "f_after")
+    names = ("k", "at", "end", "own_first", "own_last", "before", "after", "f_before", "f_after")
     for batch in batches:
-        rows = [(k, *extent(at, end, before or [], after or [], f_before or [], f_after or [], floor)) for k, at, end, floor, before, after, f_before, f_after in _columns(batch, *names)]
+        rows = []
+        for k, at, end, own_first, own_last, *near in _columns(batch, *names):
+            rows.append((k, own_first, own_last) if own_first is not None else (k, *extent(at, end, *(x or [] for x in near))))
         yield _table(rows, kinds)
 
 
@@ -235,20 +300,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # chunks in several places, and the smallest doc_id of these
     firsts = places.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").select("h", "first_doc")
     firsts = written(firsts, "firsts")
+    # doc_ids of several texts: all of these may hold a first place, and the smallest hash decides
+    several = places.groupBy("doc").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least <> most")
+    several = written(several.select(F.col("doc").alias("shared_doc")), "several")
     wanted = places.join(firsts, "h").withColumn("first", F.col("doc") == F.col("first_doc"))
-    wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"))
-    schema = "first boolean, k long, at int, end int, h long, chunk binary, before array<binary>, after array<binary>"
-    repeats = written(texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_texts, schema), "repeats")
-    discard(places, firsts)
+    wanted = wanted.groupBy("k").agg(F.collect_set(F.struct("at", "first")).alias("wanted"), F.max("doc").alias("doc"))
+    wanted = wanted.join(several, F.col("doc") == F.col("shared_doc"), "left").select("k", "wanted", F.col("shared_doc").isNotNull().alias("several"))
+    schema = "first boolean, again boolean, k long, at int, end int, own_first int, own_last int, h long, chunk binary, before array<binary>, after array<binary>"
+    repeats = written(texts.join(wanted, "k").select("k", "text", "wanted", "several").mapInArrow(_texts, schema), "repeats")
+    discard(places, firsts, several)
     # the first place in the smallest doc_id is what the others are compared with
-    head = F.struct("k", "at", "end", "chunk", "before", "after")
+    head = F.struct("k", "at", "chunk", "before", "after")
     heads = repeats.where("first").groupBy("h").agg(F.min(head).alias("f"))
-    heads = written(heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "end", "chunk", "before", "after"))), "heads")
+    heads = written(heads.select("h", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("k", "at", "chunk", "before", "after"))), "heads")
     # byte by byte; neighbours travel to Python only where both sides have some
-    pairs = repeats.where("not first").join(heads, "h").where("chunk = f_chunk")
-    near = [F.when(F.size(c) > 0, F.col(f"f_{c}")).alias(f"f_{c}") for c in ("before", "after")]
-    floor = F.when(F.col("k") == F.col("f_k"), F.col("f_end")).otherwise(0).alias("floor")
-    found = written(pairs.select("k", "at", "end", floor, "before", "after", *near).mapInArrow(_extend, "k long, first int, last int"), "found")
+    pairs = repeats.where("again").join(heads, "h").where("chunk = f_chunk and (k <> f_k or at <> f_at)")
+    inside = F.col("k") == F.col("f_k")
+    own = [F.when(inside, F.col(c)).alias(c) for c in ("own_first", "own_last")]
+    near = [F.when(~inside & (F.size(c) > 0), F.col(f"f_{c}")).alias(f"f_{c}") for c in ("before", "after")]
+    found = written(pairs.select("k", "at", "end", *own, "before", "after", *near).mapInArrow(_extend, "k long, first int, last int"), "found")
     discard(repeats, heads)
     spans = found.groupBy(F.col("k").alias("_key")).agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -123,3 +123,61 @@ def test_short_repeats_stay():
 def test_no_rows(spark):
     assert dedup_lines(spark.createDataFrame([], COLUMNS)).count() == 0
     assert [tuple(r) for r in dedup_lines(spark.createDataFrame([(None, None, None, None, None)], COLUMNS)).select("text", "n_units", "n_removed").collect()] == [(None, 0, 0)]
+
+
+def listed(draw, kind, n=60):
+    """A passage of n words in short units, and other text of the kind."""
+    def word():
+        if kind == "unspaced":
+            return "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(draw.randint(4, 12)))
+        return "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 9)))
+
+    joint = {"menu": "\n", "commas": ", ", "unspaced": "\n", "pairs": "\n"}[kind]
+    return joint.join(word() + (" " + word() if kind == "pairs" else "") for _ in range(n // 2 if kind == "pairs" else n))
+
+
+@pytest.mark.parametrize("kind", ["menu", "commas", "pairs", "unspaced"])
+@pytest.mark.parametrize("size", [52, 80])
+def test_passages_of_short_units_go(spark, kind, size):
+    draw = random.Random(5)
+    passages, rows, planted = [listed(draw, kind, size) for _ in range(10)], [], {}
+    for i in range(60):
+        before, after = listed(draw, kind, draw.randint(10, 60)), listed(draw, kind, draw.randint(10, 60))
+        if i % 2:
+            planted[i] = (before, after)
+        p = passages[i // 2 % 10]
+        rows.append((i, f"{before}\n{p}\n{after}" if i % 2 else f"{before}\n{after}", "en", "s", 0))
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+    gone = [i for i, (before, after) in planted.items() if got[i].split() == (before + "\n" + after).split()]
+    firsts = [i for i in planted if i < 20]
+    assert all(got[i] == rows[i][1] for i in range(60) if i not in planted or i in firsts)
+    assert len(gone) >= 0.95 * (len(planted) - len(firsts))
+
+
+def test_matches_go_on_until_the_texts_differ(spark):
+    draw = random.Random(8)
+    for n in range(30, 60, 3):  # few chunks, and many units beside them
+        p = listed(draw, "menu", n)
+        rows = [(i, f"start{i}\n{p}\nend{i}", "en", "s", 0) for i in range(4)]
+        got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+        assert got[0] == rows[0][1] and all(got[i] in (f"start{i}\nend{i}", rows[i][1]) for i in range(1, 4))
+
+
+def test_extents_inside_a_text():
+    draw = random.Random(4)
+    for _ in range(200):
+        units = [draw.choice([b"a", b"b"]) for _ in range(40)]
+        f_at, size = draw.randrange(10), draw.randint(1, 5)
+        at = draw.randint(f_at + size, 34)
+        units[at : at + size] = units[f_at : f_at + size]
+        end, f_end = at + size, f_at + size
+        want = lines.extent(at, end, units[:at], units[end:], units[:f_at], units[f_end:], f_end)
+        assert lines.own_extents(units, [(at, end, f_at, f_end)]) == [want]
+
+
+def test_texts_of_one_doc_id_have_one_first_place(spark):
+    p = listed(random.Random(6), "menu", 80)
+    for doc in (7, None):
+        rows = [(doc, f"start{i}\n{p}\nend{i}", "en", "s", 0) for i in range(3)]
+        got = [r["text"] for r in dedup_lines(frame(spark, rows)).collect()]
+        assert sorted(map(len, got))[:2] == [len("start0\nend0")] * 2 and sum(p in t for t in got) == 1
