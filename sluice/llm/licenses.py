@@ -5,7 +5,9 @@ words stand consecutively. The method then looks for whole notices with up to ``
 edits: a notice is split into k + 1 pieces, of which at least one must occur
 unchanged (pigeonhole), each occurrence of a piece gives a window of the
 normalised text (words joined by one space), and the regex library's
-bounded-error matching decides on the window and reports span and edits.
+bounded-error matching decides on the window and reports span and edits. A notice
+that names its licence counts only if the name stands in its place with at most one
+edit (none in ``nc``) and isn't a word that names another licence.
 
 Edits count bytes of UTF-8. Null and empty texts have no words, no labels and
 score 0. Whole texts are searched, whatever their length; no shuffle happens.
@@ -26,18 +28,21 @@ from sluice.llm.shared import small_batches, text_bounds
 #: Base phrases: words and label.
 PHRASES = (((b"mit", b"license"), "mit"), ((b"apache", b"license"), "apache"), ((b"general", b"public", b"license"), "gpl"))
 
-#: Notices that are searched with edits: label, words, most edits.
+#: Notices that are searched with edits: label, words, most edits, and the word that names the licence with its own most edits.
 NOTICES = (
-    ("mit", "released under the mit license", 3),
+    ("mit", "released under the mit license", 3, "mit", 1),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 6),
-    ("apache", "licensed under the apache license version 2 0", 4),
-    ("gpl", "licensed under the gnu general public license", 4),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", 6),
-    ("cc-by-nc", "licensed under cc by nc 4 0", 2),
+    ("apache", "licensed under the apache license version 2 0", 4, "apache", 1),
+    ("gpl", "licensed under the gnu general public license", 4, "general", 1),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", 6, "general", 1),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 2, "nc", 0),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 6),
-    ("mpl", "subject to the terms of the mozilla public license", 4),
+    ("mpl", "subject to the terms of the mozilla public license", 4, "mozilla", 1),
 )
 
+#: Words that name a licence, or what sets one apart from its kin; none of them is another one misspelt.
+NAMES = frozenset(b"mit mit0 bsd isc gpl lgpl agpl mpl epl eupl cddl cpl apl apsl afl osl ofl wtfpl zlib x11 ncsa nc nd sa by cc0 apache apple artistic boost eclipse mozilla general lesser affero library".split())
+
 #: Each byte of a word with A-Z mapped to a-z, every other byte a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -51,13 +56,15 @@ class Notice:
     edits: int
     pieces: tuple[tuple[int, bytes], ...]
     pattern: regex.Pattern
+    name: bytes
+    name_edits: int
 
     @staticmethod
-    def of(label: str, words: str, edits: int) -> Notice:
+    def of(label: str, words: str, edits: int, name: str = "", name_edits: int = 0) -> Notice:
         text = words.encode()
         cuts = [round(k * len(text) / (edits + 1)) for k in range(edits + 2)]
         pieces = tuple((a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        return Notice(label, text, edits, pieces, regex.compile(rb"(?e)(?:" + regex.escape(text, special_only=True) + rb"){e<=%d}" % edits))
+        return Notice(label, text, edits, pieces, regex.compile(rb"(?e)(?:" + regex.escape(text, special_only=True) + rb"){e<=%d}" % edits), name.encode(), name_edits)
 
 
 def _windows(text: bytes, notice: Notice) -> Iterator[tuple[int, int]]:
@@ -76,19 +83,55 @@ def _windows(text: bytes, notice: Notice) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def _edits_upto(pattern: bytes, text: bytes) -> list[int]:
+    """The edits between the pattern and text[:j], for each j."""
+    row = list(range(len(text) + 1))
+    for i, x in enumerate(pattern, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row
+
+
+def is_named(text: bytes, start: int, end: int, notice: Notice) -> bool:
+    """Whether the name of the notice's licence stands in its place in text[start:end]."""
+    if not notice.name or text[start:end] == notice.text:
+        return True
+    span, at = text[start:end], notice.text.index(b" " + notice.name + b" ") + 1
+    before = _edits_upto(notice.text[:at], span)
+    after = _edits_upto(notice.text[at + len(notice.name) :][::-1], span[::-1])[::-1]
+    for i in range(len(span)):
+        for j in range(i + max(1, len(notice.name) - notice.name_edits), min(len(span), i + len(notice.name) + notice.name_edits) + 1):
+            if before[i] + after[j] <= notice.edits:
+                own = _edits_upto(notice.name, span[i:j])[-1]
+                if own <= notice.name_edits and before[i] + own + after[j] <= notice.edits:
+                    words = text[text.rfind(b" ", 0, start + i + 1) + 1 : (text + b" ").index(b" ", start + j - 1)].split()
+                    if not any(w in NAMES and w != notice.name for w in words):
+                        return True
+    return False
+
+
+def _found(text: bytes, a: int, b: int, notice: Notice) -> Iterator[regex.Match]:
+    while m := notice.pattern.search(text, a, b):
+        named = is_named(text, m.start(), m.end(), notice)
+        if named:
+            yield m
+        a = m.end() if named else m.start() + 1
+
+
 def fuzzy_matches(text: bytes, notices: tuple[Notice, ...]) -> list[dict]:
     """Where the notices stand in normalised text: words (from 0) of the span, and edits."""
     out = []
     for k, notice in enumerate(notices):
         for a, b in _windows(text, notice):
-            for m in notice.pattern.finditer(text, a, b):
+            for m in _found(text, a, b, notice):
                 first = text.count(b" ", 0, m.start() + 1) if text[m.start() : m.start() + 1] == b" " else text.count(b" ", 0, m.start())
                 last = text.count(b" ", 0, max(m.start() + 1, m.end() - 1))
                 out.append({"label": notice.label, "notice": k, "first_word": first, "last_word": max(first, last), "edits": sum(m.fuzzy_counts)})
     return out
 
 
-def _scan(notices: tuple[tuple[str, str, int], ...]):
+def _scan(notices: tuple[tuple, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = tuple(Notice.of(*x) for x in notices)
         for batch in small_batches(batches, "text"):
@@ -119,7 +162,7 @@ def _scan(notices: tuple[tuple[str, str, int], ...]):
     return run
 
 
-def scan_licenses(docs: DataFrame, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: tuple[tuple, ...] = NOTICES) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) its base and fuzzy licence labels with spans."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches {MATCHES}"

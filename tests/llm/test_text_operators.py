@@ -116,6 +116,21 @@ def test_licences(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_notices_of_other_licences_get_no_label(spark):
+    texts = {f"Released under the {x} license.": "" for x in ("BSD", "ISC", "GPL", "new", "MPL", "X11", "zlib")}
+    texts |= {f"Licensed under CC BY-{x} 4.0": "" for x in ("SA", "ND")}
+    texts |= {"licensed under the apple license, version 2.0": "", "subject to the terms of the motorola public license": "", "subject to the terms of the eclipse public license": ""}
+    texts |= {
+        "released under the mit license": "mit", "releasd under the mlt license": "mit", "released under themit license": "mit", "released under the m1t licence": "mit", "licensed undr cc by-nc 4.0": "cc-by-nc",
+        "licenced under the apachee license version 2.0": "apache", "licensed under the gnu genral public licence": "gpl", "subject to the terms of the mozila public licence": "mpl",
+        "released under the bsd license released under the mlt license": "mit", "licensed under cc by sa 4.0 licensed under cc by nc 4 0": "cc-by-nc",
+    }
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert {t: got[i]["labels"] for i, t in enumerate(texts)} == texts
+    assert all((got[i]["score"] > 0) == bool(texts[t]) and bool(got[i]["matches"] or got[i]["base_labels"]) == bool(texts[t]) for i, t in enumerate(texts))
+
+
 # --- packing
 
 
