@@ -145,3 +145,38 @@ def test_import_end_to_end(spark, tmp_path):
 def test_another_rule_set(spark):
     rules = RuleSet(("x",), (required("x"),), lambda cells: F.struct(cells["x"]))
     assert rules.columns == ("x",)
+
+
+def awkward_documents(spark, folder):
+    """Documents with null sources and texts, leading and inner blanks, and long texts."""
+    name = 'a "quoted", long\r\nname '
+    texts = [None, "", "ok", " " * 300 + "ok", "\n" * 300 + "x" * 256, "x" * 250 + " " * 100 + "y", " \t" * 200, name * 3000, "z" * 255 + " " * 400, "é" * 256]
+    rows = [(i, texts[i % 10], "en" if i % 3 else None, (None, "src1", "src5")[i // 10 % 3], i) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return rows
+
+
+def test_bulk_import_of_whole_texts_and_null_sources(spark, tmp_path):
+    from sluice.plans.catalogue import documents_bulk_import
+
+    rows, want, seen, nth = awkward_documents(spark, tmp_path), {}, {}, {}
+    for doc, text, lang, source, n_chars in rows:
+        file = f"{source or ''}-0"
+        n = nth[file] = nth.get(file, -1) + 1
+        chunk, row, name = n // 20 + 1, n % 20 + 1, (text or "").strip(" \t\n\r\0\x0b")
+        errors = [m for bad, m in ((not name, "Consent name is required"), (len(name) > 255, "Consent name is longer than 255 characters"), (not lang, "Purpose is required"), (n_chars % 3 < 1, "Version must be a positive whole number"), (doc % 4 == 3, "Status must be one of: Active, Inactive")) if bad]
+        if not errors:
+            first = seen.setdefault((file, chunk, doc % 7, n_chars % 3), row)
+            errors = [f"is a duplicate of row {first} of this chunk"] if first < row else []
+        want[doc] = (file, chunk, row, "; ".join(errors))
+    got = {r["doc_id"]: (r["file"], r["chunk_seq"], r["row_in_chunk"], r["errors"]) for r in documents_bulk_import(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_verdicts_of_null_sources_and_texts(spark, tmp_path):
+    from sluice.plans.catalogue import documents_file_verdicts
+
+    awkward_documents(spark, tmp_path)
+    got = {r["file"]: (r["status"], r["failure_message"]) for r in documents_file_verdicts(spark, str(tmp_path)).collect()}
+    large = "The file is not processable: row 9 is larger than 16 KB, which usually means a quote is never closed."
+    assert got == {"-0": ("failed", large), "src1-0": ("failed", large), "src5-0": ("failed", "The file is not processable: it is not a .csv file.")}
