@@ -89,18 +89,22 @@ def store_map(slot_map: DataFrame, path: str) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, law, shard, its place in the shard from 0
-    (slot), grown_shard (null under this law) and virtual slot."""
+    (slot), grown_shard (null under this law), virtual slot, and its shard under version 2 of
+    the map, which has one shard more (next_shard)."""
     records = with_slots(docs, slots)
     sums = written(slot_bytes(records), "slot-bytes")
-    versions = store_map(balanced_map(sums, shards), f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}")
+    path = f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
+    versions = store_map(balanced_map(sums, shards), path)
+    versions = store_map(grown_map(versions.where("version = 1"), sums), path)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = versions.where("version = 1").join(sums, "vslot").withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    placed = F.broadcast(placed.select("vslot", "shard", "begin"))  # a row per virtual slot
+    grown = versions.where("version = 2").select("vslot", F.col("shard").alias("next_shard"))
+    placed = F.broadcast(placed.select("vslot", "shard", "begin").join(grown, "vslot"))  # a row per virtual slot
     within = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
     numbered = records.withColumn("nth", F.row_number().over(within)).join(placed, "vslot")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
+        (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "next_shard",
     )
 
 

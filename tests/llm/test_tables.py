@@ -12,6 +12,15 @@ from sluice.llm import hnsw, mixing, sharding
 # --- shards
 
 
+def test_the_map_is_edited_over_the_whole_table(spark):
+    rows = documents()
+    got = sharding.sharded(frame(spark, rows), shards=3, slots=256).collect()
+    assert len(got) == len(rows) and all(r["next_shard"] in (r["shard"], 3) for r in got)
+    assert len({(r["virtual_slot"], r["shard"], r["next_shard"]) for r in got}) == len({r["virtual_slot"] for r in got})
+    share, moved = sum(r["size"] for r in got) / 4, sum(r["size"] for r in got if r["next_shard"] == 3)
+    assert 0 < moved <= share
+
+
 def test_shards_are_even_and_numbered(spark):
     rows = documents()
     got = sharding.sharded(frame(spark, rows, clashes=True), shards=7).collect()
