@@ -1,18 +1,23 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
-An archive is a leading skippable frame that holds a dictionary trained on the
-archive's own records, then one Zstandard frame per WARC record. Archives are
-bounded in size, so a task writes as many as its rows need; as executors can only
+An archive is a leading skippable frame that holds a dictionary made from the
+archive's own records, then one Zstandard frame per WARC record. The dictionary is
+trained on pieces of the records, spread over the whole archive; where there are too
+few of them to train on, the pieces themselves are the dictionary, so every archive
+with a record has one. It takes a sixteenth of the records' bytes at most. Archives
+are bounded in size, so a task writes as many as its rows need; as executors can only
 write through Spark, the archives are the rows of a table (name, data), each row
 being a complete archive file.
 
 Payloads repeat: among records with equal payloads of at least 100 bytes the one
 with the smallest page_id is a response, the others are revisits that carry no
-payload. Which is which comes from one aggregate over (digest, length).
+payload, but its length in their HTTP head. Which is which comes from one aggregate
+over digests.
 
 Null html is an empty payload; a null url leaves the target field out. Rows that
 repeat the smallest page_id of their payload are responses too. Rows with a null
-page_id count as larger than any other.
+page_id count as larger than any other. Other columns are left out; no pages give no
+archives.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 REVISIT_LEAST_BYTES = 100
-#: Raw bytes of records in one archive; of those, how many the dictionary is trained on, and its size.
+#: Raw bytes of records in one archive; of those, how many the dictionary is made from, in pieces of what size; its own size, and part of the records.
 ARCHIVE_BYTES = 12 << 20
-SAMPLE_BYTES = 1 << 20
-DICTIONARY_BYTES = 48 << 10
+SAMPLE_BYTES, PIECE_BYTES = 1 << 20, 4 << 10
+DICTIONARY_BYTES, DICTIONARY_PART = 48 << 10, 16
 LEVEL = 5
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -68,29 +73,35 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
-def pack_archive(records: list[bytes]) -> bytes:
-    """An archive of these records; without a dictionary frame where too few of them could train one."""
+def dictionary_of(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for these records: trained on pieces of them, or the pieces as they are."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    sample = [x[: SAMPLE_BYTES // 8] for x in records[::step]]
-    dictionary = None
-    if len(sample) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8)
-        except zstandard.ZstdError:  # too little in common
-            dictionary = None
+    pieces = [x[a : a + PIECE_BYTES] for x in records for a in range(0, len(x), PIECE_BYTES)]
+    sample = pieces[:: max(1, -(-total // SAMPLE_BYTES))]
+    size = min(DICTIONARY_BYTES, max(256, total // DICTIONARY_PART))
+    try:
+        return zstandard.train_dictionary(size, sample, k=256, d=8)
+    except zstandard.ZstdError:  # too few pieces, or too little in common
+        part = max(1, size // len(sample))
+        return zstandard.ZstdCompressionDict(b"".join(x[:part] for x in sample)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def pack_archive(records: list[bytes]) -> bytes:
+    """An archive of these records; nothing for none."""
+    if not records:
+        return b""
+    dictionary = dictionary_of(records)
+    raw = dictionary.as_bytes()
     out = io.BytesIO()
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
+    out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
     for x in records:
         out.write(packer.compress(x))
     return out.getvalue()
 
 
-def unpack_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and payload of each record of an archive."""
+def unpack_archive(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """Header fields, HTTP fields and payload of each record of an archive."""
     dictionary, at = None, 0
     if len(data) >= 8:
         magic, length = struct.unpack_from("<II", data)
@@ -108,7 +119,9 @@ def unpack_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         body = stream.read(int(fields["Content-Length"]))
         if stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its length says")
-        yield fields, body.partition(b"\r\n\r\n")[2]
+        head, _, payload = body.partition(b"\r\n\r\n")
+        http = dict(x.split(": ", 1) for x in head.decode("latin-1").split("\r\n")[1:] if ": " in x)
+        yield fields, http, payload
 
 
 def _write(date: str):
@@ -133,30 +146,33 @@ def _write(date: str):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(payloads: bool):
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    number = lambda x: None if x is None else int(x)
-    for b in batches:
-        for data in b.column(b.schema.get_field_index("data")):
-            rows, total = [], 0
-            for fields, payload in unpack_archive(data.as_py()):
-                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't have its digest")
-                rows.append((
-                    number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), len(payload) if kind == "response" else None, digest, kind,
-                    number(fields.get("X-Refers-To-Page")), payload if kind == "response" else None,
-                ))
-                total += len(payload)
-                if total >= 4 << 20:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda x: None if x is None else int(x)
+        for b in batches:
+            for data in b.column(b.schema.get_field_index("data")):
+                rows, total = [], 0
+                for fields, http, payload in unpack_archive(data.as_py()):
+                    kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(http["Content-Length"])
+                    if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
+                        raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't have its digest or length")
+                    rows.append((
+                        number(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), size, digest, kind,
+                        number(fields.get("X-Refers-To-Page")), payload if payloads and kind == "response" else None,
+                    ))
+                    total += len(payload) + 100
+                    if total >= 4 << 20:
+                        yield batch(rows)
+                        rows, total = [], 0
+                if rows:
                     yield batch(rows)
-                    rows, total = [], 0
-            if rows:
-                yield batch(rows)
+
+    return run
 
 
 def write_archives(pages: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
@@ -172,30 +188,16 @@ def write_archives(pages: DataFrame, date: str = "2020-01-01T00:00:00Z") -> Data
     return written(dealt.mapInArrow(_write(date), "name string, data binary"), "archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of archives (name, data). Responses are checked against their digests;
-    revisits have no payload and no length of their own, see ``resolved``."""
-    return archives.select("data").mapInArrow(_read, RECORDS)
-
-
-def resolved(records: DataFrame) -> DataFrame:
-    """Records in which each revisit has the payload length of the response that it refers to.
-
-    Joins on (page, digest), narrow columns only; a response that many records
-    refer to is a skewed key that Spark can split.
-    """
-    narrow = written(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
-    responses = narrow.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("full"))
-    responses = written(responses.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "full"), "responses")
-    revisits = narrow.where("record_type = 'revisit'")
-    found = revisits.join(responses, (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return narrow.where("record_type = 'response'").select(columns).unionByName(found.select("page_id", F.col("full").alias("payload_bytes"), *columns[2:]))
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of archives (name, data). Responses are checked against their digests and
+    lengths; revisits have no payload, but the length of the one they refer to. Without
+    ``payloads`` that column is null throughout."""
+    return archives.select("data").mapInArrow(_read(payloads), RECORDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return resolved(read_archives(write_archives(pages)))
+    return read_archives(write_archives(pages), payloads=False).drop("url", "payload")
 
 
 ORACLE = """
