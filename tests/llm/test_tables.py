@@ -162,6 +162,30 @@ def test_neighbours(spark):
     assert hit >= 0.95 * 10 * len(got)
 
 
+def test_a_graph_is_whole_and_found_by_its_search():
+    draw = np.random.default_rng(3)
+    x = draw.normal(0, 1, (3000, 16))
+    shard = hnsw.Shard.read(hnsw.Shard.of(x, np.arange(3000)).row())
+    assert not (shard.graph.x.dtype == np.float32) and len(shard.graph.x) == 3000
+    for k, layer in enumerate(shard.graph.layers):
+        links = layer.table
+        assert links.shape == (int((shard.graph.levels >= k).sum()), hnsw.width_of(k, hnsw.LINKS))
+        assert ((links < 0) | (shard.graph.levels[links] >= k)).all() and not (links == layer.nodes[:, None]).any()
+        assert all(len(set(r[r >= 0].tolist())) == (r >= 0).sum() for r in links)
+    q = draw.normal(0, 1, (100, 16))
+    ids, _, found = shard.nearest(np.full(100, -1) - np.arange(100), q, 10)
+    best = np.argsort(((q[:, None, :] - x[None]) ** 2).sum(axis=2), axis=1)[:, :10]
+    hit = sum(v in set(best[-1 - i].tolist()) for i, v in zip(ids, found, strict=True))
+    assert len(found) == 1000 and hit >= 980
+
+
+def test_a_repeated_id_is_spread_over_shards(spark):
+    df = spark.range(4000, numPartitions=8).selectExpr("if(id < 3000, 100L, id) as vec_id", "array(double(1 + id % 7), double(2)) as v")
+    graphs, shards = hnsw.build_index(df, 2, shard_rows=1000)
+    sizes = [len(r["ids"]) // 8 for r in graphs.collect()]
+    assert shards == 4 and sum(sizes) == 4000 and max(sizes) < 2500
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [0.0, 2.0]), (7, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in hnsw.nearest(df, F.col("vec_id") % 100 == 0).collect())
