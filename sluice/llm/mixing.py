@@ -12,14 +12,21 @@ add up. The seats of a source are counted in closed form near its share; only se
 rank could decide are listed.
 
 Selection: a source's documents are laid end to end in a seeded hash order and cut
-into blocks. A quota of q among n blocks takes every block q div n times and a
-seeded q mod n of them once more, by a multiplication modulo n that visits every
-block once. What a document contributes is its overlap with the blocks taken.
-
-Rows are dealt by (source, hash) with offsets from a prefix sum over hash ranges,
-so a source that holds a third of all rows is spread like any other. Null text and
-texts without words have size 0 and contribute nothing; a null source is a source.
-Repeated rows lie side by side in the order and count one by one.
+into blocks, of which a seeded one is the first to be taken; from there on they are
+taken one after the other, round and round, until the source's quota is full. So the
+choice is seeded, nearly all documents are taken whole or not at all, and as many
+times as a quota has rounds. The first blocks go to shard 0 up to its quota, the next
+ones to shard 1, and so on. What a document contributes is its overlap with the blocks
+taken, shard by shard.
+
+Rows are dealt by (source, hash range) with offsets from a prefix sum over the ranges,
+so a source that holds a third of all rows is spread like any other. What goes through
+one task is a row per source (targets, quotas) and, sorted on disk if need be, the
+rows of one hash range, among them all that repeat one doc_id with one size.
+
+Null text and texts without words have size 0 and contribute nothing; a null source is
+a source. Repeated rows lie side by side in the order and count one by one. Other
+columns are carried along, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +42,8 @@ MOST_TIMES = 3
 BLOCK = 32
 SHARDS = 8
 SEED = 20240229
-#: Hash ranges per source.
-RANGES = 512
-#: Primes from which a multiplier that a number of blocks isn't divisible by is taken; fixed values.
-PRIMES = (1000000007, 1610612741, 2147483647)
+#: Rows in one of a source's hash ranges, if it had all rows, and the least number of ranges.
+RANGE_ROWS, LEAST_RANGES = 1 << 18, 512
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -47,8 +52,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", n_words(F.col("text")))
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of words of ``text`` as ``size``."""
+    return docs.drop("size").withColumn("size", n_words(F.col("text")))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -88,72 +94,76 @@ def quotas(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFr
     return upto.where("h > 0").select("source", (F.col("h") - 1).alias("shard"), "quota")
 
 
-def selection(goals: DataFrame, quota: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Per source: source_size, target, blocks, rounds (times that all are taken), extra, and the map of blocks."""
-    q = quota.groupBy(F.col("source").alias("s")).agg(F.sum("quota").alias("q"))
-    out = goals.join(q, goals.source.eqNullSafe(q.s), "left").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
-    out = out.withColumn("q", F.least(F.coalesce("q", F.lit(0)), F.col("blocks") * MOST_TIMES))
-    factor = F.lit(1).cast("long")
-    for p in PRIMES:  # a prime that doesn't divide the number of blocks shares no divisor with it
-        factor = F.when(F.pmod(F.col("blocks"), F.lit(p)) != 0, F.lit(p)).otherwise(factor)
-    out = out.withColumn("factor", F.pmod(factor, F.col("blocks")))
-    out = out.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks")))
-    return out.select("source", "source_size", "target", "blocks", F.expr("q div blocks").alias("rounds"), (F.col("q") % F.col("blocks")).alias("extra"), "factor", "shift")
+def selection(goals: DataFrame, quota: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Per source: source_size, target, blocks, first (the block that is taken first), and upto: how many
+    blocks the shards before each shard take, and all of them."""
+    each = quota.groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("q"))
+    out = goals.join(each, goals.source.eqNullSafe(each.s), "left").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
+    upto = F.transform(
+        F.sequence(F.lit(0), F.lit(shards)),
+        lambda h: F.aggregate(F.filter("q", lambda x: x["shard"] < h), F.lit(0).cast("long"), lambda n, x: n + x["quota"]),
+    )
+    upto = F.coalesce(upto, F.array_repeat(F.lit(0).cast("long"), shards + 1))
+    out = out.withColumn("upto", F.transform(upto, lambda n: F.least(F.coalesce(n, F.lit(0)), F.col("blocks") * MOST_TIMES)))
+    return out.select("source", "source_size", "target", "blocks", F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks")).alias("first"), "upto")
 
 
-def is_picked(k: Column, place: Column) -> Column:
-    """Whether block k of a source is one that is taken once more."""
-    return F.pmod(k * place["factor"] + place["shift"], place["blocks"]) < place["extra"]
+def taken_parts(begin: Column, size: Column, blocks: Column, first: Column, upto: Column, block: int = BLOCK, shards: int = SHARDS) -> Column:
+    """The word spans of a row that each shard takes: array of (shard, from, to).
 
+    begin: words before the row in its source; the rest: see ``selection``.
+    """
+    all_, cut = blocks * block, first * block
+    # words by their place in the order of taking; the first block may cut the row in two
+    ahead = F.struct(F.greatest(begin, cut).alias("at"), (begin + size).alias("to"), (-cut).alias("move"))
+    behind = F.struct(begin.alias("at"), F.least(begin + size, cut).alias("to"), (all_ - cut).alias("move"))
+    runs = F.filter(F.array(ahead, behind), lambda x: x["to"] > x["at"])
+
+    def part(run: Column, times: int, shard: int) -> Column:
+        move = run["move"] + all_ * times
+        low, high = F.greatest(run["at"] + move, upto[shard] * block), F.least(run["to"] + move, upto[shard + 1] * block)
+        return F.struct(F.lit(shard).alias("shard"), (low - move - begin).alias("from"), (high - move - begin).alias("to"))
 
-def taken_blocks(size: Column, place: Column, block: int = BLOCK) -> Column:
-    """The spans of a row's words in blocks that are taken once more: array of (from, to)."""
-    begin = place["begin"]
-    first, last = F.floor(begin / block), F.floor((begin + size - 1) / block)
-    picked = F.filter(F.sequence(first, last), lambda k: is_picked(k, place))
-    span = F.transform(picked, lambda k: F.struct(F.greatest(k * block - begin, F.lit(0)).alias("from"), F.least((k + 1) * block - begin, size).alias("to")))
-    return F.when((size > 0) & (place["extra"] > 0), span).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
+    every = F.transform(runs, lambda run: F.array(*(part(run, times, shard) for times in range(MOST_TIMES) for shard in range(shards))))
+    return F.filter(F.flatten(every), lambda x: x["to"] > x["from"])
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` (with doc_id, text, source) and size, source_size, target, rounds, place, parts, taken.
+    """``docs`` (doc_id, source, size and others; see ``sized``) and source_size, target, parts, taken.
 
-    rounds: how often the whole row is taken; place: where it lies in its source, and
-    which blocks are taken once more; parts: its word spans in these; taken: words in
-    all. Columns of these names are replaced.
+    parts: the row's word spans that go to each output shard, a span as often as it is
+    taken; taken: words in all. Columns of these names are replaced. ``docs`` is read twice.
     """
-    docs = docs.drop("size", "source_size", "target", "rounds", "place", "parts", "taken")
-    sized = with_sizes(docs).withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")))
-    sized = sized.withColumn("_range", F.shiftrightunsigned("_place", 64 - RANGES.bit_length() + 1).cast("int"))
-    narrow = sized.select("source", "size", "_range")
-    sums = written(narrow.groupBy("source", "_range").agg(F.sum("size").alias("size")), "range-sizes")
+    docs = docs.drop("source_size", "target", "parts", "taken")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows = rows.select("doc", "doc.source", "doc.size", F.xxhash64(F.lit(seed), "doc.doc_id", "doc.size").alias("place"))
+    ranges = max(LEAST_RANGES, 1 << (docs.count() // RANGE_ROWS).bit_length())
+    rows = rows.withColumn("range", F.shiftrightunsigned("place", 64 - ranges.bit_length() + 1).cast("int"))
+    sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("size")), "range-sizes")
     goals = written(targets(sums), "targets")
-    chosen = written(selection(goals, quotas(goals, block, shards), block, seed), "selection")
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    keys = written(offsets.join(chosen.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "offsets")
-    keys = keys.withColumnsRenamed({"source": "s", "_range": "r"})
-    within = Window.partitionBy("source", "_range").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    laid = laid.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("_range") == F.col("r")))
-    laid = laid.withColumn("place", F.struct((F.col("offset") + F.col("_in")).alias("begin"), "blocks", "factor", "shift", "extra"))
-    laid = laid.withColumn("parts", taken_blocks(F.col("size"), F.col("place"), block))
-    part = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
-    laid = laid.withColumn("taken", F.col("rounds") * F.col("size") + part)
-    return laid.select(*docs.columns, "size", "source_size", "target", "rounds", "place", "parts", "taken")
-
-
-def materialised(mix: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """Rows of the mix itself: a row as often as it is taken whole, and one with its parts' words."""
-    whole = mix.where("rounds > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "rounds"))).drop("_copy")
+    picked = written(selection(goals, quotas(goals, block, shards), block, shards, seed), "selection")
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    keys = written(offsets.join(picked, F.col("s").eqNullSafe(F.col("source"))).drop("source"), "offsets")
+    within = Window.partitionBy("source", "range").orderBy("place", "doc.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    laid = laid.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    laid = laid.withColumn("begin", F.col("before") + F.col("inside"))
+    laid = laid.withColumn("parts", taken_parts(*map(F.col, ("begin", "size", "blocks", "first", "upto")), block=block, shards=shards))
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return laid.select("doc.*", "source_size", "target", "parts", taken.alias("taken"))
+
+
+def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the mix itself, as ``columns`` of ``mix`` and shard: a row for each of its parts, with the part's words."""
+    parts = mix.select(*columns, F.col("size").alias("_size"), F.explode("parts").alias("_part"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    place = F.col("place")
-    picked = F.filter(words, lambda w, i: is_picked(F.floor((place["begin"] + i) / block), place))
-    some = mix.where(F.size("parts") > 0).withColumn("text", F.array_join(picked, " "))
-    return whole.select(columns).unionByName(some.select(columns))
+    some = F.array_join(F.slice(words, F.col("_part.from").cast("int") + 1, (F.col("_part.to") - F.col("_part.from")).cast("int")), " ")
+    whole = (F.col("_part.from") == 0) & (F.col("_part.to") == F.col("_size"))
+    return parts.withColumn("text", F.when(whole, F.col("text")).otherwise(some)).select(*columns, F.col("_part.shard").alias("shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = mixed(docs)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rounds")
+    docs = sized(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "size")
+    out = mixed(written(docs, "sizes"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "parts")

@@ -91,7 +91,10 @@ def size_of(text):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_mix_comes_near_its_targets(spark, seed):
     rows = documents(seed)
-    got = mixing.mixed(frame(spark, rows, clashes=True), block=8, shards=3).collect()
+    names = ("offset", "blocks", "s", "r", "shift", "extra", "range", "place", "begin", "doc", "first", "upto")
+    docs = frame(spark, rows, clashes=True).withColumns({c: F.lit(c) for c in names})
+    got = mixing.mixed(mixing.sized(docs), block=8, shards=3).collect()
+    assert all(r[c] == c for r in got for c in names) and {r["text"] for r in got} == {r[1] for r in rows}
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d), size_of(t)) for d, t, *_ in rows)
     sizes = {}
     for _, t, _, s, _ in rows:
@@ -100,10 +103,18 @@ def test_mix_comes_near_its_targets(spark, seed):
     taken = dict.fromkeys(sizes, 0)
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(goals[r["source"]])
-        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["rounds"] * r["size"] + sum(p["to"] - p["from"] for p in r["parts"])
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == sum(p["to"] - p["from"] for p in r["parts"])
+        assert all(0 <= p["from"] < p["to"] <= r["size"] and 0 <= p["shard"] < 3 for p in r["parts"])
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - goals[s]) <= 8 * 4 for s in sizes)
-    again = mixing.mixed(frame(spark, rows, parts=2), block=8, shards=3).collect()
+    # each shard has its own quota of each source's blocks, but for what the source's last block lacks
+    goal = spark.createDataFrame([(s, goals[s]) for s in goals], "source string, target double")
+    quota = {(r["source"], r["shard"]): 8 * r["quota"] for r in mixing.quotas(goal, block=8, shards=3).collect()}
+    for s in sizes:
+        for h in range(3):
+            words = sum(p["to"] - p["from"] for r in got if r["source"] == s for p in r["parts"] if p["shard"] == h)
+            assert quota.get((s, h), 0) - 8 * 3 <= words <= quota.get((s, h), 0)
+    again = mixing.mixed(mixing.sized(frame(spark, rows, parts=2)), block=8, shards=3).collect()
     assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == sorted((str(r["doc_id"]), r["taken"]) for r in again)
 
 
@@ -122,11 +133,19 @@ def test_quotas_are_highest_quotients(spark):
 
 def test_materialised_mix_has_the_words_taken(spark):
     rows = documents(2)
-    mix = mixing.mixed(frame(spark, rows), block=8).persist()
-    want = sum(r["taken"] for r in mix.collect())
-    out = mixing.materialised(mix, ["doc_id", "text", "source"], block=8).collect()
-    assert sum(size_of(r["text"]) for r in out) == want
-    assert mixing.mixed(spark.createDataFrame([], COLUMNS)).count() == 0
+    mix = mixing.mixed(mixing.sized(frame(spark, rows)), block=8).persist()
+    got = mix.collect()
+    out = mixing.materialised(mix, ["doc_id", "text", "source"]).collect()
+    assert sum(size_of(r["text"]) for r in out) == sum(r["taken"] for r in got)
+    by = {}
+    for r in out:
+        by.setdefault((r["doc_id"], r["source"]), []).append(r["text"].split())
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        assert all([w for w in words[p["from"] : p["to"]]] in [[w for w in x if w] for x in by[r["doc_id"], r["source"]]] or "\x1c" in (r["text"] or "") for p in r["parts"])
+    # nearly all are taken whole or not at all
+    assert sum(any(p["to"] - p["from"] < r["size"] for p in r["parts"]) for r in got) < 60
+    assert mixing.mixed(mixing.sized(spark.createDataFrame([], COLUMNS))).count() == 0
 
 
 # --- nearest neighbours
