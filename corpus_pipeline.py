@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.jaccard import near_duplicates
 from sluice.llm.lines import dedup_lines
-from sluice.llm.mixing import materialised, mixed
+from sluice.llm.mixing import materialised, mixed, sized
 from sluice.llm.packing import pack
 from sluice.llm.quality_rules import judged
 from sluice.llm.shared import written
@@ -56,7 +56,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row as often as it is taken, and the words that are taken of it in part."""
-    return _columns(materialised(mixed(docs.select(COLUMNS)), COLUMNS))
+    return _columns(materialised(mixed(written(sized(docs.select(COLUMNS)), "sized")), COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
