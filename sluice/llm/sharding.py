@@ -2,9 +2,14 @@
 
 A record's slot is a hash of its doc_id and text among ``SLOTS``. Bytes are summed per slot; a
 map gives every slot, largest first, to the shard with the least bytes so far, so
-shards come out nearly equal in bytes (the law of this operator is ``bytes``). Maps
-are stored by version; rebalancing edits the last one: a new shard takes slots from
-the fullest ones until it has its share, and every other slot stays where it is.
+shards come out nearly equal in bytes (the law of this operator is ``bytes``). The map
+is a table of versions at a path. A run takes the last version it finds there, or the
+one asked for, and makes version 1 where there is none; ``grow`` appends the next
+one, in which a new shard takes slots from the fullest ones until it has its share and
+every other slot stays where it is. A map has every slot, also those without bytes.
+
+Equal texts (groups of copies) aren't kept together: one group may hold a third of all
+rows, and no shard could then be near the others in bytes.
 
 Only sums per slot (``SLOTS`` rows, whatever the input) are gathered in one place, and
 the map (as many rows) is what a join broadcasts. Records are numbered inside their
@@ -13,13 +18,15 @@ needs no task that sees a whole shard.
 
 Null text counts 0 bytes and has the checksum of the empty text. Null ids and
 repeated rows are hashed like any other value; rows equal in id and text fall into
-one slot, and are numbered in any order, which no column tells apart.
+one slot, and are numbered in any order, which no column tells apart. Other columns are
+left out; an empty table gives no rows, and a map in which all slots are empty.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,9 +52,12 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def slot_bytes(records: DataFrame) -> DataFrame:
-    """Rows and bytes of each slot that has any; at most ``SLOTS`` rows."""
-    return records.groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Rows and bytes of each slot; ``slots`` rows."""
+    sums = records.groupBy(F.col("vslot").alias("s")).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    all_ = records.sparkSession.range(slots, numPartitions=1).select(F.col("id").cast("int").alias("vslot"))
+    zero = F.lit(0).cast("long")
+    return all_.join(sums, F.col("vslot") == F.col("s"), "left").select("vslot", F.coalesce("rows", zero).alias("rows"), F.coalesce("bytes", zero).alias("bytes"))
 
 
 def balanced_map(sums: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -56,7 +66,8 @@ def balanced_map(sums: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     def give(state: Column, slot: Column) -> Column:
         to = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        load = F.transform(state["load"], lambda x, i: F.when(i == to, x + slot["bytes"]).otherwise(x))
+        # an empty slot counts as one byte, so that these are spread too
+        load = F.transform(state["load"], lambda x, i: F.when(i == to, x + F.greatest(slot["bytes"], F.lit(1))).otherwise(x))
         return F.struct(load.alias("load"), F.concat(state["shard"], F.array(to)).alias("shard"))
 
     # -bytes first: descending by bytes, then ascending by slot
@@ -81,32 +92,59 @@ def grown_map(slot_map: DataFrame, sums: DataFrame) -> DataFrame:
     return last.select((F.col("version") + 1).alias("version"), "vslot", F.when(F.sum("bytes").over(up) <= excess, new).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
-def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a version of the map to the table at ``path``; returns all versions."""
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Appends a version of the map to the table at ``path``."""
     slot_map.write.mode("append").partitionBy("version").parquet(path)
-    return slot_map.sparkSession.read.schema("vslot int, shard int, version int").parquet(path)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The last version of the map at ``path``, or the one asked for; None where there is no map."""
+    try:
+        versions = spark.read.schema("vslot int, shard int, version int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if version is None:
+        version = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == F.lit(version))
+
+
+def grow(docs: DataFrame, map_path: str, slots: int = SLOTS) -> None:
+    """Appends the version after the last one to the map at ``map_path``: one more shard, by the bytes of ``docs``."""
+    sums = written(slot_bytes(with_slots(docs, slots), slots), "slot-bytes")
+    store_map(grown_map(stored_map(docs.sparkSession, map_path), sums), map_path)
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, law, shard, its place in the shard from 0
-    (slot), grown_shard (null under this law), virtual slot, and its shard under version 2 of
-    the map, which has one shard more (next_shard)."""
+    (slot), grown_shard (null under this law) and virtual_slot, by a version of the map at
+    ``map_path`` (the last one if None). Without a map there, version 1 is made for
+    ``shards`` shards and stored; without a path, in a new folder of the shared one."""
+    spark = docs.sparkSession
+    map_path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     records = with_slots(docs, slots)
-    sums = written(slot_bytes(records), "slot-bytes")
-    path = f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
-    versions = store_map(balanced_map(sums, shards), path)
-    versions = store_map(grown_map(versions.where("version = 1"), sums), path)
+    sums = written(slot_bytes(records, slots), "slot-bytes")
+    slot_map = stored_map(spark, map_path, version)
+    if slot_map is None:
+        store_map(balanced_map(sums, shards), map_path)
+        slot_map = stored_map(spark, map_path, version)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = versions.where("version = 1").join(sums, "vslot").withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    grown = versions.where("version = 2").select("vslot", F.col("shard").alias("next_shard"))
-    placed = F.broadcast(placed.select("vslot", "shard", "begin").join(grown, "vslot"))  # a row per virtual slot
+    placed = slot_map.join(sums, "vslot").withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    placed = F.broadcast(placed.select("vslot", "shard", "begin"))  # a row per virtual slot
     within = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
     numbered = records.withColumn("nth", F.row_number().over(within)).join(placed, "vslot")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "next_shard",
+        (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Rows under version 1 of a new map, and each row's shard under version 2, which has one more (next_shard)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    now = sharded(docs, map_path=path)
+    grow(docs, path)
+    grown = stored_map(spark, path, 2).select("vslot", F.col("shard").alias("next_shard"))
+    return now.join(F.broadcast(grown), F.col("virtual_slot") == F.col("vslot")).drop("vslot")  # a row per virtual slot

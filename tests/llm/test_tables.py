@@ -12,13 +12,26 @@ from sluice.llm import hnsw, mixing, sharding
 # --- shards
 
 
-def test_the_map_is_edited_over_the_whole_table(spark):
-    rows = documents()
-    got = sharding.sharded(frame(spark, rows), shards=3, slots=256).collect()
-    assert len(got) == len(rows) and all(r["next_shard"] in (r["shard"], 3) for r in got)
-    assert len({(r["virtual_slot"], r["shard"], r["next_shard"]) for r in got}) == len({r["virtual_slot"] for r in got})
-    share, moved = sum(r["size"] for r in got) / 4, sum(r["size"] for r in got if r["next_shard"] == 3)
-    assert 0 < moved <= share
+def test_a_map_is_kept_and_edited(spark, tmp_path):
+    rows, path = documents(), f"file://{tmp_path}/map"
+    docs = frame(spark, rows)
+    where = lambda found: {r["virtual_slot"]: r["shard"] for r in found}
+    one = sharding.sharded(docs, shards=3, slots=256, map_path=path).collect()
+    assert len(one) == len(rows) and set(where(one).values()) == {0, 1, 2}
+    # a second run, of other rows, finds the map
+    other = sharding.sharded(frame(spark, documents(5)), shards=9, slots=256, map_path=path).collect()
+    assert {r["shard"] for r in other} <= {0, 1, 2} and all(where(one).get(s, k) == k for s, k in where(other).items())
+    sharding.grow(docs, path, slots=256)
+    two = sharding.sharded(docs, slots=256, map_path=path).collect()
+    assert all(where(two)[s] in (k, 3) for s, k in where(one).items())
+    moved = sum(r["size"] for r in two if r["shard"] == 3)
+    assert 0 < moved <= sum(r["size"] for r in two) / 4
+    by = {}
+    for r in two:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert where(sharding.sharded(docs, slots=256, map_path=path, version=1).collect()) == where(one)
+    assert sharding.stored_map(spark, path).count() == sharding.stored_map(spark, path, 1).count() == 256
 
 
 def test_shards_are_even_and_numbered(spark):
@@ -37,14 +50,14 @@ def plain_map(sums, shards):
     load, out = [0] * shards, {}
     for slot, size in sorted(sums.items(), key=lambda x: (-x[1], x[0])):
         to = load.index(min(load))
-        load[to] += size
+        load[to] += max(size, 1)
         out[slot] = to
     return out
 
 
 def test_map_versions(spark, tmp_path):
     rows = [(i, "t" * (37 * i % 400), "en", "s", 1) for i in range(3000)]
-    sums = sharding.slot_bytes(sharding.with_slots(frame(spark, rows), 256)).persist()
+    sums = sharding.slot_bytes(sharding.with_slots(frame(spark, rows), 256), 256).persist()
     size = {r["vslot"]: r["bytes"] for r in sums.collect()}
     one = sharding.balanced_map(sums, 8)
     first = {r["vslot"]: r["shard"] for r in one.collect()}
@@ -57,7 +70,8 @@ def test_map_versions(spark, tmp_path):
     took = sum(size[s] for s in moved)
     assert 0.7 * sum(size.values()) / 9 < took <= sum(size.values()) / 9 + 1
     sharding.store_map(one, str(tmp_path / "map"))
-    both = sharding.store_map(sharding.grown_map(one, sums), str(tmp_path / "map"))
+    sharding.store_map(sharding.grown_map(one, sums), str(tmp_path / "map"))
+    both = spark.read.parquet(str(tmp_path / "map"))
     assert {(r["version"], r["n"]) for r in both.groupBy("version").agg(F.count("*").alias("n")).collect()} == {(1, len(first)), (2, len(first))}
 
 
