@@ -33,10 +33,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Spark's own removal of an execution's shuffle files at its end.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one in local mode; an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,14 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks it was running, and
-    later branches read just the columns they need. Spark removes shuffle files once
-    the driver's collector has found the plan that made them unused, so it is asked
-    to look here, where a plan has just ended.
+    later branches read just the columns they need. The shuffle files of the write
+    are of no use after it and go at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
