@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from samples import COLUMNS, WORDS, documents, frame
 
 from sluice.llm import jaccard, shared
@@ -65,6 +66,41 @@ def test_large_components_are_cut_into_parts(spark, monkeypatch):
     assert got(near_duplicates(frame(spark, rows))) == brute([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("hot", [2, 8, 1000])
+def test_large_groups_and_pairs_agree(spark, monkeypatch, hot):
+    draw = random.Random(hot)
+    rows, base = [], [draw.choice(WORDS) + str(i) for i in range(400)]
+    for i in range(90):  # near copies of parts of one text, of many sizes, and of one another
+        size = draw.choice([30, 60, 70, 84, 105, 300])
+        words = base[:size] if i % 3 or not rows else rows[-1][1].split(" ")
+        for _ in range(draw.randint(0, 1 + size // 40)):
+            words[draw.randrange(len(words))] = draw.choice([f"new{draw.random()}", "common"])
+        rows.append((i, " ".join(words), "en", "s", 1))
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PART_CLASSES", 7)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 9000)
+    want = brute([r[:2] for r in rows])
+    assert got(near_duplicates(frame(spark, rows))) == want and 1 < len({r[2] for r in want}) < 80
+
+
+def test_candidates_meet_in_every_prefix(spark, monkeypatch):
+    """Texts that share boilerplate, but too little of it, are never brought together."""
+    draw = random.Random(1)
+    boiler = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([*boiler, *(f"w{i}x{k}" for k in range(40))]), "en", "s", 1) for i in range(60)]
+    rows += [(60 + i, rows[i][1].replace(f"w{i}x7 ", "other "), "en", "s", 1) for i in range(10)]
+    seen, real = [], jaccard._candidates
+
+    def spy(entries):
+        pairs, groups = real(entries)
+        seen.append((sorted(tuple(r) for r in pairs.collect()), groups.count()))
+        return pairs, groups
+
+    monkeypatch.setattr(jaccard, "_candidates", spy)
+    assert got(near_duplicates(frame(spark, rows))) == brute([r[:2] for r in rows])
+    assert len(seen[0][0]) == 10 and seen[0][1] == 0 and draw
+
+
 def test_no_rows(spark):
     assert near_duplicates(spark.createDataFrame([], COLUMNS)).count() == 0
     assert got(near_duplicates(spark.createDataFrame([(1, None, None, None, None)], COLUMNS))) == [(1, 0, 1, 0)]
