@@ -8,7 +8,8 @@ difference of the two logits, so scoring sums one number per feature.
 
 Training uses labelled rows outside the held-out third only, at most
 ``learn.SAMPLE_ROWS`` of them; only the text is an input. Null and empty texts have
-no features and get the score of the bias alone. Repeated rows get equal scores.
+no features and get the score of the bias alone. Repeated rows get equal scores; without
+labels every score says 1. Other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,9 +1,10 @@
 """Hashed word and character n-gram features of whole texts, block by block.
 
 A feature is an index below 2 ** BITS: of each word, of each pair of adjacent
-words (all pairs of a word and itself share one), and of each run of three and of four bytes. Case is kept. Scoring needs
-only sums of a table over a document's features, which are differences of running
-sums, so no feature list of a document is ever built there.
+words (all pairs of a word and itself share one), and of each run of three and of four
+characters (code points, white space among them). Case is kept. Scoring needs only sums
+of a table over a document's features, which are differences of running sums, so no
+feature list of a document is ever built there.
 """
 
 from __future__ import annotations
@@ -12,25 +13,26 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from sluice.llm.shared import Words, blocks, mix, split_words
+from sluice.llm.shared import Words, blocks, mix, span_hashes, split_words
 
 BITS = 18
+#: Lengths of the character n-grams.
+GRAMS = (3, 4)
 _U = np.uint64
-_KIND = np.uint32(0x9E3779B1)
 
 
 def _kinds(data: np.ndarray, bounds: np.ndarray, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Feature indices of each kind, with the first and last + 1 of each document."""
-    shift = _U(64 - BITS)
-    yield (words.hashes >> shift).astype(np.int32), words.bounds[:-1], words.bounds[1:]
+    index = lambda h: (h >> _U(64 - BITS)).astype(np.int32)
+    yield index(words.hashes), words.bounds[:-1], words.bounds[1:]
     again = words.hashes[:-1] == words.hashes[1:]
     pair = np.where(again, _U(0), mix(words.hashes[:-1] * _U(3) + words.hashes[1:]))
-    yield (pair >> shift).astype(np.int32), words.bounds[:-1], np.maximum(words.bounds[1:] - 1, words.bounds[:-1])
-    wide = data.astype(np.uint32)
-    value = wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16)) if len(wide) > 2 else np.zeros(0, np.uint32)
-    yield ((value * _KIND) >> np.uint32(32 - BITS)).astype(np.int32), bounds[:-1], np.maximum(bounds[1:] - 2, bounds[:-1])
-    value = value[:-1] | (wide[3:] << np.uint32(24)) if len(wide) > 3 else np.zeros(0, np.uint32)
-    yield ((value * np.uint32(0x85EBCA6B) ^ (value >> np.uint32(15))) * _KIND >> np.uint32(32 - BITS)).astype(np.int32), bounds[:-1], np.maximum(bounds[1:] - 3, bounds[:-1])
+    yield index(pair), words.bounds[:-1], np.maximum(words.bounds[1:] - 1, words.bounds[:-1])
+    letters = np.flatnonzero((data & 0xC0) != 0x80)  # bytes that begin a code point
+    ends, at = np.append(letters, len(data)), np.searchsorted(letters, bounds)
+    for n in GRAMS:
+        grams = span_hashes(data, letters[: len(letters) - n + 1], ends[n:], salt=n) if len(letters) >= n else np.zeros(0, _U)
+        yield index(grams), at[:-1], np.maximum(at[1:] - n + 1, at[:-1])
 
 
 def table_means(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:

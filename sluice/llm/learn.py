@@ -1,8 +1,9 @@
 """Fitting on a bounded sample of labelled rows, and scoring all rows with the result.
 
 A fitted model is a table of one weight per feature, a factor and a bias, so it has a fixed size
-and may be broadcast. The sample is the labelled rows whose hashed doc_id comes
-first, at most ``SAMPLE_ROWS`` of them; training runs in one task over these.
+and may be broadcast. The sample is the distinct labelled texts whose hashed doc_id comes
+first, at most ``SAMPLE_ROWS`` of them and as many as have ``SAMPLE_BYTES`` together; training
+runs in one task over these, so its memory is bounded by both.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm.features import BITS, feature_bags
 from sluice.llm.shared import small_batches, text_bounds, written
 
-#: The bound on the labelled rows that a model is fitted on.
-SAMPLE_ROWS = 4000
+#: The bounds on the labelled rows that a model is fitted on, and on the bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
 
 Bag = tuple[np.ndarray, np.ndarray]
 Fit = Callable[[list[Bag], np.ndarray], tuple[np.ndarray, float, float]]
@@ -48,12 +50,20 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit) -> Broadcast:
     """The model fitted on ``labels`` (doc_id, quality 0 or 1) of ``docs``, for all executors.
 
     Rows with a null or other quality take no part; a doc_id with several labels or
-    texts gives each of them. Without labelled rows the model says 1 of everything.
+    texts gives each of them, rows that repeat count once. Without labelled rows the
+    model says 1 of everything.
     """
     spark = docs.sparkSession
-    sample = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality"), "sample")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    marks = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
+    marks = marks.distinct().orderBy(*order).limit(SAMPLE_ROWS)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    # narrow rows first: how many rows and texts a doc_id has isn't known
+    rows = docs.select("doc_id", "h", size).join(F.broadcast(marks), "doc_id").distinct().orderBy(*order, "h").limit(SAMPLE_ROWS)
+    upto = F.sum("size").over(Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = written(rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "quality", "h"), "sample-rows")
+    sample = docs.join(F.broadcast(rows), ["doc_id", "h"]).dropDuplicates(["doc_id", "quality", "h"]).select("doc_id", "text", "quality")
     bags = sample.mapInArrow(_bags, "doc_id long, quality int, features binary, shares binary")
     model = written(bags.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_train(fit), "weights binary, factor double, bias double"), "model").first()
     weights = np.frombuffer(bytes(model["weights"]), np.float32) if model else np.zeros(1 << BITS, np.float32)

@@ -7,7 +7,9 @@ Newton steps). Arrow batches are then scored against a fixed threshold.
 
 Base rule: too few words, or too large a share of words in five-word windows that
 occur twice or more in the same text. Null and empty texts have no words and fail
-it. Repeated rows get equal results; labels with null quality take no part.
+it. Repeated rows get equal results; labels with null quality take no part, and without
+labels the classifier rejects nothing. Other columns are carried along, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from samples import COLUMNS, documents, frame
 
-from sluice.llm import embeddings_classifier, learn, licenses, packing, quality_rules, warc
+from sluice.llm import embeddings_classifier, features, learn, licenses, packing, quality_rules, warc
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -334,6 +334,112 @@ def test_held_out_labels_are_never_learned(spark):
     assert scores[0] == scores[1]
 
 
+FULL = 2**64
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % FULL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % FULL
+    return x ^ x >> 31
+
+
+def hashed(raw, salt=0):
+    value, power = 0, 1
+    for b in raw:
+        value, power = (value + (b + 1 + salt) * power) % FULL, power * 0x9E3779B97F4A7C15 % FULL
+    return mixed((value + len(raw) * 0xA24BAED4963EE407) % FULL)
+
+
+def plain_features(text):
+    """Indices of the features of a text, one by one."""
+    words = [hashed(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    out = words + [0 if a == b else mixed((3 * a + b) % FULL) for a, b in zip(words[:-1], words[1:], strict=True)]
+    for n in (3, 4):
+        out += [hashed(text[i : i + n].encode(), n) for i in range(len(text) - n + 1)]
+    return [h >> 46 for h in out]
+
+
+TEXTS = ["", "a", "ab", "abc", "日本語の文", "é é é naïve", "one two  two two\nthree", "x" * 40, "🙂🙂🙂🙂🙂", " \t\n"]
+
+
+def test_features_are_the_plain_ones():
+    raw = [t.encode() for t in TEXTS]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    table = np.random.default_rng(1).normal(size=1 << features.BITS)
+    means, bags = features.table_means(data, bounds, table), list(features.feature_bags(data, bounds))
+    for text, mean, (index, share) in zip(TEXTS, means, bags, strict=True):
+        want = plain_features(text)
+        assert mean == pytest.approx(sum(table[i] for i in want) / max(1, len(want)), abs=1e-9)
+        count = Counter(want)
+        assert index.tolist() == sorted(count) and share.tolist() == pytest.approx([count[i] / len(want) for i in sorted(count)])
+
+
+def test_scores_are_the_models(spark, monkeypatch):
+    table = np.random.default_rng(2).normal(size=1 << features.BITS).astype(np.float32)
+    model = spark.sparkContext.broadcast((table, 1.5, -0.1))
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate([*TEXTS, None])])
+    want = {}
+    for i, t in enumerate([*TEXTS, None]):
+        f = plain_features(t or "")
+        want[i] = 1 / (1 + np.exp(-(1.5 * float(sum(table[j] for j in f)) / max(1, len(f)) - 0.1)))
+    monkeypatch.setattr(embeddings_classifier, "fitted", lambda *a: model)
+    monkeypatch.setattr(quality_rules, "fitted", lambda *a: model)
+    labels = label_frame(spark, labelled(20))
+    assert {r["doc_id"]: r["score"] for r in embeddings_classifier.quality_scores(docs, labels).collect()} == pytest.approx(want, abs=1e-6)
+    assert {r["doc_id"]: r["probability"] for r in quality_rules.judged(docs, labels).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_training_is_the_plain_descent(monkeypatch):
+    """The weights that training gives, against the same steps with a whole matrix of vectors and no shortcuts."""
+    monkeypatch.setattr(embeddings_classifier, "RATE", 0.2)
+    bags = [(np.array([1, 5]), np.array([0.5, 0.5], np.float32)), (np.array([2, 5, 9]), np.array([0.2, 0.3, 0.5], np.float32)), (np.array([], np.int32), np.array([], np.float32))]
+    labels = np.array([1.0, 0.0, 1.0])
+    weights, factor, bias = embeddings_classifier.train(bags, labels)
+    draw = np.random.default_rng(7)
+    vectors, layer, shift = draw.normal(0, 0.5, (1 << features.BITS, 8)), np.zeros((2, 8)), np.zeros(2)
+    start, steps = vectors.copy(), 0
+    for _ in range(embeddings_classifier.EPOCHS):
+        for i in draw.permutation(3).tolist():
+            rate = embeddings_classifier.RATE * (1 - steps / (3 * embeddings_classifier.EPOCHS))
+            steps += 1
+            mean = sum((s * vectors[f] for f, s in zip(*bags[i], strict=True)), np.zeros(8))
+            e = np.exp(layer @ mean + shift)
+            wrong = e / e.sum() - np.array([labels[i] == 0, labels[i] == 1])
+            back = wrong @ layer
+            layer -= rate * np.outer(wrong, mean)
+            shift -= 0.05 * rate * wrong
+            for f, s in zip(*bags[i], strict=True):
+                vectors[f] -= rate / max(1e-6, float((bags[i][1] ** 2).sum())) ** 0.5 * s * back
+    want = vectors @ (layer[1] - layer[0])
+    assert np.allclose(weights, want, atol=1e-3) and (factor, bias) == (1.0, pytest.approx(shift[1] - shift[0], abs=1e-4))
+    assert (np.flatnonzero((vectors != start).any(axis=1)) == [1, 2, 5, 9]).all()
+
+
+def test_classifier_without_rows_or_labels(spark):
+    rows = labelled(30)
+    docs, labels = frame(spark, [r[:5] for r in rows]), label_frame(spark, rows)
+    assert embeddings_classifier.quality_scores(docs.limit(0), labels).count() == 0
+    got = embeddings_classifier.quality_scores(docs, labels.limit(0)).collect()
+    assert len(got) == 30 and all(r["predicted"] == 1 for r in got)
+
+
+def test_a_repeated_document_is_one_of_the_sample(spark, monkeypatch):
+    seen = []
+
+    def fit(bags, labels):
+        return np.full(1 << features.BITS, len(bags), np.float32), float(labels.sum()), 0.0
+
+    monkeypatch.setattr(learn, "SAMPLE_ROWS", 5)
+    docs = spark.range(3000).selectExpr("if(id < 2900, 7L, id) as doc_id", "if(id < 2900, 'same text', concat('text ', id)) as text")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (2950, 1), (2951, 0), (2952, 1), (2953, 1), (2954, 1)], "doc_id long, quality int")
+    weights, ones, _ = learn.fitted(docs, labels, fit).value
+    assert weights[0] == 5 and 1 <= ones <= 5 and not seen
+    monkeypatch.setattr(learn, "SAMPLE_BYTES", 30)  # three texts of nine bytes
+    assert learn.fitted(docs, labels, fit).value[0][0] == 3
+
+
 def test_calibration_and_sample_bound():
     draw = np.random.default_rng(1)
     truth = draw.random(4000)
