@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
@@ -35,21 +35,28 @@ def failed_chunk_text(chunk_seq: str = "chunk_seq", status: str = "status"):
     return F.when(F.size(failed) > 0, F.concat(F.lit("Chunks that could not be validated: "), F.array_join(failed.cast("array<string>"), ", ")))
 
 
-def import_outcome(imports: DataFrame, chunks: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Final status, keys and message of imports (id, source_object_key) whose chunks are finished.
+def import_outcome(imports: DataFrame, chunks: DataFrame, limits: Limits = Limits(), at: Column | None = None, given_up: DataFrame | None = None) -> DataFrame:
+    """Final status, keys, message and completed_at of imports (id, source_object_key) whose chunks are finished.
 
-    chunks: import_id, chunk_seq, status, invalid_rows.
+    chunks: import_id, chunk_seq, status, invalid_rows; at: when, now if None. Imports in
+    ``given_up`` (id, reason), whose attempts at assembly are used up, are failed.
     """
     failed, live = F.col("status") == "failed", F.col("status") != "failed"
     facts = chunks.groupBy("import_id").agg(
         F.bool_or(failed | (F.col("invalid_rows") > 0)).alias("bad"), F.bool_or(live).alias("has_result"),
         F.bool_or(live & (F.col("invalid_rows") > 0)).alias("has_errors"), failed_chunk_text().alias("failure_message"),
     )
-    joined = imports.join(facts, imports.id == facts.import_id, "left")
+    joined = imports.join(facts, imports.id == facts.import_id, "left").withColumn("reason", F.lit(None).cast("string"))
+    if given_up is not None:
+        lost = given_up.groupBy(F.col("id").alias("lost_id")).agg(F.coalesce(F.min("reason"), F.lit("")).alias("why"))
+        joined = joined.drop("reason").join(lost, F.col("id") == F.col("lost_id"), "left").withColumnRenamed("why", "reason")
+    lost = F.col("reason").isNotNull()
+    status = F.when(lost, F.lit("failed")).when(F.coalesce("bad", F.lit(False)), F.lit("completed_with_errors")).otherwise(F.lit("completed"))
     return joined.select(
         "id",
-        F.when(F.coalesce("bad", F.lit(False)), F.lit("completed_with_errors")).otherwise(F.lit("completed")).alias("status"),
-        F.when(F.col("has_result"), output_key(F.col("source_object_key"), "result.csv")).alias("output_object_key"),
-        F.when(F.col("has_errors"), output_key(F.col("source_object_key"), "errors.csv")).alias("error_object_key"),
-        limited(F.col("failure_message"), limits.message_chars).alias("failure_message"),
+        status.alias("status"),
+        F.when(~lost & F.col("has_result"), output_key(F.col("source_object_key"), "result.csv")).alias("output_object_key"),
+        F.when(~lost & F.col("has_errors"), output_key(F.col("source_object_key"), "errors.csv")).alias("error_object_key"),
+        limited(F.coalesce("reason", "failure_message"), limits.message_chars).alias("failure_message"),
+        F.when(~lost, F.current_timestamp() if at is None else at).alias("completed_at"),
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sluice.config import Limits
@@ -28,9 +30,13 @@ def assign_by_rows(rows: DataFrame, scope: list[str], order: list[str], max_rows
     ranged = through_table(rows.repartitionByRange(*scope, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*scope, "_range").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*scope, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_begin"))
+    places = [F.col(x).alias(f"_{i}") for i, x in enumerate(scope)]
+    counts = counts.select(*places, F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_begin"))
     own = Window.partitionBy(*scope, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_n", F.row_number().over(own)).join(counts, [*scope, "_range"])
+    same = F.col("_range") == F.col("_r")
+    for i, x in enumerate(scope):  # a null scope is one, too
+        same = same & F.col(x).eqNullSafe(F.col(f"_{i}"))
+    numbered = ranged.withColumn("_n", F.row_number().over(own)).join(counts, same).drop("_r", *(f"_{i}" for i in range(len(scope))))
     n = F.col("_begin") + F.col("_n") - 1
     return numbered.withColumn("chunk_seq", F.floor(n / max_rows).cast("int") + 1).withColumn("row_in_chunk", (n % max_rows + 1).cast("long")).drop("_n", "_begin", "_range")
 
@@ -40,30 +46,32 @@ def assign_chunks(rows: DataFrame, scope: str, order: str, size: str, limits: Li
 
     A chunk is closed after the row that brings it to ``chunk_rows`` rows or, header
     included, to ``chunk_bytes`` bytes; so it has one row at least. Where a chunk begins
-    depends on every row before it, so a running state goes over the rows of a
-    scope; it sees three columns, and its result is joined to the rows.
+    depends on every row before it, so a running state goes over the rows of a scope, in
+    one task, batch by batch. Rows go through as they are: those of a null scope or
+    order, and those that repeat both, keep their places (nulls first).
     """
-    narrow = rows.select(scope, order, F.col(size).cast("long").alias("_n"), (F.col(header) if header else F.lit(0)).cast("long").alias("_head"))
-    kinds = narrow.schema
+    names = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seq, rows_in, bytes_in, full = None, 0, 0, 0, True
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seq, rows_in, bytes_in, full = run, 0, 0, 0, True  # no row has this scope
         for batch in batches:
-            seqs, places = [], []
-            for key, n, head in zip(batch[scope], batch["_n"], batch["_head"], strict=True):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            keys, sizes = column(scope).to_pylist(), column("_n").to_pylist()
+            heads = column("_head").to_pylist()
+            seqs, places = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
+            for i, (key, n, head) in enumerate(zip(keys, sizes, heads, strict=True)):
                 if key != now:
                     now, seq, full = key, 0, True
                 if full:
                     seq, rows_in, bytes_in = seq + 1, 0, head
                 rows_in, bytes_in = rows_in + 1, bytes_in + n
-                seqs.append(seq)
-                places.append(rows_in)
+                seqs[i], places[i] = seq, rows_in
                 full = rows_in >= limits.chunk_rows or bytes_in >= limits.chunk_bytes
-            yield pd.DataFrame({scope: batch[scope], order: batch[order], "chunk_seq": seqs, "row_in_chunk": places})
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in names), pa.array(seqs), pa.array(places)], names=[*names, "chunk_seq", "row_in_chunk"])
 
-    schema = f"`{scope}` {kinds[scope].dataType.simpleString()}, `{order}` {kinds[order].dataType.simpleString()}, chunk_seq int, row_in_chunk long"
-    placed = narrow.repartition(scope).sortWithinPartitions(scope, order).mapInPandas(run, schema)
-    return rows.join(placed, [scope, order])
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    dealt = rows.withColumns({"_n": count(size), "_head": count(header) if header else F.lit(0).cast("long")}).repartition(scope).sortWithinPartitions(scope, order)
+    return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("chunk_seq", IntegerType()), StructField("row_in_chunk", LongType())]))
 
 
 def chunk_list(rows: DataFrame, source_key: str = "source_object_key") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions.status import CHUNK_TERMINAL, IMPORT_MOVES, is_terminal, progress_percent
+from sluice.storage import through_table
 
 
 def may_move(now: Column, to: Column, moves: dict[str, tuple[str, ...]]) -> Column:
@@ -20,11 +21,19 @@ def may_move(now: Column, to: Column, moves: dict[str, tuple[str, ...]]) -> Colu
 def fold(events: DataFrame, key: str, order: list[str], to: str, initial: str = "queued", moves: dict[str, tuple[str, ...]] = IMPORT_MOVES) -> DataFrame:
     """The status that each key's changes, taken in order, lead to; changes that aren't allowed are ignored.
 
-    A key's changes form one array in its task, as the outcome depends on their order.
+    The outcome depends on the order of all changes, yet no task needs all of a key's:
+    ordered ranges of changes are reduced to a map from the status before a range to the
+    one after it, and the few maps of a key are applied one after the other. A null key is a key.
     """
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(to).alias("to"))))
-    folded = F.aggregate(steps, F.lit(initial), lambda now, e: F.when(may_move(now, e["to"], moves), e["to"]).otherwise(now))
-    return events.groupBy(key).agg(folded.alias("status"))
+    statuses = sorted({initial, *moves, *(s for sources in moves.values() for s in sources)})
+    ranged = through_table(events.select(key, *order, F.col(to).alias("_to")).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    steps = F.array_sort(F.collect_list(F.struct(*order, F.col("_to").alias("to"))))
+    step = lambda now, e: F.when(F.coalesce(may_move(now, e["to"], moves), F.lit(False)), e["to"]).otherwise(now)
+    parts = ranged.groupBy(key, "_range").agg(steps.alias("_steps"))
+    after = F.create_map(*(x for s in statuses for x in (F.lit(s), F.aggregate("_steps", F.lit(s), step))))
+    parts = parts.select(key, F.struct(F.col("_range"), after.alias("after")).alias("_part"))
+    folded = F.aggregate(F.array_sort(F.collect_list("_part"), lambda a, b: a["_range"] - b["_range"]), F.lit(initial), lambda now, p: p["after"][now])
+    return parts.groupBy(key).agg(folded.alias("status"))
 
 
 def once(events: DataFrame, key: str, order: list[str]) -> DataFrame:

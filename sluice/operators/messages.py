@@ -16,10 +16,6 @@ PAYLOADS = {
     "consent.chunk.validate": ("bulk_import_id", "chunk_id", "chunk_object_key"),
     "consent.import.assemble": ("bulk_import_id",),
 }
-NOT_JSON = "the body is not JSON"
-INCOMPLETE = "message_id, routing_key, occurred_at or payload is missing"
-NOT_A_DATE = "occurred_at is not a date"
-PREFIX = "Invalid message envelope: "
 
 
 def encode_body(message_id: Column, routing_key: Column, occurred_at: Column, payload: Column) -> Column:
@@ -28,11 +24,22 @@ def encode_body(message_id: Column, routing_key: Column, occurred_at: Column, pa
     return F.to_json(F.struct(message_id.alias("message_id"), routing_key.alias("routing_key"), stamp.alias("occurred_at"), payload.alias("payload")))
 
 
+#: Why a body can't be read, and what stands before the reason; fixed values.
+NOT_JSON = "the body is not JSON"
+INCOMPLETE = "message_id, routing_key, occurred_at or payload is missing"
+NOT_A_DATE = "occurred_at is not a date"
+PREFIX = "Invalid message envelope: "
+
+
 def decode(messages: DataFrame, body: str = "body") -> DataFrame:
     """Adds message_id, routing_key, occurred_at, payload (JSON text) and ``reason`` of a bad body.
 
-    Types are checked as they stand in the JSON: a number isn't a string.
+    Types are checked as they stand in the JSON: a number isn't a string. What travels
+    beside the body are the columns attempt (1 where it is null or left out) and last_error.
     """
+    messages = messages.withColumn("attempt", F.coalesce("attempt", F.lit(1)) if "attempt" in messages.columns else F.lit(1))
+    if "last_error" not in messages.columns:
+        messages = messages.withColumn("last_error", F.lit(None).cast("string"))
     parsed = messages.withColumn("_v", F.try_parse_json(body))
     kind = lambda field: F.schema_of_variant(F.try_variant_get("_v", f"$.{field}", "variant"))
     text = lambda field: F.when(kind(field) == "STRING", F.try_variant_get("_v", f"$.{field}", "string"))
@@ -59,11 +66,12 @@ def payload_ok(routing_key: Column, payload: Column, needs: dict[str, tuple[str,
 
 
 def delivery(messages: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Adds outcome and next_attempt to deliveries with reason, error (null if handled) and attempt."""
-    failed, left = F.col("error").isNotNull(), F.col("attempt") < max_attempts
+    """Adds outcome, next_attempt and last_error to deliveries with reason, error (null if handled) and attempt (null: the first)."""
+    attempt = F.coalesce("attempt", F.lit(1))
+    failed, left = F.col("error").isNotNull(), attempt < max_attempts
     outcome = F.when(F.col("reason").isNotNull(), "rejected").when(~failed, "handled").when(left, "retried").otherwise("dead_lettered")
     out = messages.withColumn("outcome", outcome)
-    return out.withColumn("next_attempt", F.when(F.col("outcome") == "retried", F.col("attempt") + 1).otherwise(F.col("attempt"))).withColumn(
+    return out.withColumn("next_attempt", F.when(F.col("outcome") == "retried", attempt + 1).otherwise(attempt)).withColumn(
         "last_error", F.when(F.col("outcome").isin("retried", "dead_lettered"), limited(F.col("error")))
     )
 
@@ -89,8 +97,8 @@ def unpublished(outbox: DataFrame) -> DataFrame:
     return outbox.where("published_at is null")
 
 
-def relay(outbox: DataFrame, fails: Column, limit: int, error: str = "not reachable") -> DataFrame:
-    """The oldest ``limit`` unpublished rows with state: published, failed or waiting.
+def relay(outbox: DataFrame, fails: Column, limit: int, error: str = "not reachable", at: Column | None = None) -> DataFrame:
+    """The oldest ``limit`` unpublished rows with state: published, failed or waiting; published_at (``at``, now if None) of those that went out.
 
     Rows go out in the order of their ids until one fails; those after it wait. The
     batch has at most ``limit`` rows, so one window over it is bounded.
@@ -100,6 +108,7 @@ def relay(outbox: DataFrame, fails: Column, limit: int, error: str = "not reacha
     out = batch.withColumn("_f", first)
     state = F.when(F.col("_f").isNull() | (F.col("_n") < F.col("_f")), "published").when(F.col("_n") == F.col("_f"), "failed").otherwise("waiting")
     out = out.withColumn("state", state).drop("_n", "_f")
+    out = out.withColumn("published_at", F.when(F.col("state") == "published", F.current_timestamp() if at is None else at))
     return out.withColumn("failed_attempts", F.col("failed_attempts") + F.when(F.col("state") == "failed", 1).otherwise(0)).withColumn(
         "last_error", F.when(F.col("state") == "failed", limited(F.lit(error))).otherwise(F.col("last_error"))
     )

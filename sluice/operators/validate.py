@@ -15,7 +15,7 @@ from sluice.sources.gates import PREFIX
 def project(header: Column, cells: Column, columns: tuple[str, ...]) -> dict[str, Column]:
     """Trimmed cells of the named columns, found in the header in any case."""
     lower = F.transform(header, lambda c: ascii_lower(c))
-    return {c: trim_cell(F.try_element_at(cells, F.array_position(lower, ascii_lower(F.lit(c))).cast("int"))) for c in columns}
+    return {c: trim_cell(F.try_element_at(cells, F.nullif(F.array_position(lower, ascii_lower(F.lit(c))).cast("int"), F.lit(0)))) for c in columns}
 
 
 def row_errors(header: Column, cells: Column, rules: RuleSet) -> Column:
@@ -49,7 +49,7 @@ def chunk_failures(headers: DataFrame, rules: RuleSet, limits: Limits = Limits()
     """Chunks (import_id, chunk_seq, header) whose header lacks a column, with status and message."""
     lower = F.transform("header", lambda c: ascii_lower(c))
     missing = F.filter(F.array(*(F.lit(c) for c in rules.columns)), lambda c: ~F.array_contains(lower, ascii_lower(c)))
-    text = F.concat(F.lit(f"{PREFIX}the chunk header is missing the column ["), F.element_at(missing, 1), F.lit("]."))
+    text = F.concat(F.lit(f"{PREFIX}the chunk header is missing the column ["), F.try_element_at(missing, F.lit(1)), F.lit("]."))
     return headers.where(F.size(missing) > 0).select("import_id", "chunk_seq", F.lit("failed").alias("status"), limited(text, limits.message_chars).alias("failure_message"))
 
 

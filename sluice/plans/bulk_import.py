@@ -8,51 +8,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
+from sluice.functions.cells import error_key, limited
 from sluice.functions.rules import RuleSet, consent_rules
-from sluice.operators.assemble import import_outcome
-from sluice.operators.chunking import assign_chunks, chunk_list, record_bytes
-from sluice.operators.validate import accepted, chunk_counts, rejected, validate_rows
+from sluice.operators.assemble import assemble_rows, import_outcome, merge_errors
+from sluice.operators.chunking import assign_chunks, chunk_list, fanout, record_bytes
+from sluice.operators.lifecycle import completion
+from sluice.operators.validate import accepted, chunk_counts, chunk_failures, rejected, validate_rows
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
+from sluice.sources.sinks import chunk_lines, error_lines, merged_error_lines, result_lines, write_files
 from sluice.storage import through_table
 
 
 @dataclass(frozen=True)
 class Imported:
-    """imports: id, status, keys, message; chunks: counts and status; rows: with errors, an empty list if accepted."""
+    """imports: id, status, keys, message, completed_at; chunks: status, counts, keys and message; requests: the
+    messages that went out; rows: those of all chunks with errors, an empty list if they pass."""
 
     imports: DataFrame
     chunks: DataFrame
+    requests: DataFrame
     rows: DataFrame
 
+    def _state(self) -> DataFrame:
+        return self.chunks.select(F.col("bulk_import_id").alias("import_id"), F.col("sequence").alias("chunk_seq"), "status")
+
     @property
     def accepted(self) -> DataFrame:
-        return accepted(self.rows)
+        """Rows of the result: those of chunks that didn't fail, without rejected ones."""
+        return assemble_rows(self.rows, self._state(), rejected(self.rows))
 
     @property
     def rejected(self) -> DataFrame:
-        return rejected(self.rows)
+        """Rejected rows of chunks that didn't fail."""
+        return merge_errors(rejected(self.rows), self._state())
+
+    def write(self, folder: str) -> None:
+        """Chunk, error and output files under their object keys in ``folder``; a rerun replaces them."""
+        live = self.rows.join(self._state().where("status <> 'failed'").drop("status"), ["import_id", "chunk_seq"], "left_semi")
+        write_files(chunk_lines(self.rows), folder, ("chunks",))
+        write_files(error_lines(self.rejected), folder, ("errors",))
+        write_files(result_lines(self.accepted, live).unionByName(merged_error_lines(self.rejected)), folder, ("output",))
 
 
-def bulk_import(spark: SparkSession, imports: DataFrame, folder: str, rules: RuleSet | None = None, limits: Limits = Limits()) -> Imported:
+def bulk_import(
+    spark: SparkSession, imports: DataFrame, folder: str, rules: RuleSet | None = None, limits: Limits = Limits(),
+    parse_columns: tuple[str, ...] | None = None, given_up: DataFrame | None = None,
+) -> Imported:
     """Runs the imports (id, path, original_filename, source_object_key) whose files lie in ``folder``.
 
-    A file that fails a check gives a failed import and no rows. Checked rows are
-    written once; every output reads that table.
-    """
+    A file that fails a check gives a failed import and no rows. The others are cut into
+    chunks, each chunk is requested, validated and counted, and an import whose chunks are
+    all finished is requested to be assembled. A chunk fails if its header lacks a column
+    of the rules (``parse_columns``: what parsing asked of the file, the same if None) or if
+    ``given_up`` (import_id, chunk_seq, reason) names it, as one whose attempts are used up;
+    its rows are in no output. Checked rows are written once; every output reads that table.
+    """
     rules = rules or consent_rules(limits)
-    records = through_table(csv_records(spark, folder))
+    records = through_table(csv_records(spark, folder, limits.record_bytes))
     plain = F.regexp_replace("path", "^file:/+", "file:///")
     records = records.withColumn("path", plain)
-    checked = through_table(verdicts(spark, imports.withColumn("path", plain), records, folder, rules.columns, limits))
-    live = checked.where("status = 'queued'").select(F.col("id").alias("import_id"), "path", "header", "source_object_key")
+    asked = rules.columns if parse_columns is None else parse_columns
+    checked = through_table(verdicts(spark, imports.withColumn("path", plain), records, folder, asked, limits))
+    queued = checked.where("status = 'queued'")
+    live = queued.select(F.col("id").alias("import_id"), "path", "header", "source_object_key")
     rows = without_blanks(records.where("record_no > 1")).join(live, "path")
     rows = rows.withColumn("n", record_bytes(F.col("cells"))).withColumn("head", record_bytes(F.col("header")))
     rows = assign_chunks(rows, "import_id", "record_no", "n", limits, header="head")
     rows = through_table(validate_rows(rows, rules).select("import_id", "source_object_key", "chunk_seq", "row_in_chunk", "record_no", "header", "cells", "errors"))
-    counts = chunk_counts(rows, ["import_id", "chunk_seq"])
-    chunks = chunk_list(rows).drop("status").join(counts, (F.col("bulk_import_id") == F.col("import_id")) & (F.col("sequence") == F.col("chunk_seq")))
-    chunks = chunks.withColumn("status", F.lit("completed"))
-    done = import_outcome(checked.where("status = 'queued'").select("id", "source_object_key"), chunks)
-    failed = checked.where("status = 'failed'").select("id", "status", *(F.lit(None).cast("string").alias(c) for c in ("output_object_key", "error_object_key")), "failure_message")
-    return Imported(done.unionByName(failed), chunks, rows)
+    pending = chunk_list(rows)
+    parsing = queued.select("id", F.lit("parsing").alias("status"))
+    requests = fanout(pending, parsing).select("bulk_import_id", "routing_key", "payload")
+    failures = chunk_failures(rows.select("import_id", "chunk_seq", "header").dropDuplicates(["import_id", "chunk_seq"]), rules, limits)
+    if given_up is not None:
+        lost = given_up.select("import_id", F.col("chunk_seq").cast("int").alias("chunk_seq"), F.lit("failed").alias("status"), limited(F.col("reason"), limits.message_chars).alias("failure_message"))
+        failures = failures.unionByName(lost).groupBy("import_id", "chunk_seq", "status").agg(F.min("failure_message").alias("failure_message"))
+    counts = chunk_counts(rows, ["import_id", "chunk_seq"]).join(failures, ["import_id", "chunk_seq"], "left")
+    chunks = pending.drop("status").join(counts, (F.col("bulk_import_id") == F.col("import_id")) & (F.col("sequence") == F.col("chunk_seq"))).drop("import_id", "chunk_seq")
+    chunks = chunks.withColumn("status", F.coalesce("status", F.lit("completed")))
+    # nothing is known of the rows of a failed chunk
+    chunks = chunks.withColumns({c: F.when(F.col("status") == "failed", 0).otherwise(F.col(c)).cast("long") for c in ("valid_rows", "invalid_rows")})
+    chunks = through_table(chunks.withColumn("error_object_key", F.when(F.col("invalid_rows") > 0, error_key(F.col("source_object_key")))))
+    done = completion(queued.select("id", F.lit("validating").alias("status")), chunks)
+    requests = requests.unionByName(done.withColumn("payload", F.to_json(F.struct("bulk_import_id"))).select("bulk_import_id", "routing_key", "payload"))
+    state = chunks.select(F.col("bulk_import_id").alias("import_id"), F.col("sequence").alias("chunk_seq"), "status", "invalid_rows")
+    ready = queued.select("id", "source_object_key").join(done.select(F.col("bulk_import_id").alias("id")), "id", "left_semi")
+    outcome = import_outcome(ready, state, limits)
+    failed = checked.where("status = 'failed'").select("id", "status", *(F.lit(None).cast("string").alias(c) for c in ("output_object_key", "error_object_key")), "failure_message", F.lit(None).cast("timestamp").alias("completed_at"))
+    return Imported(outcome.unionByName(failed), chunks, requests, rows)

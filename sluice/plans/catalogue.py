@@ -13,13 +13,13 @@ from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, error_text, integer, max_length, one_of, required, whole_number
 from sluice.functions.status import is_terminal, status_label
 from sluice.operators import assemble, chunking, lifecycle, messages, validate, views
-from sluice.plans.bulk_import import bulk_import
+from sluice.plans.bulk_import import Imported, bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.storage import through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
-from sluice.streaming.envelopes import dedup_stream
+from sluice.streaming.envelopes import dedup_stream, deliver_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +130,7 @@ def part_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = part_chunks(part_checked(spark, sf_dir))
     imports = chunks.select(F.col("import_id").alias("id"), F.lit("consent/import-part/source/source.csv").alias("source_object_key")).distinct()
-    return assemble.import_outcome(imports, chunks)
+    return assemble.import_outcome(imports, chunks).drop("completed_at")
 
 
 @query(PART_SQL + "select p_partkey, chunk_seq, row_in_chunk from checked where chunk_seq <> 2 and errors = ''")
@@ -153,10 +153,10 @@ def part_chunk_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_list(rows).join(counts, F.col("sequence") == F.col("chunk_seq")).select("sequence", "n_rows", "source_object_key")
 
 
-@query(PART_SQL + "select chunk_seq as sequence, cast(count(*) filter (where errors = '') as bigint) as valid_rows from checked where chunk_seq <= 3 group by chunk_seq")
+@query(PART_SQL + "select chunk_seq as sequence, cast(count(*) filter (where errors = '') as bigint) as valid_rows from checked group by chunk_seq")
 def chunk_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = validate.chunk_counts(part_checked(spark, sf_dir), ["import_id", "chunk_seq"])
-    chunks = counts.select(F.when(F.col("chunk_seq") <= 3, F.col("import_id")).otherwise("other").alias("bulk_import_id"), F.col("chunk_seq").alias("sequence"), "valid_rows")
+    chunks = counts.select(F.col("import_id").alias("bulk_import_id"), F.col("chunk_seq").alias("sequence"), "valid_rows")
     return views.chunk_detail(chunks, "part").select("sequence", "valid_rows")
 
 
@@ -180,9 +180,11 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (partit
 from lineitem
 """)
 def lineitem_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (nth > 1).alias("is_duplicate"))
+    """Lines as rows of one chunk per order, their line number as the key."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"))
+    rows = table(spark, sf_dir, "lineitem").withColumns({"row_in_chunk": place, "errors": F.array().cast("array<string>")})
+    checked = validate.reject_duplicates(rows, ["l_orderkey"], F.col("l_linenumber"))
+    return checked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.size("errors") > 0).alias("is_duplicate"))
 
 
 # --- documents: chunks by bytes, records, gates --------------------------------------------------------------
@@ -231,10 +233,11 @@ def documents_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_records(spark, folder).select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("text"))
 
 
-@query("select doc_id from documents where doc_id % 5 <> 0 and regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\x00\\x0b]')")
+@query("select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^ \\t\\n\\r\\x00\\x0b]')")
 def documents_lines_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 5 == 0, F.lit(" \t ")).otherwise(F.col("text"))
-    return without_blanks(table(spark, sf_dir, "documents").select("doc_id", F.array(text, F.lit("")).alias("cells"))).select("doc_id")
+    """The lines of all texts as records of one cell, without blank ones."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return without_blanks(lines.withColumn("cells", F.array("line", F.lit("")))).select("doc_id", "line")
 
 
 @query("""
@@ -264,13 +267,13 @@ def _as_files(rows: DataFrame, header: list[str], folder: str) -> DataFrame:
 
 @query("""
 with r as (
-  select source || '-' || doc_id // 5000 as file, source, row_number() over (partition by source, doc_id // 5000 order by doc_id) + 1 as record_no,
-    octet_length(encode(doc_id || ',' || case when regexp_matches(text, '[",\\s\\\\]') then '"' || replace(text, '"', '""') || '"' else text end)) + 1 as n
-  from documents where source is not null and text is not null
+  select coalesce(source, '') || '-' || doc_id // 5000 as file, coalesce(source, '') as source, row_number() over (partition by coalesce(source, ''), doc_id // 5000 order by doc_id) + 1 as record_no,
+    octet_length(encode(doc_id || ',' || case when regexp_matches(text, '[",\\s\\\\]') then '"' || replace(text, '"', '""') || '"' else coalesce(text, '') end)) + 1 as n
+  from documents
 ),
 f as (select file, source, 12 + sum(n) as bytes, min(case when n > 16384 then record_no end) as large from r group by file, source),
 v as (
-  select file, case when cast(substr(source, 4) as int) % 5 = 0 then 'it is not a .csv file' when bytes > 400 * 1024 then 'it is larger than 400 KB'
+  select file, case when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 5 = 0 then 'it is not a .csv file' when bytes > 400 * 1024 then 'it is larger than 400 KB'
     when large is not null then 'row ' || large || ' is larger than 16 KB, which usually means a quote is never closed' end as reason from f
 )
 select file, case when reason is null then 'queued' else 'failed' end as status, 'The file is not processable: ' || reason || '.' as failure_message from v
@@ -283,19 +286,18 @@ def documents_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _as_files(rows, ["doc_id", "text"], folder)
     ending = F.when(F.regexp_extract("file", "([0-9]+)-", 1).try_cast("int") % 5 == 0, ".txt").otherwise(".CSV")
     imports = files.withColumn("original_filename", F.concat("file", ending)).withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-    found = verdicts(spark, imports, csv_records(spark, folder), folder, ("doc_id", "text"), Limits(file_bytes=400 * 1024))
+    found = verdicts(spark, imports, csv_records(spark, folder, Limits().record_bytes), folder, ("doc_id", "text"), Limits(file_bytes=400 * 1024))
     return found.select("file", "status", "failure_message")
 
 
 CONSENT_LIMITS = Limits(chunk_rows=20, record_bytes=1 << 30, file_bytes=1 << 50, chunk_bytes=1 << 50)
 
-
-@query("""
+CONSENT_SQL = """
 with d as (
-  select source || '-' || doc_id // 5000 as file, doc_id, row_number() over (partition by source, doc_id // 5000 order by doc_id) - 1 as n, 'D' || (doc_id % 7) as code,
-    trim(substr(coalesce(text, ''), 1, 300), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) as name, lang as purpose, n_chars % 3 as version,
+  select coalesce(source, '') || '-' || doc_id // 5000 as file, doc_id, row_number() over (partition by coalesce(source, ''), doc_id // 5000 order by doc_id) - 1 as n, 'D' || (doc_id % 7) as code,
+    trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) as name, lang as purpose, n_chars % 3 as version,
     case doc_id % 4 when 0 then 'Active' when 1 then 'INACTIVE' when 2 then ' active ' else 'x' end as status
-  from documents where source is not null
+  from documents
 ),
 r as (
   select file, doc_id, cast(n // 20 + 1 as int) as chunk_seq, cast(n % 20 + 1 as bigint) as row_in_chunk, code, version,
@@ -304,17 +306,22 @@ r as (
       case when status = 'x' then 'Status must be one of: Active, Inactive' end) as rule_text
   from d
 ),
-f as (select *, min(case when rule_text = '' then row_in_chunk end) over (partition by file, chunk_seq, code, version, rule_text = '') as first_row from r)
-select file, doc_id, chunk_seq, row_in_chunk,
+f as (select *, min(case when rule_text = '' then row_in_chunk end) over (partition by file, chunk_seq, code, version, rule_text = '') as first_row from r),
+x as (select file, doc_id, chunk_seq, row_in_chunk,
   case when rule_text = '' and row_in_chunk > first_row then 'is a duplicate of row ' || first_row || ' of this chunk' else rule_text end as errors
-from f
-""")
-def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole import, files to checked rows, over files of consent records.
+from f)
+"""
+#: Every third chunk counts as one whose attempts are used up.
+STATE_SQL = """,
+k as (select file, chunk_seq, chunk_seq % 3 = 2 as failed, cast(count(*) filter (where errors = '') as bigint) as valid, cast(count(*) filter (where errors <> '') as bigint) as invalid,
+  'consent/import-' || file || '/chunks/chunk-' || lpad(cast(chunk_seq as varchar), 6, '0') || '.csv' as key from x group by 1, 2),
+s as (select file, chunk_seq, key, case when failed then 'failed' else 'completed' end as status, cast(case when failed then 0 else valid end as bigint) as valid_rows,
+  cast(case when failed then 0 else invalid end as bigint) as invalid_rows, case when failed then 'no attempt is left' end as failure_message from k)
+"""
 
-    The SQL reads 300 characters of rows with a source, and is the same where these
-    decide, as in the given tables; tests have the other rows.
-    """
+
+def consent_import(spark: SparkSession, sf_dir: str, lost: bool = False) -> Imported:
+    """The whole import over files of consent records, one per file of documents, whole texts as names."""
     folder = f"{work_folder(spark)}/imports"
     docs = table(spark, sf_dir, "documents")
     status = F.element_at(F.array(*map(F.lit, ("Active", "INACTIVE", " active ", "x"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -326,10 +333,103 @@ def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _as_files(rows, [*consent_rules().columns, "doc_id"], folder)
     key = F.concat(F.lit("consent/import-"), "file", F.lit("/source/source.csv"))
     imports = files.select(F.col("file").alias("id"), "path", F.concat("file", F.lit(".csv")).alias("original_filename"), key.alias("source_object_key"))
-    done = bulk_import(spark, imports, folder, consent_rules(CONSENT_LIMITS), CONSENT_LIMITS)
+    given_up = None
+    if lost:
+        most = docs.groupBy(import_file()).count().select(F.col("file").alias("import_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("count") / CONSENT_LIMITS.chunk_rows).cast("int"))).alias("chunk_seq"))
+        given_up = most.where("chunk_seq % 3 = 2").withColumn("reason", F.lit("no attempt is left"))
+    return bulk_import(spark, imports, folder, consent_rules(CONSENT_LIMITS), CONSENT_LIMITS, given_up=given_up)
+
+
+@query(CONSENT_SQL + "select * from x")
+def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole import, files to checked rows."""
+    done = consent_import(spark, sf_dir)
     return done.rows.select(F.col("import_id").alias("file"), F.col("cells")[6].cast("long").alias("doc_id"), "chunk_seq", "row_in_chunk", error_text(F.col("errors")).alias("errors"))
 
 
+@query(
+    CONSENT_SQL
+    + STATE_SQL
+    + """, o as (
+  select key, chunk_seq, row_in_chunk, doc_id, null as errors from x join s using (file, chunk_seq)
+  union all select replace(key, '/chunks/', '/errors/'), chunk_seq, row_in_chunk, doc_id, errors from x join s using (file, chunk_seq) where status <> 'failed' and errors <> ''
+  union all select 'consent/import-' || file || '/output/errors.csv', chunk_seq, row_in_chunk, doc_id, errors from x join s using (file, chunk_seq) where status <> 'failed' and errors <> ''
+  union all select 'consent/import-' || file || '/output/result.csv', chunk_seq, row_in_chunk, doc_id, null from x join s using (file, chunk_seq) where status <> 'failed' and errors = ''
+),
+h as (select distinct key from o union select distinct 'consent/import-' || file || '/output/result.csv' from s where status <> 'failed')
+select key, row_number() over (partition by key order by chunk_seq, row_in_chunk) + 1 as record_no, cast(doc_id as varchar) as doc_id, errors from o
+union all select key, 1, 'doc_id', case when contains(key, 'errors') then 'Errors' end from h"""
+)
+def documents_import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of the imports, read back: chunks, rejected rows by chunk, results and merged errors, headers included."""
+    folder = f"{work_folder(spark)}/out"
+    consent_import(spark, sf_dir, lost=True).write(folder)
+    records = csv_records(spark, folder)
+    key = F.regexp_extract("path", "(consent/import-.*)$", 1)
+    errors = F.contains(key, F.lit("errors"))
+    # rejected rows have chunk and row before their cells and the messages after them
+    doc = F.when(errors, F.try_element_at("cells", F.lit(9))).otherwise(F.try_element_at("cells", F.lit(7)))
+    return records.select(key.alias("key"), F.col("record_no").cast("long").alias("record_no"), doc.alias("doc_id"), F.when(errors, F.try_element_at("cells", F.lit(10))).alias("errors"))
+
+
+@query(CONSENT_SQL + STATE_SQL + "select key, status, valid_rows, invalid_rows, case when invalid_rows > 0 then replace(key, '/chunks/', '/errors/') end as error_object_key, failure_message from s")
+def documents_chunk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its counts; of every three one whose attempts are used up."""
+    chunks = consent_import(spark, sf_dir, lost=True).chunks
+    return chunks.select(F.col("source_object_key").alias("key"), "status", "valid_rows", "invalid_rows", "error_object_key", "failure_message")
+
+
+@query(
+    CONSENT_SQL
+    + STATE_SQL
+    + """, m as (select file as id, case when bool_or(status = 'failed' or invalid_rows > 0) then 'completed_with_errors' else 'completed' end as status,
+  case when bool_or(status <> 'failed') then 'consent/import-' || file || '/output/result.csv' end as output_object_key,
+  case when bool_or(invalid_rows > 0) then 'consent/import-' || file || '/output/errors.csv' end as error_object_key,
+  'Chunks that could not be validated: ' || string_agg(cast(chunk_seq as varchar), ', ' order by chunk_seq) filter (where status = 'failed') as message
+from s group by file)
+select * replace (case when length(message) > 1000 then rtrim(substr(message, 1, 1000), ' ') || '...' else message end as message), true as is_completed from m"""
+)
+def documents_import_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of every import, with failed chunks named."""
+    imports = consent_import(spark, sf_dir, lost=True).imports
+    return imports.select("id", "status", "output_object_key", "error_object_key", F.col("failure_message").alias("message"), F.col("completed_at").isNotNull().alias("is_completed"))
+
+
+@query(
+    CONSENT_SQL
+    + STATE_SQL
+    + """select file as bulk_import_id, 'consent.chunk.validate' as routing_key, key as chunk_object_key from s
+union all select distinct file, 'consent.import.assemble', null from s"""
+)
+def documents_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the imports ask for: each chunk to be validated, each import to be assembled."""
+    requests = consent_import(spark, sf_dir, lost=True).requests
+    return requests.select("bulk_import_id", "routing_key", F.get_json_object("payload", "$.chunk_object_key").alias("chunk_object_key"))
+
+
+HEADERS = ("doc_id,text", "text, Doc_ID ,lang", "doc_id,,text", "doc_id,text,DOC_ID", "doc_id,lang", ",", "lang,source", "﻿doc_id,text")
+REASONS_SQL = """case i when 2 then 'column 2 of the header has no name' when 3 then 'the header has the column [DOC_ID] twice' when 4 then 'the header is missing the column(s) [text]'
+  when 5 then 'it has no header row' when 6 then 'the header is missing the column(s) [doc_id, text]' else case when filled = 0 then 'it has no data rows' end end"""
+
+
+@query(
+    """with f as (select coalesce(source, '') as file, count(*) filter (where regexp_matches(coalesce(lang, '') || coalesce(source, ''), '[^ \\t\\n\\r\\x00\\x0b]')) as filled from documents group by 1),
+n as (select *, (row_number() over (order by encode(file)) - 1) % """
+    + f"{len(HEADERS)} as i from f) select file, {REASONS_SQL} as reason from n"
+)
+def documents_header_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per source with lang and source of its documents, under one of several headers, most of them wrong."""
+    folder = f"{work_folder(spark)}/headers"
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("file"), F.col("doc_id").alias("n"), c.join_cells(F.array("lang", "source")).alias("record"))
+    nth = (F.row_number().over(Window.orderBy(F.encode("file", "UTF-8"))) - 1) % len(HEADERS) + 1  # a row per source
+    header = F.element_at(F.array(*map(F.lit, HEADERS)), nth.cast("int"))
+    heads = docs.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), header.alias("record"))
+    docs.unionByName(heads).withColumn("file", F.concat(F.lit("s"), "file")).repartition("file").sortWithinPartitions("file", "n").select("file", "record").write.partitionBy("file").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    imports = files.withColumn("original_filename", F.lit("x.csv")).withColumn("file", F.regexp_extract("path", "file=s([^/]*)/", 1))
+    return verdicts(spark, imports, csv_records(spark, folder), folder, ("doc_id", "text")).select("file", "reason")
+
+
 @query("""
 select doc_id, 'consent/import-' || source || '/chunks/chunk-' || lpad(cast(doc_id % 1000 as varchar), 6, '0') || '.csv' as chunk_key,
   'consent/import-' || source || '/errors/chunk-' || lpad(cast(doc_id % 1000 as varchar), 6, '0') || '.csv' as error_key,
@@ -337,10 +437,10 @@ select doc_id, 'consent/import-' || source || '/chunks/chunk-' || lpad(cast(doc_
   case when doc_id % 3 = 0 then 'import' else source || '.part' end || '-rejected-rows.csv' as download,
   case when length(text) > 1000 then rtrim(substr(text, 1, 1000), ' ') || '...' else text end as message,
   case when n_chars <= 921 then n_chars || ' B' else cast(cast(round(n_chars / 1024.0) as bigint) as varchar) || ' KB' end as size_text
-from documents where source is not null
+from (select * replace (coalesce(source, '') as source) from documents)
 """)
 def paths_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source is not null")
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
     source_key = F.concat(F.lit("consent/import-"), "source", F.lit("/source/source.csv"))
     chunk = c.chunk_key(source_key, F.col("doc_id") % 1000)
     name = F.when(F.col("doc_id") % 3 == 0, F.lit(".csv")).otherwise(F.concat("source", F.lit(".part.csv")))
@@ -396,10 +496,17 @@ def orders_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.summary(order_imports(spark, sf_dir), order_chunks(spark, sf_dir)).select("id", "valid_rows", "rejected_rows", "chunks_progress")
 
 
-@query("select o_orderkey as id, o_orderpriority as original_filename from orders where o_custkey % 50 = 7 and contains(lower(o_orderpriority), 'low')")
+@query("""
+with o as (select o_custkey from orders group by 1 order by count(*) desc, 1 limit 1)
+select o_orderkey as id, o_orderpriority as original_filename, cast(row_number() over (order by o_orderdate desc, o_orderkey) as int) as place
+from orders where o_custkey = (select o_custkey from o) and contains(lower(o_orderpriority), 'o')
+""")
 def orders_owned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = order_imports(spark, sf_dir).withColumn("user_id", F.col("user_id") % 50)
-    return views.search(views.owned(imports, 7), "LOW").select("id", "original_filename")
+    """The imports of the customer who has most, in the order of the list."""
+    imports = order_imports(spark, sf_dir)
+    owner = imports.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()
+    found = views.search(views.owned(imports, owner["user_id"] if owner else -1), "O")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))).select("id", "original_filename", "place")
 
 
 @query(ORDERS_SQL + "select o_orderkey as bulk_import_id, 'consent.import.assemble' as routing_key from j where status = 'validating' and t > 0 and t = f")
@@ -458,15 +565,18 @@ def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.once(events, "key", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("""
-with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from events)
-select user_id, count(distinct event_type) = 5 as met from e where rn <= 10 group by user_id
-""")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("select user_id, 'consent.import.assemble' as routing_key from events group by user_id having count(distinct event_type) = 5")
 def events_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each user's first ten events show all five kinds."""
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    first = table(spark, sf_dir, "events").withColumn("n", nth).where("n <= 10")
-    return first.groupBy("user_id").agg((F.size(F.collect_set("event_type")) == 5).alias("met"))
+    """Users as imports with a chunk for each kind of event, finished once there is such an event."""
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("bulk_import_id"), F.col("event_type").alias("kind"), F.lit("completed").alias("done")).distinct()
+    users = seen.select("bulk_import_id").distinct()
+    chunks = users.withColumn("kind", F.explode(F.array(*map(F.lit, KINDS)))).join(seen, ["bulk_import_id", "kind"], "left")
+    chunks = chunks.withColumn("status", F.coalesce("done", F.lit("pending")))
+    imports = users.select(F.col("bulk_import_id").alias("id"), F.lit("validating").alias("status"))
+    return lifecycle.completion(imports, chunks).select(F.col("bulk_import_id").alias("user_id"), "routing_key")
 
 
 ENVELOPES_SQL = """
@@ -530,6 +640,20 @@ def events_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.delivery(tried).select("event_id", "outcome", "next_attempt", "last_error")
 
 
+@query("""
+with e as (select event_id, event_id % 7 = 0 as bad, event_type = 'error' as failed from events)
+select event_id, case when bad then 'rejected' when failed then 'retry' else 'handled' end as sink, cast(case when bad or not failed then 1 else 2 end as int) as next_attempt from e
+""")
+def events_handled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes as a stream, given to a handler that fails on one kind of event, and what went to each sink."""
+    folder = work_folder(spark)
+    event_bodies(spark, sf_dir).write.parquet(f"{folder}/in")
+    fails = lambda batch: batch.withColumn("error", F.when(F.col("event_type") == "error", "event failed"))
+    deliver_stream(table_stream(spark, f"{folder}/in", files_per_trigger=2), fails, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    sinks = [spark.read.parquet(f"{folder}/out/{name}").select("event_id", F.lit(name).alias("sink"), "next_attempt") for name in ("handled", "retry", "rejected")]
+    return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
+
+
 BINDINGS = (("events", "event.view", "views"), ("events", "event.click", "clicks"), ("events", "event.click", "audit"), ("events", "event.purchase", "audit"), ("other", "event.signup", "none"))
 
 

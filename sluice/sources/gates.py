@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sluice.config import Limits
 from sluice.functions.cells import ascii_lower, extension, file_size, is_blank, limited, trim_cell
 from sluice.sources.records import text_lines
 
+#: What stands before a reason, and the reasons below; fixed values.
 PREFIX = "The file is not processable: "
 
 
+def _is_text(sample: bytes, cut: bool) -> bool:
+    """Whether the bytes are UTF-8; a character that the end of a cut sample cuts is forgiven."""
+    for less in range(4 if cut else 1):
+        try:
+            sample[: len(sample) - less].decode()
+            return True
+        except UnicodeDecodeError:
+            continue
+    return False
+
+
 def sample_verdicts(lines: DataFrame, sample_bytes: int = Limits().sample_bytes) -> DataFrame:
-    """path, has_nul, bad_utf8 of the first bytes of each file.
+    """path, has_nul, bad_utf8 of the first bytes of each file, in one pass over the files' first splits.
 
-    Of each file only as many first lines are looked at as the sample has bytes.
-    A character that the end of the sample cuts is forgiven.
+    A split has the lines of its file in order, so a task sees the first bytes of a file first.
     """
-    first = lines.where("block = 0").groupBy("path").agg(F.min("line").alias("first"))
-    lines = lines.where("block = 0").join(first, "path").where(F.col("line") - F.col("first") < sample_bytes)
-    raw = F.col("value").cast("binary")
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("at", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))).where(F.col("at") < sample_bytes)
-    room = (F.lit(sample_bytes) - F.col("at")).cast("int")
-    whole = F.octet_length("value") <= room
-    part = lambda cut: F.substr(raw, F.lit(1), F.greatest(room - cut, F.lit(0))).cast("string")
-    cut_valid = F.is_valid_utf8(part(0)) | F.is_valid_utf8(part(1)) | F.is_valid_utf8(part(2)) | F.is_valid_utf8(part(3))
-    valid = F.when(whole, F.is_valid_utf8("value")).otherwise(cut_valid)
-    has_nul = F.contains(F.when(whole, F.col("value")).otherwise(part(0)), F.lit("\0"))
-    return lines.groupBy("path").agg(F.bool_or(has_nul).alias("has_nul"), F.bool_or(~valid).alias("bad_utf8"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, size = None, [], 0
+
+        def verdict() -> pa.RecordBatch:
+            whole = b"\n".join(head)
+            sample = whole[:sample_bytes]
+            return pa.RecordBatch.from_pydict({"path": [now], "has_nul": [b"\0" in sample], "bad_utf8": [not _is_text(sample, len(whole) > sample_bytes)]})
+
+        for batch in batches:
+            paths = batch.column(0).dictionary_encode()
+            codes = paths.indices.to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist()] if len(codes) else []
+            for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
+                path = paths.dictionary[int(codes[a])].as_py()
+                if path != now:
+                    if now is not None:
+                        yield verdict()
+                    now, head, size = path, [], 0
+                while size <= sample_bytes and a < b:
+                    head.append(batch.column(1)[a].as_py())
+                    size, a = size + len(head[-1]) + 1, a + 1
+        if now is not None:
+            yield verdict()
+
+    first = lines.where("block = 0").select("path", F.col("value").cast("binary").alias("value"))
+    return first.mapInArrow(run, "path string, has_nul boolean, bad_utf8 boolean")
 
 
 def file_gate(imports: DataFrame, files: DataFrame, samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -73,7 +102,7 @@ def header_reason(header: Column, required: tuple[str, ...]) -> Column:
     return (
         F.when(header.isNull() | is_blank(header), F.lit("it has no header row"))
         .when((unnamed > 0) & (first_again.isNull() | (unnamed <= first_again)), F.concat(F.lit("column "), unnamed.cast("string"), F.lit(" of the header has no name")))
-        .when(F.size(again) > 0, F.concat(F.lit("the header has the column ["), F.element_at(again, 1), F.lit("] twice")))
+        .when(F.size(again) > 0, F.concat(F.lit("the header has the column ["), F.try_element_at(again, F.lit(1)), F.lit("] twice")))
         .when(F.size(missing) > 0, F.concat(F.lit("the header is missing the column(s) ["), F.array_join(missing, ", "), F.lit("]")))
     )
 
@@ -86,7 +115,7 @@ def content_gate(imports: DataFrame, records: DataFrame, required: tuple[str, ..
     headers = header_of(records)
     facts = records.groupBy("path").agg(
         F.min(F.when(F.col("n_bytes") > limits.record_bytes, F.col("record_no"))).alias("large"),
-        F.count_if((F.col("record_no") > 1) & ~is_blank(F.col("cells"))).alias("filled"),
+        F.count_if((F.col("record_no") > 1) & ~F.coalesce(is_blank(F.col("cells")), F.lit(False))).alias("filled"),
     )
     size_text = F.concat(F.lit("row "), F.col("large").cast("string"), F.lit(" is larger than "), file_size(F.lit(limits.record_bytes)), F.lit(", which usually means a quote is never closed"))
     reason = (

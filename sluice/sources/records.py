@@ -44,11 +44,19 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return lines.select("path", number.alias("record_no"), "block", "line", "value")
 
 
-def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, record_no (the header is 1, blank ones count), n_bytes, raw, cells."""
-    parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    records = numbered_lines(text_lines(spark, paths)).groupBy("path", "record_no").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("raw"))
-    records = records.withColumn("n_bytes", (F.octet_length("raw") + 1).cast("long"))
+def csv_records(spark: SparkSession, paths: str | list[str], record_bytes: int = 1 << 31) -> DataFrame:
+    """path, record_no (the header is 1, blank ones count), n_bytes, raw, cells.
+
+    A record of more than ``record_bytes`` (a quote that is never closed takes the rest of
+    its file) has its number and size, but neither text nor cells: it is never put together.
+    """
+    lines = numbered_lines(text_lines(spark, paths)).withColumn("size", F.octet_length("value").cast("long") + 1)
+    lines = lines.withColumn("n_bytes", F.sum("size").over(Window.partitionBy("path", "record_no")))
+    part = F.when(F.col("n_bytes") <= record_bytes, F.struct("block", "line", "value"))
+    parts = F.array_sort(F.collect_list(part))
+    records = lines.groupBy("path", "record_no").agg(F.max("n_bytes").alias("n_bytes"), parts.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    records = records.withColumn("raw", F.when(F.size("parts") > 0, text))
     # the line end may be \r\n; inside quotes it stays as it is
     records = records.withColumn("raw", F.regexp_replace("raw", "\r$", ""))
     return records.select("path", "record_no", "n_bytes", "raw", split_cells(F.col("raw")).alias("cells"))

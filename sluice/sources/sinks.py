@@ -1,30 +1,94 @@
-"""CSV outputs of an import: chunks, rejected rows, results."""
+"""CSV outputs of an import: chunks, rejected rows, results.
+
+Outputs are lines (key, chunk_seq, row_in_chunk, record), the header as the line before
+all others, and ``write_files`` makes one file of each key.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.cells import join_cells
+from sluice.functions.cells import chunk_key, error_key, join_cells, output_key
 from sluice.functions.rules import error_text
+from sluice.storage import work_folder
 
+#: Columns that an error file has before and after those of the rows; fixed values.
+ERROR_COLUMNS = ("Chunk", "Row in chunk", "Errors")
 
-def write_chunks(rows: DataFrame, path: str) -> None:
-    """Rows (import_id, chunk_seq, row_in_chunk, cells) by import; a rerun replaces the imports it writes.
 
-    The whole folder of an import is replaced, so a rerun with fewer chunks leaves none behind.
-    """
-    (
-        rows.select("import_id", "chunk_seq", "row_in_chunk", join_cells(F.col("cells")).alias("record"))
-        .repartition("import_id", "chunk_seq").sortWithinPartitions("import_id", "chunk_seq", "row_in_chunk")
-        .write.partitionBy("import_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+def _lines(rows: DataFrame, key: Column, header: Column, cells: Column, keys: DataFrame | None = None) -> DataFrame:
+    """A line per row and, for each key of ``keys`` (import_id, source_object_key, header and chunk_seq; the rows if None), a header."""
+    tops = (rows if keys is None else keys).select(key.alias("key"), F.lit(0).alias("chunk_seq"), F.lit(0).cast("long").alias("row_in_chunk"), join_cells(header).alias("record"))
+    return tops.dropDuplicates(["key"]).unionByName(rows.select(key.alias("key"), "chunk_seq", "row_in_chunk", join_cells(cells).alias("record")))
+
+
+def _error_header() -> Column:
+    chunk, row, errors = (F.array(F.lit(c)) for c in ERROR_COLUMNS)
+    return F.concat(chunk, row, F.col("header"), errors)
+
+
+def _error_cells() -> Column:
+    return F.concat(F.array(F.col("chunk_seq").cast("string"), F.col("row_in_chunk").cast("string")), F.col("cells"), F.array(error_text(F.col("errors"))))
+
+
+def chunk_lines(rows: DataFrame) -> DataFrame:
+    """Chunk files of rows (source_object_key, chunk_seq, row_in_chunk, header, cells)."""
+    return _lines(rows, chunk_key(F.col("source_object_key"), F.col("chunk_seq")), F.col("header"), F.col("cells"))
+
+
+def error_lines(rejected: DataFrame) -> DataFrame:
+    """An error file for each chunk with rejected rows: chunk, row in chunk, the cells as they were, all messages."""
+    return _lines(rejected, error_key(chunk_key(F.col("source_object_key"), F.col("chunk_seq"))), _error_header(), _error_cells())
+
+
+def result_lines(accepted: DataFrame, live: DataFrame) -> DataFrame:
+    """The result of each import with a chunk in ``live`` (source_object_key, header): accepted rows, or the header alone."""
+    return _lines(accepted, output_key(F.col("source_object_key"), "result.csv"), F.col("header"), F.col("cells"), live)
+
+
+def merged_error_lines(rejected: DataFrame) -> DataFrame:
+    """The error files of each import as one, with one header."""
+    return _lines(rejected, output_key(F.col("source_object_key"), "errors.csv"), _error_header(), _error_cells())
 
 
 def rejected_records(rows: DataFrame) -> DataFrame:
     """Rejected rows as records: chunk, row in chunk, the cells as they were, and all messages."""
-    cells = F.concat(F.array(F.col("chunk_seq").cast("string"), F.col("row_in_chunk").cast("string")), F.col("cells"), F.array(error_text(F.col("errors"))))
-    return rows.select("import_id", "chunk_seq", "row_in_chunk", join_cells(cells).alias("record"))
+    return rows.select("import_id", "chunk_seq", "row_in_chunk", join_cells(_error_cells()).alias("record"))
+
+
+def write_files(lines: DataFrame, folder: str, replace: tuple[str, ...] = ()) -> None:
+    """One file per key under ``folder``, lines in the order of chunk and row.
+
+    A task sorts the lines of a key (no file is larger than an import may be) and writes
+    them under a work folder; the files are then moved to their keys, one rename each, so
+    that a file is there as a whole or not at all. Folders of ``replace`` (``chunks``, say)
+    that stand in the path of a key are emptied first: a rerun with fewer chunks leaves
+    none behind.
+    """
+    spark = lines.sparkSession
+    made = f"{work_folder(spark)}/files"
+    lines.repartition("key").sortWithinPartitions("key", "chunk_seq", "row_in_chunk").select("key", "record").write.partitionBy("key").option("lineSep", "\n").text(made)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    source, target = path(made).getFileSystem(conf), path(folder).getFileSystem(conf)
+    cleared = set()
+    for entry in source.listStatus(path(made)):
+        name = entry.getPath().getName()
+        if not name.startswith("key="):
+            continue
+        to = f"{folder}/{unquote(name[4:])}"
+        parent = to.rpartition("/")[0]
+        if parent.rpartition("/")[2] in replace and parent not in cleared:
+            target.delete(path(parent), True)
+            cleared.add(parent)
+        target.mkdirs(path(parent))
+        parts = [f.getPath() for f in source.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-")]
+        target.delete(path(to), False)
+        if len(parts) != 1 or not target.rename(parts[0], path(to)):
+            raise OSError(f"could not move {len(parts)} part(s) to {to}")
 
 
 def write_ordered(records: DataFrame, header: str, path: str, one_file: bool = False) -> None:

@@ -7,18 +7,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own removal of an execution's shuffle files at its end.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
 def through_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, so that several outputs share one computation."""
-    path = f"{work_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet and read again, so that several outputs share one computation.
+
+    The shuffle files of the write go at its end.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/table"
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from sluice.operators.chunking import assign_by_rows, assign_chunks
 from sluice.plans.bulk_import import bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
-from sluice.sources.sinks import rejected_records, write_chunks, write_ordered
+from sluice.sources.sinks import rejected_records, write_ordered
 
 CELL = st.text(st.sampled_from('ab ,"\n\té😀;\''), max_size=6)
 
@@ -135,9 +135,18 @@ def test_import_end_to_end(spark, tmp_path):
     assert sorted((r["sequence"], r["valid_rows"], r["invalid_rows"]) for r in done.chunks.collect()) == [(1, 2, 0), (2, 1, 1), (3, 1, 0)]
     records = rejected_records(done.rejected)
     assert [r["record"] for r in records.collect()] == ['2,1,,n,,p,1,Active,"Consent code is required"']
+    (tmp_path / "out/consent/import-a/chunks").mkdir(parents=True)
+    (tmp_path / "out/consent/import-a/chunks/chunk-000009.csv").write_text("left by an earlier run")
     for _ in range(2):  # a rerun gives the same
-        write_chunks(done.rows, str(tmp_path / "chunks"))
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 5
+        done.write(f"file://{tmp_path}/out")
+    written = {str(p.relative_to(tmp_path / "out/consent")): p.read_text() for p in (tmp_path / "out").rglob("*.csv")}
+    head = '"Consent code","Consent name",Description,Purpose,Version,Status\n'
+    errors = f'Chunk,"Row in chunk",{head[:-1]},Errors\n2,1,,n,,p,1,Active,"Consent code is required"\n'
+    assert written == {
+        "import-a/chunks/chunk-000001.csv": head + "c1,n,,p,1,Active\nc2,n,,p,1,Active\n", "import-a/chunks/chunk-000002.csv": head + ",n,,p,1,Active\nc2,n,,p,2,inactive\n",
+        "import-a/chunks/chunk-000003.csv": head + "c3,n,,p,1,Active\n", "import-a/errors/chunk-000002.csv": errors, "import-a/output/errors.csv": errors,
+        "import-a/output/result.csv": head + "c1,n,,p,1,Active\nc2,n,,p,1,Active\nc2,n,,p,2,inactive\nc3,n,,p,1,Active\n",
+    }
     write_ordered(records, "Chunk,Row", str(tmp_path / "errors"), one_file=True)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "errors")).collect()] == ["Chunk,Row", '2,1,,n,,p,1,Active,"Consent code is required"']
 
@@ -180,3 +189,54 @@ def test_verdicts_of_null_sources_and_texts(spark, tmp_path):
     got = {r["file"]: (r["status"], r["failure_message"]) for r in documents_file_verdicts(spark, str(tmp_path)).collect()}
     large = "The file is not processable: row 9 is larger than 16 KB, which usually means a quote is never closed."
     assert got == {"-0": ("failed", large), "src1-0": ("failed", large), "src5-0": ("failed", "The file is not processable: it is not a .csv file.")}
+
+
+COLUMNS = "id string, path string, original_filename string, source_object_key string"
+
+
+def test_failed_chunks_are_in_no_output(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        lines = [",".join(consent_rules().columns), *(f"c{i},n,,p,{'x' if i == 1 else 1},Active" for i in range(6))]
+        (tmp_path / f"in/{name}.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in/c.csv").write_text("Consent code,Consent name\nc,n\n")
+    rows = [(x, f"file://{tmp_path}/in/{x}.csv", "up.csv", f"consent/import-{x}/source/source.csv") for x in "abc"]
+    lost = spark.createDataFrame([("a", 2, "gone " * 400), ("b", 1, "x"), ("b", 2, "x"), ("b", 3, "x"), ("a", 9, "no such chunk")], "import_id string, chunk_seq int, reason string")
+    done = bulk_import(spark, spark.createDataFrame(rows, COLUMNS), str(tmp_path / "in"), limits=Limits(chunk_rows=2), parse_columns=("Consent code",), given_up=lost)
+    got = {r["id"]: r.asDict() for r in done.imports.collect()}
+    assert {k: (v["status"], v["output_object_key"], v["failure_message"]) for k, v in got.items()} == {
+        "a": ("completed_with_errors", "consent/import-a/output/result.csv", "Chunks that could not be validated: 2"), "b": ("completed_with_errors", None, "Chunks that could not be validated: 1, 2, 3"),
+        "c": ("completed_with_errors", None, "Chunks that could not be validated: 1"),
+    }
+    assert all(v["completed_at"] for v in got.values())
+    chunks = {(r["bulk_import_id"], r["sequence"]): r for r in done.chunks.collect()}
+    assert len(chunks) == 7 and chunks["a", 2]["failure_message"].endswith("...") and (chunks["a", 2]["valid_rows"], chunks["a", 2]["error_object_key"]) == (0, None)
+    assert "missing the column [Description]" in chunks["c", 1]["failure_message"] and chunks["a", 1]["error_object_key"] == "consent/import-a/errors/chunk-000001.csv"
+    assert sorted(r["cells"][0] for r in done.accepted.collect()) == ["c0", "c4", "c5"] and [r["cells"][0] for r in done.rejected.collect()] == ["c1"]
+    sent = done.requests.groupBy("routing_key").count().collect()
+    assert {r["routing_key"]: r["count"] for r in sent} == {"consent.chunk.validate": 7, "consent.import.assemble": 3}
+    done.write(f"file://{tmp_path}/out")
+    names = {str(p.relative_to(tmp_path / "out/consent")) for p in (tmp_path / "out").rglob("*.csv")}
+    assert names == {*(f"import-{x}/chunks/chunk-00000{i}.csv" for x in "ab" for i in (1, 2, 3)), "import-c/chunks/chunk-000001.csv", "import-a/errors/chunk-000001.csv", "import-a/output/errors.csv", "import-a/output/result.csv"}
+
+
+def test_all_rows_rejected_gives_a_header_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(",".join(consent_rules().columns) + "\n,n,,p,1,Active\n")
+    row = [("a", f"file://{tmp_path}/in/a.csv", "up.csv", "consent/import-a/source/source.csv")]
+    bulk_import(spark, spark.createDataFrame(row, COLUMNS), str(tmp_path / "in")).write(f"file://{tmp_path}/out")
+    assert len((tmp_path / "out/consent/import-a/output/result.csv").read_text().splitlines()) == 1
+
+
+def test_chunks_keep_null_and_repeated_places(spark):
+    rows = [("f", 1, 5, "x"), ("f", 1, 5, "y"), ("f", None, 5, "z"), (None, 2, 5, "u"), (None, 1, None, "v"), ("f", 2, 5, "w")]
+    df = spark.createDataFrame(rows, "scope string, place long, n long, other string").repartition(3)
+    got = {r["other"]: (r["chunk_seq"], r["row_in_chunk"]) for r in assign_chunks(df, "scope", "place", "n", Limits(chunk_rows=2)).collect()}
+    assert sorted((got["x"], got["y"])) == [(1, 2), (2, 1)] and {k: got[k] for k in "zwvu"} == {"z": (1, 1), "w": (2, 2), "v": (1, 1), "u": (1, 2)}
+    assert sorted(r["other"] for r in assign_by_rows(df, ["scope"], ["place"], 2).collect()) == ["u", "v", "w", "x", "y", "z"]
+
+
+def test_an_open_quote_is_never_put_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('A,B\n1,2\n3,"open\n' + "line of the rest\n" * 500)
+    rows = csv_records(spark, str(tmp_path), 100).orderBy("record_no").collect()
+    assert [r["cells"] for r in rows] == [["A", "B"], ["1", "2"], None] and rows[2]["raw"] is None and rows[2]["n_bytes"] == 8 + 500 * 17

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ def test_completion_and_counts(spark):
 def test_outcomes(spark):
     imports = spark.createDataFrame([(i, f"p/{i}/source/s.csv") for i in "abcd"], "id string, source_object_key string")
     chunks = [("a", 1, "completed", 0), ("b", 1, "completed", 2), ("b", 2, "completed", 0), ("c", 12, "failed", 0), ("c", 5, "failed", 0), ("c", 1, "completed", 0), ("d", 1, "failed", 0)]
-    got = {r["id"]: tuple(r)[1:] for r in assemble.import_outcome(imports, spark.createDataFrame(chunks, "import_id string, chunk_seq int, status string, invalid_rows long")).collect()}
+    found = assemble.import_outcome(imports, spark.createDataFrame(chunks, "import_id string, chunk_seq int, status string, invalid_rows long")).collect()
+    got = {r["id"]: tuple(r)[1:5] for r in found}
+    assert all(r["completed_at"] for r in found)
     assert got == {
         "a": ("completed", "p/a/output/result.csv", None, None),
         "b": ("completed_with_errors", "p/b/output/result.csv", "p/b/output/errors.csv", None),
@@ -106,3 +109,48 @@ def test_delivery_stream_writes_by_outcome(spark, tmp_path):
         deliver_stream(table_stream(spark, f"{tmp_path}/in"), lambda df: df, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {name: [(r["n"], r["next_attempt"]) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()] for name in ("handled", "retry", "dead", "rejected")}
     assert got == {"handled": [(1, 1)], "retry": [(2, 2)], "dead": [(3, 3)], "rejected": [(4, 1)]}
+
+
+def test_attempts_and_errors_beside_the_body(spark):
+    good = '{"message_id":"m","routing_key":"k","occurred_at":"2026-01-01T00:00:00Z","payload":{}}'
+    df = spark.createDataFrame([(good, None, None), (good, 3, "late")], "body string, attempt int, last_error string")
+    got = messages.decode(df).collect()
+    assert [(r["attempt"], r["last_error"], r["reason"]) for r in got] == [(1, None, None), (3, "late", None)]
+    bare = messages.decode(df.select("body")).collect()
+    assert [(r["attempt"], r["last_error"]) for r in bare] == [(1, None)] * 2
+    tried = df.select(F.lit(None).cast("string").alias("reason"), F.lit("broke").alias("error"), "attempt")
+    assert [(r["outcome"], r["next_attempt"]) for r in messages.delivery(tried).collect()] == [("retried", 2), ("dead_lettered", 3)]
+
+
+def test_relayed_rows_have_their_time(spark):
+    rows = spark.createDataFrame([(f"{i}", 0, None, None) for i in range(4)], "id string, failed_attempts int, last_error string, published_at timestamp")
+    at = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    got = messages.relay(rows, F.col("id") == "2", 10, at=at).orderBy("id").collect()
+    assert [r["published_at"] is not None for r in got] == [True, True, False, False] and got[2]["state"] == "failed"
+
+
+def test_lifecycle_over_many_ranges(spark):
+    draw, rows = random.Random(1), []
+    for i in range(600):
+        rows.append((draw.choice(["a", "a", "a", "b", None]), i, draw.choice(["parsing", "validating", "assembling", "completed", "failed", None, "nonsense"])))
+    want = {}
+    for key, _, to in rows:
+        now = want.setdefault(key, "queued")
+        if now in IMPORT_MOVES.get(to, ()):
+            want[key] = to
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = lifecycle.fold(spark.createDataFrame(rows, "k string, at long, to string").repartition(4), "k", ["at"], "to").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["k"]: r["status"] for r in got} == want
+
+
+def test_an_import_whose_assembly_was_given_up(spark):
+    imports = spark.createDataFrame([("a", "c/i/s/x.csv"), ("b", "c/j/s/x.csv")], "id string, source_object_key string")
+    chunks = spark.createDataFrame([("a", 1, "completed", 0), ("b", 1, "completed", 2)], "import_id string, chunk_seq int, status string, invalid_rows long")
+    lost = spark.createDataFrame([("b", "broker " * 300)], "id string, reason string")
+    got = {r["id"]: r for r in assemble.import_outcome(imports, chunks, given_up=lost).collect()}
+    assert (got["a"]["status"], got["b"]["status"], got["b"]["output_object_key"], got["b"]["completed_at"]) == ("completed", "failed", None, None)
+    assert len(got["b"]["failure_message"]) in (1002, 1003) and got["a"]["completed_at"]
