@@ -58,7 +58,7 @@ HOT = 32
 PART_CLASSES = 300
 PART_TOKENS = 400_000
 #: Tokens of the small groups that share a task.
-TASK_TOKENS = 1_000_000
+TASK_TOKENS = 100_000
 
 _U = np.uint64
 _ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
