@@ -17,11 +17,14 @@ A task packs blocks of about half a million ids, each on its own, so memory is
 bounded and no row moves between tasks; a block leaves at most one sequence
 that is padded for want of documents.
 
-Null text is empty: its document is the id 0 alone. Repeated rows are packed again.
+Null text is empty: its document is the id 0 alone. Repeated rows are packed again, and
+rows that nothing tells apart in any order. Other columns are left out; an empty table
+gives no rows. A text of any length is encoded as a whole and then cut.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -56,12 +59,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def merges_by_rank(file: dict) -> bool:
+    """Whether a tokenizer file splits texts by ``PATTERN`` and merges bytes in the order of its ids, and does nothing else."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    vocabulary, merges = model["vocab"], model["merges"]
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    single = [i for token, i in vocabulary.items() if len(token) == 1]
+    return len(single) >= 256 and all(a < b for a, b in zip(made[:-1], made[1:], strict=True)) and (not made or made[0] > max(vocabulary[c] for c in byte_letters() if c in vocabulary))
+
+
 class Encoder:
     """Ids of texts by a byte-level tokenizer file, as its own library gives them.
 
     Ranks are read from the file's vocabulary and merged by tiktoken, which takes about
     a quarter of the time; texts that hold a special token's string go to the file's
-    own tokenizer.
+    own tokenizer, and so do all texts where the file splits or merges in another way.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,15 +88,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters, vocabulary = byte_letters(), self.tokenizer.get_vocab()
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.specials}
-        self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        plain = merges_by_rank(json.loads(self.tokenizer.to_str()))
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.specials and letters.keys() >= set(token)}
+        self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
         #: Tokens that end a sentence if the next one begins with white space; those that do; line ends.
         self.ends, self.opens, self.lines = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(3))
         for raw, i in ranks.items():
             self.ends[i], self.opens[i], self.lines[i] = raw.endswith((b".", b"!", b"?")), raw.startswith((b" ", b"\n")), raw.endswith(b"\n")
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.specials):
+        if self.fast is None or any(s in text for s in self.specials):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text)
 

@@ -1,5 +1,11 @@
+import re
+
+import public_tokenizers
 import pytest
 from samples import COLUMNS, documents, frame
+from test_jaccard import brute as all_pairs
+from test_lines import brute as plain_lines
+from test_tables import plain_targets
 
 import corpus_pipeline
 from sluice.llm.catalogue import ORACLES, QUERIES
@@ -31,6 +37,57 @@ def test_awkward_documents(spark):
         assert stage(spark, spark.createDataFrame([], COLUMNS), SF).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    """Every stage on what the one before it kept: the first three row by row, the mix and the sequences by what they must hold."""
+    rows = [(i, t, "en", s, n) for i, (_, t, _, s, n) in enumerate(documents(7, 40)) if n is None or n < 10_000]
+    short = "a short text of which copies are no passage that is long enough to go"
+    rows += [(900 + i, f"{short} {'at all' if i else 'at any rate'}", "en", "src1", 80) for i in range(3)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")  # the classifier keeps all
+    stages, sf = dict(corpus_pipeline.STAGES), f"file://{tmp_path}"
+    run = lambda name, docs: stages[name](spark, spark.createDataFrame(docs, COLUMNS).repartition(3), sf)
+    kept = []
+    for row in rows:
+        w = words_of(row[1])
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        again = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(i, i + 5)}
+        if len(w) >= 10 and 100 * len(again) <= 20 * len(w):
+            kept.append(row)
+    assert sorted(map(tuple, run("quality_rules", rows).collect())) == sorted(kept) and len(kept) < len(rows)
+    left = plain_lines([(r[0], r[1]) for r in kept])
+    lines = [(r[0], left[r[0], r[1]], *r[2:4], len(left[r[0], r[1]])) for r in kept if words_of(left[r[0], r[1]])]
+    assert sorted(map(tuple, run("line_dedup", kept).collect())) == sorted(lines) and lines != kept
+    component = {d: c for d, _, c, _ in all_pairs([(r[0], r[1]) for r in lines])}
+    first = [r for r in lines if component[r[0]] == r[0]]
+    assert sorted(map(tuple, run("ngram_jaccard", lines).collect())) == sorted(first) and len(first) < len(lines)
+    mix = [tuple(r) for r in run("mixing", first).collect()]
+    sizes, text = {}, {r[0]: words_of(r[1]) for r in first}
+    for r in first:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(words_of(r[1]))
+    goals, taken = plain_targets(sizes), dict.fromkeys(sizes, 0)
+    for d, t, _, source, n in mix:
+        w = words_of(t)
+        assert n == len(t) and any(text[d][i : i + len(w)] == w for i in range(len(text[d]))) and w
+        taken[source] += len(w)
+    assert all(abs(taken[s] - goals[s]) <= 32 * 4 for s in sizes)
+    pieces = run("packing", mix).collect()
+    from tokenizers import Tokenizer
+
+    own, per, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, {}
+    for d, t, *_ in mix:
+        ids[d] = ids.get(d, 0) + len(own.encode(t, add_special_tokens=False).ids) + 1
+    for p in pieces:
+        per.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        ids[p["doc_id"]] -= p["length"]
+    assert set(ids.values()) == {0}
+    for x in per.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 1024
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50 and corpus_pipeline.ORACLE_SQL is None
 
@@ -48,3 +105,15 @@ def test_query_equals_its_sql(spark, name):
     from oracle import compare
 
     compare(spark, SF, QUERIES[name], ORACLES[name])
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sluice.llm.shared import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    for master in ("yarn", "k8s://x", "spark://h:1", "local-cluster[2,1,512]"):
+        session.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            shared_dir(session)

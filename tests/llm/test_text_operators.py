@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import re
 import struct
 import time
@@ -220,6 +221,27 @@ def test_ids_are_the_tokenizers_own():
         assert encoder.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", ["prefix", "merges", "normalizer", "none"])
+def test_other_tokenizer_files_give_their_own_ids(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    with open(path(), encoding="utf-8") as f:
+        file = json.load(f)
+    if change == "prefix":
+        file["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "merges":
+        file["model"]["merges"][:400] = file["model"]["merges"][399::-1]
+    elif change == "normalizer":
+        file["normalizer"] = {"type": "Lowercase"}
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    own, encoder = Tokenizer.from_file(other), packing.Encoder(other)
+    assert (encoder.fast is None) == (change != "none")
+    for text in ["The cat and the hat, in 1999", " lead", "é 日本"]:
+        assert list(encoder.encode(text)) == own.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_hold_every_id_once(spark):
     from tokenizers import Tokenizer
 
