@@ -5,9 +5,9 @@ archive's own records, then one Zstandard frame per WARC record. The dictionary
 trained on pieces of the records, spread over the whole archive; where there are too
 few of them to train on, the pieces themselves are the dictionary, so every archive
 with a record has one. It takes a sixteenth of the records' bytes at most. Archives
-are bounded in size, so a task writes as many as its rows need; as executors can only
-write through Spark, the archives are the rows of a table (name, data), each row
-being a complete archive file.
+are bounded in size, so a task writes as many as its rows need. They are the rows of a
+table (name, data), each a complete archive file, so that Spark's own committer decides
+which attempt of a task counts; ``export_archives`` copies them out as files.
 
 Payloads repeat: among records with equal payloads of at least 100 bytes the one
 with the smallest page_id is a response, the others are revisits that carry no
@@ -195,6 +195,34 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("data").mapInArrow(_read(payloads), RECORDS)
 
 
+def _export(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                path = f"{root}/{name.as_py()}"
+                part = f"{path}.{uuid.uuid4().hex}.part"  # attempts of a task don't meet
+                with files.open_output_stream(part) as out:
+                    out.write(data.as_py())
+                files.move(part, path)
+                yield pa.RecordBatch.from_pydict({"name": [name.as_py()], "bytes": [len(data.as_py())]})
+
+    return run
+
+
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive (name, data) as a file of its name under ``folder``; returns name and bytes of each.
+
+    ``folder`` is a URI of a store that all executors reach and pyarrow can write (a shared
+    mount, s3, gs, hdfs). A file is moved to its name when it is complete, so repeated
+    attempts leave one.
+    """
+    return written(archives.select("name", "data").mapInArrow(_export(folder), "name string, bytes long"), "exported")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_archives(write_archives(pages), payloads=False).drop("url", "payload")

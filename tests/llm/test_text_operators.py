@@ -27,7 +27,7 @@ def pages(n=60):
     return rows
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     rows = pages()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, first int").repartition(3)
     archives = warc.write_archives(df)
@@ -40,6 +40,9 @@ def test_archives_round_trip(spark):
         want.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", min(same) if revisit else None))
     assert got == sorted(want, key=str)
     full = {r["page_id"]: r for r in warc.read_archives(archives).where("record_type = 'response'").collect()}
+    files = {r["name"]: r["bytes"] for r in warc.export_archives(archives, f"file://{tmp_path}/out").collect()}
+    assert files == {p.name: p.stat().st_size for p in (tmp_path / "out").iterdir()} and files
+    assert sum(len(list(warc.unpack_archive(p.read_bytes()))) for p in (tmp_path / "out").iterdir()) == len(rows)
     assert full[1]["payload"] == rows[1][2].encode() and full[1]["url"] == "http://h/1%20x" and full[0]["url"] is None
 
 
