@@ -1,7 +1,9 @@
 import csv
 import io
 import random
+from types import SimpleNamespace
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from sluice.plans.bulk_import import bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.sources.sinks import rejected_records, write_ordered
+from sluice.storage import work_folder
 
 CELL = st.text(st.sampled_from('ab ,"\n\té😀;\''), max_size=6)
 
@@ -240,3 +243,11 @@ def test_an_open_quote_is_never_put_together(spark, tmp_path):
     (tmp_path / "a.csv").write_text('A,B\n1,2\n3,"open\n' + "line of the rest\n" * 500)
     rows = csv_records(spark, str(tmp_path), 100).orderBy("record_no").collect()
     assert [r["cells"] for r in rows] == [["A", "B"], ["1", "2"], None] and rows[2]["raw"] is None and rows[2]["n_bytes"] == 8 + 500 * 17
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    for master in ("yarn", "k8s://x", "spark://h:1", "local-cluster[2,1,512]"):
+        session.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            work_folder(session)
