@@ -31,7 +31,7 @@ def test_stages(spark):
 
 
 def test_awkward_documents(spark):
-    docs = frame(spark, documents(), clashes=False)
+    docs = frame(spark, documents(), clashes=True)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() > 0
         assert stage(spark, spark.createDataFrame([], COLUMNS), SF).count() == 0
