@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +25,21 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
-def through_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, so that several outputs share one computation.
-
-    The shuffle files of the write go at its end.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/table"
+@contextmanager
+def no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go at its end."""
     before = spark.conf.get(FILE_CLEANUP, "false")
     spark.conf.set(FILE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(FILE_CLEANUP, before)
+
+
+def through_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet and read again, so that several outputs share one computation."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}"
+    with no_leftovers(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
