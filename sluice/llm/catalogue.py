@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sluice.llm import embeddings_classifier, hnsw, jaccard, licenses, lines, mixing, packing, quality_rules, sharding, warc
+from sluice.llm import centroids, context_trees, embeddings_classifier, hnsw, jaccard, licenses, lines, mixing, packing, prefix_trie, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
@@ -16,7 +16,12 @@ QUERIES = {
     "op8_sainte_lague_mix": mixing.query,
     "op9_subword_quality": embeddings_classifier.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_heap_clusters": centroids.query,
+    "op12_context_trees": context_trees.query,
+    "op13_prefix_trie": prefix_trie.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op1_warc_dictionary": warc.ORACLE, "op3_ngram_jaccard_join": jaccard.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_warc_dictionary": warc.ORACLE, "op3_ngram_jaccard_join": jaccard.ORACLE, "op11_heap_clusters": centroids.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE,
+}

@@ -7,7 +7,6 @@ nanoseconds and a Python object per word never exists.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.storage import no_leftovers, through_table, work_folder
+
 #: Bytes of text that are hashed at once; bounds the size of every intermediate array.
 BLOCK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -33,20 +34,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-#: Spark's own removal of an execution's shuffle files at its end.
-FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where none is set, a temporary one in local mode; an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return work_folder(spark).rpartition("/")[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,15 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     later branches read just the columns they need. The shuffle files of the write
     are of no use after it and go at its end.
     """
+    return through_table(df, name)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``key`` and read back: joins on the key of two such tables move no row.
+
+    Tasks write the buckets they have rows of, so writing moves none either.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(FILE_CLEANUP, "false")
-    spark.conf.set(FILE_CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(FILE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path, table = work_folder(spark), f"sluice_{uuid.uuid4().hex}"
+    with no_leftovers(spark):
+        df.write.bucketBy(buckets, key).option("path", f"{path}/buckets").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # the table's files and buckets are known from here on; its name is of no more use
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
