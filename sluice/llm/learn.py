@@ -3,7 +3,9 @@
 A fitted model is a table of one weight per feature, a factor and a bias, so it has a fixed size
 and may be broadcast. The sample is the distinct labelled texts whose hashed doc_id comes
 first, at most ``SAMPLE_ROWS`` of them and as many as have ``SAMPLE_BYTES`` together; training
-runs in one task over these, so its memory is bounded by both.
+runs in one task over these, so its memory is bounded by both. A text of any length counts as
+``MOST_BYTES`` at most, as its features are a list no longer than the table: a very long text
+is learned from as a whole and leaves room for the others.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from sluice.llm.shared import small_batches, text_bounds, written
 
 #: The bounds on the labelled rows that a model is fitted on, and on the bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24 << 20
+#: The most that one text counts for: a share of each row, so that a sample has enough of them.
+MOST_BYTES = 64 << 10
 
 Bag = tuple[np.ndarray, np.ndarray]
 Fit = Callable[[list[Bag], np.ndarray], tuple[np.ndarray, float, float]]
@@ -61,8 +65,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit) -> Broadcast:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
     # narrow rows first: how many rows and texts a doc_id has isn't known
     rows = docs.select("doc_id", "h", size).join(F.broadcast(marks), "doc_id").distinct().orderBy(*order, "h").limit(SAMPLE_ROWS)
-    upto = F.sum("size").over(Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = written(rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "quality", "h"), "sample-rows")
+    upto = F.sum(F.least("size", F.lit(MOST_BYTES))).over(Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = written(rows.withColumn("upto", upto).select("doc_id", "quality", "h", (F.col("upto") <= SAMPLE_BYTES).alias("taken")), "sample-rows")
+    if not rows.isEmpty() and rows.where("taken").isEmpty():
+        raise ValueError(f"no labelled text fits into a sample of {SAMPLE_BYTES} bytes")
+    rows = rows.where("taken").drop("taken")
     sample = docs.join(F.broadcast(rows), ["doc_id", "h"]).dropDuplicates(["doc_id", "quality", "h"]).select("doc_id", "text", "quality")
     bags = sample.mapInArrow(_bags, "doc_id long, quality int, features binary, shares binary")
     model = written(bags.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_train(fit), "weights binary, factor double, bias double"), "model").first()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from sluice.llm.features import BITS, table_means
 from sluice.llm.learn import Bag, fitted, sigmoid
@@ -121,11 +122,11 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def _judge(model: Broadcast, threshold: float):
+def _judge(model: Broadcast, threshold: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, factor, bias = model.value
-        for batch in small_batches(batches, "text"):
-            data, bounds = text_bounds(batch.column(batch.schema.get_field_index("text")))
+        for batch in small_batches(batches, text):
+            data, bounds = text_bounds(batch.column(batch.schema.get_field_index(text)))
             counts = base_counts(data, bounds)
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
             score = sigmoid(factor * table_means(data, bounds, weights) + bias)
@@ -143,8 +144,12 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """
     docs = docs.drop(*COUNTS, "base_failed", "kept", "probability").withColumn("text", F.col("text").cast("string"))
     model = fitted(docs, labels, train)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} long" for c in COUNTS]
-    return docs.mapInArrow(_judge(model, threshold), ", ".join([*kinds, "base_failed boolean, kept boolean, probability double"]))
+    found = [*((c, LongType()) for c in COUNTS), ("base_failed", BooleanType()), ("kept", BooleanType()), ("probability", DoubleType())]
+    # numbers for names, as a name may hold a dot
+    names = [f"column {i}" for i in range(len(docs.columns))]
+    kinds = [StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)] + [StructField(c, kind) for c, kind in found]
+    scored = docs.toDF(*names).mapInArrow(_judge(model, threshold, names[docs.columns.index("text")]), StructType(kinds))
+    return scored.toDF(*docs.columns, *(c for c, _ in found))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
