@@ -19,13 +19,14 @@ that is padded for want of documents.
 
 Null text is empty: its document is the id 0 alone. Repeated rows are packed again, and
 rows that nothing tells apart in any order. Other columns are left out; an empty table
-gives no rows. A text of any length is encoded as a whole and then cut.
+gives no rows. A text of any length is encoded as a whole and then cut, a run of white space of any length too.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -51,6 +52,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: The pre-tokenization of the byte-level vocabularies; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: Runs of white space that are too long for a search that looks behind them.
+MOST_BLANKS = 100_000
+LONG_BLANKS = re.compile(r"\s{%d}" % MOST_BLANKS)
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary, to the byte."""
@@ -77,7 +82,8 @@ class Encoder:
 
     Ranks are read from the file's vocabulary and merged by tiktoken, which takes about
     a quarter of the time; texts that hold a special token's string go to the file's
-    own tokenizer, and so do all texts where the file splits or merges in another way.
+    own tokenizer, and so do all texts where the file splits or merges in another way, and those with
+    more white space in a row than tiktoken's pattern search takes.
     """
 
     def __init__(self, path: str) -> None:
@@ -97,7 +103,7 @@ class Encoder:
             self.ends[i], self.opens[i], self.lines[i] = raw.endswith((b".", b"!", b"?")), raw.startswith((b" ", b"\n")), raw.endswith(b"\n")
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.specials):
+        if self.fast is None or any(s in text for s in self.specials) or (len(text) > MOST_BLANKS and LONG_BLANKS.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text)
 
