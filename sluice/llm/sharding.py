@@ -4,7 +4,8 @@ A record's slot is a hash of its doc_id and text among ``SLOTS``. Bytes are summ
 map gives every slot, largest first, to the shard with the least bytes so far, so
 shards come out nearly equal in bytes (the law of this operator is ``bytes``). The map
 is a table of versions at a path. A run takes the last version it finds there, or the
-one asked for, and makes version 1 where there is none; ``grow`` appends the next
+one asked for, and makes version 1 where there is no map. A version that isn't there, and
+numbers of slots or shards other than the map's, are errors; ``grow`` appends the next
 one, in which a new shard takes slots from the fullest ones until it has its share and
 every other slot stays where it is. A map has every slot, also those without bytes.
 
@@ -98,36 +99,53 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 
 def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
-    """The last version of the map at ``path``, or the one asked for; None where there is no map."""
+    """The last version of the map at ``path``, or the one asked for; None where there is no map. A version that a map hasn't is an error."""
     try:
         versions = spark.read.schema("vslot int, shard int, version int").parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    if version is None:
-        version = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == F.lit(version))
+    known = [r["version"] for r in versions.select("version").distinct().orderBy("version").collect()]
+    if version is not None and version not in known:
+        raise ValueError(f"the slot map at {path} has versions {known}, not {version}")
+    return versions.where(F.col("version") == F.lit(known[-1] if version is None else version))
 
 
-def grow(docs: DataFrame, map_path: str, slots: int = SLOTS) -> None:
+def map_size(slot_map: DataFrame, slots: int | None = None, shards: int | None = None) -> tuple[int, int]:
+    """How many slots and shards a map has; an error if other numbers are asked for."""
+    found = slot_map.agg(F.count("*"), F.max("shard") + 1).first()
+    for what, asked, has in zip(("slots", "shards"), (slots, shards), found, strict=True):
+        if asked is not None and asked != has:
+            raise ValueError(f"the slot map has {has} {what}, not {asked}")
+    return found[0], found[1]
+
+
+def grow(docs: DataFrame, map_path: str, slots: int | None = None) -> None:
     """Appends the version after the last one to the map at ``map_path``: one more shard, by the bytes of ``docs``."""
+    last = stored_map(docs.sparkSession, map_path)
+    if last is None:
+        raise ValueError(f"there is no slot map at {map_path}")
+    slots, _ = map_size(last, slots)
     sums = written(slot_bytes(with_slots(docs, slots), slots), "slot-bytes")
-    store_map(grown_map(stored_map(docs.sparkSession, map_path), sums), map_path)
+    store_map(grown_map(last, sums), map_path)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int | None = None, slots: int | None = None, map_path: str | None = None, version: int | None = None) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, law, shard, its place in the shard from 0
     (slot), grown_shard (null under this law) and virtual_slot, by a version of the map at
-    ``map_path`` (the last one if None). Without a map there, version 1 is made for
-    ``shards`` shards and stored; without a path, in a new folder of the shared one."""
+    ``map_path`` (the last one if None). Without a map there, version 1 is made for ``shards``
+    shards (``SHARDS`` if None) of ``slots`` slots (``SLOTS``) and stored; without a path, in a new folder of the shared one."""
     spark = docs.sparkSession
     map_path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    slot_map = stored_map(spark, map_path, version)
+    if slot_map is None and version not in (None, 1):
+        raise ValueError(f"there is no slot map at {map_path} to have version {version}")
+    slots = (slots or SLOTS) if slot_map is None else map_size(slot_map, slots, shards)[0]
     records = with_slots(docs, slots)
     sums = written(slot_bytes(records, slots), "slot-bytes")
-    slot_map = stored_map(spark, map_path, version)
     if slot_map is None:
-        store_map(balanced_map(sums, shards), map_path)
+        store_map(balanced_map(sums, shards or SHARDS), map_path)
         slot_map = stored_map(spark, map_path, version)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = slot_map.join(sums, "vslot").withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))
