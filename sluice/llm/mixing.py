@@ -13,7 +13,8 @@ rank could decide are listed.
 
 Selection: a source's documents are laid end to end in a seeded hash order and cut
 into blocks, of which a seeded one is the first to be taken; from there on they are
-taken one after the other, round and round, until the source's quota is full. So the
+taken one after the other, round and round, until the source's quota of words is full; the last
+block of a source is as long as what is left of it, so a source of few words fills its quota too. So the
 choice is seeded, nearly all documents are taken whole or not at all, and as many
 times as a quota has rounds. The first blocks go to shard 0 up to its quota, the next
 ones to shard 1, and so on. What a document contributes is its overlap with the blocks
@@ -95,8 +96,8 @@ def quotas(goals: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFr
 
 
 def selection(goals: DataFrame, quota: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Per source: source_size, target, blocks, first (the block that is taken first), and upto: how many
-    blocks the shards before each shard take, and all of them."""
+    """Per source: source_size, target, first (the word from which on they are taken), and upto: how many
+    words the shards before each shard take, and all of them."""
     each = quota.groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("q"))
     out = goals.join(each, goals.source.eqNullSafe(each.s), "left").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long"))
     upto = F.transform(
@@ -104,24 +105,24 @@ def selection(goals: DataFrame, quota: DataFrame, block: int = BLOCK, shards: in
         lambda h: F.aggregate(F.filter("q", lambda x: x["shard"] < h), F.lit(0).cast("long"), lambda n, x: n + x["quota"]),
     )
     upto = F.coalesce(upto, F.array_repeat(F.lit(0).cast("long"), shards + 1))
-    out = out.withColumn("upto", F.transform(upto, lambda n: F.least(F.coalesce(n, F.lit(0)), F.col("blocks") * MOST_TIMES)))
-    return out.select("source", "source_size", "target", "blocks", F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks")).alias("first"), "upto")
+    out = out.withColumn("upto", F.transform(upto, lambda n: F.least(F.coalesce(n, F.lit(0)) * block, F.col("source_size") * MOST_TIMES)))
+    first = F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks")) * block
+    return out.select("source", "source_size", "target", first.alias("first"), "upto")
 
 
-def taken_parts(begin: Column, size: Column, blocks: Column, first: Column, upto: Column, block: int = BLOCK, shards: int = SHARDS) -> Column:
+def taken_parts(begin: Column, size: Column, all_: Column, cut: Column, upto: Column, shards: int = SHARDS) -> Column:
     """The word spans of a row that each shard takes: array of (shard, from, to).
 
-    begin: words before the row in its source; the rest: see ``selection``.
+    begin: words before the row in its source; all_: those of the source; cut and upto: ``first`` and ``upto`` of ``selection``.
     """
-    all_, cut = blocks * block, first * block
-    # words by their place in the order of taking; the first block may cut the row in two
+    # words by their place in the order of taking; the first word may cut the row in two
     ahead = F.struct(F.greatest(begin, cut).alias("at"), (begin + size).alias("to"), (-cut).alias("move"))
     behind = F.struct(begin.alias("at"), F.least(begin + size, cut).alias("to"), (all_ - cut).alias("move"))
     runs = F.filter(F.array(ahead, behind), lambda x: x["to"] > x["at"])
 
     def part(run: Column, times: int, shard: int) -> Column:
         move = run["move"] + all_ * times
-        low, high = F.greatest(run["at"] + move, upto[shard] * block), F.least(run["to"] + move, upto[shard + 1] * block)
+        low, high = F.greatest(run["at"] + move, upto[shard]), F.least(run["to"] + move, upto[shard + 1])
         return F.struct(F.lit(shard).alias("shard"), (low - move - begin).alias("from"), (high - move - begin).alias("to"))
 
     every = F.transform(runs, lambda run: F.array(*(part(run, times, shard) for times in range(MOST_TIMES) for shard in range(shards))))
@@ -149,7 +150,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     laid = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     laid = laid.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     laid = laid.withColumn("begin", F.col("before") + F.col("inside"))
-    laid = laid.withColumn("parts", taken_parts(*map(F.col, ("begin", "size", "blocks", "first", "upto")), block=block, shards=shards))
+    laid = laid.withColumn("parts", taken_parts(*map(F.col, ("begin", "size", "source_size", "first", "upto")), shards=shards))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
     return laid.select("doc.*", "source_size", "target", "parts", taken.alias("taken"))
 
