@@ -46,7 +46,7 @@ DEPTH, TOP = 4, 2
 #: Bytes that no UTF-8 text has: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Bytes of text in a block.
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 10 << 20
 HELD_OUT_OF = 10
 
 BLOCK_SCHEMA = (
