@@ -19,7 +19,7 @@ def test_a_map_is_kept_and_edited(spark, tmp_path):
     one = sharding.sharded(docs, shards=3, slots=256, map_path=path).collect()
     assert len(one) == len(rows) and set(where(one).values()) == {0, 1, 2}
     # a second run, of other rows, finds the map
-    other = sharding.sharded(frame(spark, documents(5)), shards=9, slots=256, map_path=path).collect()
+    other = sharding.sharded(frame(spark, documents(5)), shards=3, map_path=path).collect()
     assert {r["shard"] for r in other} <= {0, 1, 2} and all(where(one).get(s, k) == k for s, k in where(other).items())
     sharding.grow(docs, path, slots=256)
     two = sharding.sharded(docs, slots=256, map_path=path).collect()
@@ -75,6 +75,25 @@ def test_map_versions(spark, tmp_path):
     assert {(r["version"], r["n"]) for r in both.groupBy("version").agg(F.count("*").alias("n")).collect()} == {(1, len(first)), (2, len(first))}
 
 
+def test_a_map_gives_all_rows_or_an_error(spark, tmp_path):
+    docs, path = frame(spark, [(i, "t" * (37 * i % 400), "en", "s", 1) for i in range(2000)]), f"file://{tmp_path}/map"
+    for missing in (lambda: sharding.grow(docs, path), lambda: sharding.sharded(docs, map_path=path, version=2)):
+        with pytest.raises(ValueError, match="no slot map"):
+            missing()
+    n = sharding.sharded(docs, shards=4, slots=128, map_path=path).count()
+    assert n == docs.count() == sharding.sharded(docs, map_path=path, version=1).count() == sharding.sharded(docs, slots=128, shards=4, map_path=path).count()
+    wrong = {"versions": {"version": 7}, "slots": {"slots": 4096}, "shards": {"shards": 10}}
+    for what, asked in wrong.items():
+        with pytest.raises(ValueError, match=what):
+            sharding.sharded(docs, map_path=path, **asked)
+    with pytest.raises(ValueError, match="slots"):
+        sharding.grow(docs, path, slots=256)
+    sharding.grow(docs, path)
+    with pytest.raises(ValueError, match="shards"):  # five by now
+        sharding.sharded(docs, shards=4, map_path=path)
+    assert sharding.sharded(docs, shards=4, map_path=path, version=1).count() == n
+
+
 def test_no_rows_to_shard(spark):
     assert sharding.sharded(spark.createDataFrame([], COLUMNS)).count() == 0
 
@@ -132,6 +151,32 @@ def test_mix_comes_near_its_targets(spark, seed):
     assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == sorted((str(r["doc_id"]), r["taken"]) for r in again)
 
 
+def test_sources_of_few_words_meet_their_targets(spark):
+    draw = np.random.default_rng(4)
+    rows, sizes = [], {}
+    for k in range(60):
+        words = int(draw.integers(1, 201))
+        sizes[f"s{k:02}"] = words
+        while words:
+            n = min(words, int(draw.integers(1, 40)))
+            rows.append((len(rows), " ".join(["w"] * n), "en", f"s{k:02}", 1))
+            words -= n
+    rows += [(len(rows) + i, " ".join(["w"] * 50), "en", "t", 1) for i in range(60)]
+    goals, taken = plain_targets(sizes | {"t": 3000}), {}
+    for r in mixing.mixed(mixing.sized(frame(spark, rows))).collect():
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - goals[s]) < mixing.BLOCK for s in sizes)
+    capped = [s for s in sizes if goals[s] == 3 * sizes[s]]
+    assert capped and all(goals[s] - taken[s] < mixing.BLOCK for s in capped)
+
+
+def test_a_source_of_ten_words_is_taken_three_times(spark):
+    rows = [(1, "a b c d e f g h i j", "en", "a", 1), (2, " ".join(["w"] * 40), "en", "b", 1)] + [(3 + i, " ".join(["w"] * 100), "en", "c", 1) for i in range(100)]
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(mixing.sized(frame(spark, rows))).collect()}
+    assert taken[1] == 30 and taken[2] == 120
+
+
 def test_quotas_are_highest_quotients(spark):
     goals = {"a": 530.0, "b": 240.0, "c": 140.0, "d": 66.0, "e": 0.0, None: 24.0}
     df = spark.createDataFrame([(s, t) for s, t in goals.items()], "source string, target double")

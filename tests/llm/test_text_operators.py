@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from samples import COLUMNS, documents, frame
 
 from sluice.llm import embeddings_classifier, features, learn, licenses, packing, quality_rules, warc
@@ -224,6 +225,20 @@ def test_ids_are_the_tokenizers_own():
         assert encoder.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_long_white_space_is_encoded_and_packed(spark, blank):
+    from tokenizers import Tokenizer
+
+    own, n = Tokenizer.from_file(path()), 5_000_000
+    rows = [(1, blank * n + "a", None, None, 0), (2, "b" + blank * n, None, None, 0), (3, "a" + blank * 99_999 + "b", None, None, 0), (4, "a" + blank * 100_000 + "b", None, None, 0)]
+    got = packing.pack(frame(spark, rows).select("doc_id", "text"), path()).toPandas()
+    for doc, text, *_ in rows:
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        pieces = got[got.doc_id == doc].sort_values("start")
+        assert pieces.length.sum() == len(ids) == pieces.doc_tokens.iloc[0]
+        assert all(x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in pieces.itertuples())
+
+
 @pytest.mark.parametrize("change", ["prefix", "merges", "normalizer", "none"])
 def test_other_tokenizer_files_give_their_own_ids(tmp_path, change):
     from tokenizers import Tokenizer
@@ -465,6 +480,33 @@ def test_a_repeated_document_is_one_of_the_sample(spark, monkeypatch):
     assert learn.fitted(docs, labels, fit).value[0][0] == 3
 
 
+def test_one_long_text_leaves_room_for_the_others(spark, monkeypatch):
+    monkeypatch.setattr(learn, "SAMPLE_BYTES", 400_000)
+    monkeypatch.setattr(learn, "MOST_BYTES", 4_000)
+    draw = np.random.default_rng(8)
+    words = {0: ["bad", "spam", "buy", "now"], 1: ["good", "prose", "reads", "well"]}
+    text = lambda q, n: " ".join(draw.choice([*words[q], "the", "of", "and"], n))
+    rows = [(i, text(i % 2, 30), i % 2) for i in range(600)]
+    first = spark.range(600).orderBy(F.xxhash64("id")).first()["id"]
+    rows[first] = (first, text(first % 2, 200_000), first % 2)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    right = {r[0]: r[2] for r in rows}
+    apart = [r for r in embeddings_classifier.quality_scores(docs, labels).collect() if r["held_out"]]
+    assert len(apart) > 150 and np.mean([r["predicted"] == right[r["doc_id"]] for r in apart]) > 0.95
+    kept = quality_rules.judged(docs, labels).collect()
+    assert np.mean([(r["probability"] >= 0.5) == right[r["doc_id"]] for r in kept]) > 0.95
+    monkeypatch.setattr(learn, "SAMPLE_BYTES", 100)
+    with pytest.raises(ValueError, match="no labelled text"):
+        quality_rules.judged(docs, labels)
+
+
+def test_quality_rules_carry_columns_of_any_kind(spark):
+    docs = spark.sql("select 1L as doc_id, 'a b' as text, named_struct('a-b', 1, 'c d', array(1)) as `x.y`, map('k', 1) as score")
+    row = quality_rules.judged(docs, spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert row["x.y"].asDict() == {"a-b": 1, "c d": [1]} and row["score"] == {"k": 1} and row["base_failed"]
+
+
 def test_calibration_and_sample_bound():
     draw = np.random.default_rng(1)
     truth = draw.random(4000)
