@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Characters that count as blank at either end of a cell; fixed values.
 BLANKS = " \t\n\r\0\x0b"
 
+#: Of a quoted cell: the blanks before its opening quote, and what stands up to the closing one.
+LEAD = r"[ \t\x0B\f\r]*+"
+BODY = '[^"]*+(?:""[^"]*+)*+'
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,11 +31,17 @@ def is_blank(cells: Column) -> Column:
 
 
 def split_cells(record: Column) -> Column:
-    """Cells of a comma-separated record; doubled quotes in a quoted cell stand for one."""
+    """Cells of a comma-separated record.
+
+    A quote that only blanks stand before opens quotes (the blanks go), doubled quotes inside stand for one, and
+    what follows the closing one is kept as it is; a quote anywhere else is a letter.
+    """
     # the comma in front makes a leading empty cell visible to the pattern; possessive, so long cells need no stack
-    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit('(?s),("[^"]*+(?:""[^"]*+)*+"|[^,"]*+)'), F.lit(1))
-    bare = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda c: F.when(F.startswith(c, F.lit('"')) & (F.length(c) >= 2), bare(c)).otherwise(c))
+    cell = f'(?s),({LEAD}"{BODY}(?:"[^,]*+)?+|[^,]*+)'
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(cell), F.lit(1))
+    quoted = f'(?s)^{LEAD}"({BODY})"?+(.*+)\\z'
+    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))
+    return F.transform(found, lambda c: F.when(F.contains(c, F.lit('"')) & c.rlike(f'^{LEAD}"'), plain(c)).otherwise(c))
 
 
 def join_cells(cells: Column) -> Column:

@@ -65,7 +65,7 @@ def bulk_import(
     its rows are in no output. Checked rows are written once; every output reads that table.
     """
     rules = rules or consent_rules(limits)
-    records = through_table(csv_records(spark, folder, limits.record_bytes))
+    records = csv_records(spark, folder, limits.record_bytes)
     plain = F.regexp_replace("path", "^file:/+", "file:///")
     records = records.withColumn("path", plain)
     asked = rules.columns if parse_columns is None else parse_columns

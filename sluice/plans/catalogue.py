@@ -233,6 +233,23 @@ def documents_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_records(spark, folder).select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("text"))
 
 
+@query("""
+with p as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '[,\\n]')) as cell, generate_subscripts(string_split_regex(coalesce(text, ''), '[,\\n]'), 1) as n from documents),
+q as (select doc_id, n, regexp_replace(regexp_replace(cell, '[ \\t\\x0B\\f\\r]+$', ''), '^[ \\t\\x0B\\f\\r]+', '') as cell from p)
+select doc_id, cast(n as bigint) as n, replace(cell, ' ', '" ') as cell, regexp_matches(cell, '^"') as quoted from q
+""")
+def documents_bare_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all texts between commas and line ends, with a quote behind each word, written without quotes around them where none is first."""
+    folder = f"{work_folder(spark)}/bare"
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[,\n]", -1)).alias("n", "cell"))
+    parts = parts.withColumn("cell", F.regexp_replace(F.regexp_replace("cell", "[ \\t\\x0B\\f\\r]+\\z", ""), "^[ \\t\\x0B\\f\\r]+", ""))
+    cell, quoted = F.replace("cell", F.lit(" "), F.lit('" ')), F.startswith("cell", F.lit('"'))
+    written = F.when(quoted, c.join_cells(F.array(cell))).otherwise(cell)
+    parts.select(F.concat_ws(",", F.col("doc_id").cast("string"), (F.col("n") + 1).cast("string"), written, quoted.cast("string")).alias("record")).write.text(folder)
+    cells = lambda i, kind: F.try_element_at("cells", F.lit(i)).cast(kind)
+    return csv_records(spark, folder).select(cells(1, "long").alias("doc_id"), cells(2, "long").alias("n"), cells(3, "string").alias("cell"), cells(4, "boolean").alias("quoted"))
+
+
 @query("select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^ \\t\\n\\r\\x00\\x0b]')")
 def documents_lines_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all texts as records of one cell, without blank ones."""

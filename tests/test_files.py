@@ -13,10 +13,11 @@ from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, required
 from sluice.operators.chunking import assign_by_rows, assign_chunks
 from sluice.plans.bulk_import import bulk_import
+from sluice.sources import records
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.sources.sinks import rejected_records, write_ordered
-from sluice.storage import work_folder
+from sluice.storage import through_table, work_folder
 
 CELL = st.text(st.sampled_from('ab ,"\n\té😀;\''), max_size=6)
 
@@ -46,6 +47,118 @@ def test_records_equal_the_csv_module(spark, tmp_path):
     assert got == want
 
 
+def plain_records(text):
+    """Records by a tokenizer that goes over the letters: at a cell's start, bare, in quotes, behind a quote."""
+    out, record, cell, raw, state = [], [], "", "", "start"
+    lead = ""
+
+    def close():
+        nonlocal cell, lead, state
+        record.append(cell if state in ("behind", "after") else lead + cell)
+        cell, lead, state = "", "", "start"
+
+    for ch in text:
+        if state == "quoted":
+            cell, state = (cell, "behind") if ch == '"' else (cell + ch, state)
+            continue
+        if state == "behind" and ch == '"':
+            cell, state = cell + ch, "quoted"
+            continue
+        if ch == "\n":
+            if state != "behind" and (cell or lead).endswith("\r"):
+                cell, lead = (cell[:-1], lead) if cell else (cell, lead[:-1])
+            close()
+            out.append(record)
+            record = []
+        elif ch == ",":
+            close()
+        elif state == "start" and ch in " \t\x0b\f\r":
+            lead += ch
+        elif state == "start" and ch == '"':
+            state, lead = "quoted", ""
+        elif state == "start":
+            cell, state = ch, "bare"
+        else:
+            cell, state = cell + ch, "after" if state in ("behind", "after") else "bare"
+    if record or cell or lead or state != "start":
+        if state not in ("quoted", "behind") and (cell or lead).endswith("\r"):
+            cell, lead = (cell[:-1], lead) if cell else (cell, lead[:-1])
+        if state == "quoted":
+            state = "behind"
+        close()
+        out.append(record)
+    return out
+
+
+def read_in_splits(spark, folder, split="1000b", **more):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        return {(r["path"].rpartition("/")[2], r["record_no"]): r["cells"] for r in csv_records(spark, str(folder), **more).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("letters", ['a,"\n', 'ab, "\n\t', 'a,"\r\n é', 'aaaaaaaaaaaaaaaaa,"\n', 'aaaaaaaa,,\n\n""'])
+def test_records_equal_a_plain_tokenizer(spark, tmp_path, letters):
+    draw, want = random.Random(len(letters)), {}
+    for k in range(6):
+        text = "".join(draw.choice(letters) for _ in range(draw.choice([7, 300, 9000])))
+        if k == 0:
+            text = text.replace('"', "")[:-1] + ',"open'  # quotes that never close, with no line end behind
+        elif k == 1:
+            text = text.replace('"', "") + '\n,"open\n'
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        want |= {(f"{k}.csv", n): cells for n, cells in enumerate(plain_records(text), 1)}
+    assert read_in_splits(spark, tmp_path) == want
+
+
+def test_records_with_bare_quotes_equal_the_csv_module(spark, tmp_path):
+    draw = random.Random(11)
+    lines = ['1,5" pipe', "2,plain", '3,7" pipe', "4,end", '1,"a"b', '"a""b"c,"', 'x"y","z', '""', 'a,"', '"q" "r",s', '"a"b"c,d"', "", '","']
+    text = "".join(draw.choice(lines) + "\n" for _ in range(2000))
+    (tmp_path / "a.csv").write_text(text)
+    want = {("a.csv", n): cells or [""] for n, cells in enumerate(csv.reader(io.StringIO(text, newline="")), 1)}
+    assert read_in_splits(spark, tmp_path) == want
+    (tmp_path / "a.csv").write_text('id,name\n1,5" pipe\n2,plain\n3,7" pipe\n4, "end"\n5,"a"\n')
+    assert read_in_splits(spark, tmp_path) == {("a.csv", n + 1): c for n, c in enumerate([["id", "name"], ["1", '5" pipe'], ["2", "plain"], ["3", '7" pipe'], ["4", "end"], ["5", "a"]])}
+
+
+def test_no_line_is_shuffled_but_those_of_records_over_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("".join(f'{i},"two\nlines"\n' for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        lines = records.text_lines(spark, str(tmp_path)).withColumn("file", F.xxhash64("path"))
+        entries = through_table(records.split_entries(lines))
+        parts = records.record_parts(lines, entries, 1 << 20)
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        n = entries.count()
+        assert n > 20 and parts.where("not whole").count() <= 2 * n
+        want = sorted(map(tuple, parts.collect()))
+        monkeypatch.setattr(records, "BROADCAST_SPLITS", 0)
+        assert sorted(map(tuple, records.record_parts(lines, entries, 1 << 20).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_record_that_is_too_large_is_never_put_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"' + "x\n" * 5000 + '",2\n3,"open\n' + "y\n" * 5000)
+    rows = {r["record_no"]: r for r in read_all(spark, tmp_path, 200)}
+    assert [rows[n]["cells"] for n in (1, 2, 3)] == [["a", "b"], None, None]
+    assert [rows[n]["n_bytes"] for n in (1, 2, 3)] == [4, 10007, 10008] and len(rows) == 3
+
+
+def read_all(spark, folder, record_bytes):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        return csv_records(spark, str(folder), record_bytes).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(CELL, min_size=1, max_size=4), min_size=1, max_size=12))
 def test_cells_survive_joining_and_splitting(spark, records):
@@ -136,8 +249,8 @@ def test_import_end_to_end(spark, tmp_path):
     kept = done.accepted.orderBy("chunk_seq", "row_in_chunk").collect()
     assert [r["cells"][0] for r in kept] == ["c1", "c2", "c2", "c3"]
     assert sorted((r["sequence"], r["valid_rows"], r["invalid_rows"]) for r in done.chunks.collect()) == [(1, 2, 0), (2, 1, 1), (3, 1, 0)]
-    records = rejected_records(done.rejected)
-    assert [r["record"] for r in records.collect()] == ['2,1,,n,,p,1,Active,"Consent code is required"']
+    lost = rejected_records(done.rejected)
+    assert [r["record"] for r in lost.collect()] == ['2,1,,n,,p,1,Active,"Consent code is required"']
     (tmp_path / "out/consent/import-a/chunks").mkdir(parents=True)
     (tmp_path / "out/consent/import-a/chunks/chunk-000009.csv").write_text("left by an earlier run")
     for _ in range(2):  # a rerun gives the same
@@ -150,7 +263,7 @@ def test_import_end_to_end(spark, tmp_path):
         "import-a/chunks/chunk-000003.csv": head + "c3,n,,p,1,Active\n", "import-a/errors/chunk-000002.csv": errors, "import-a/output/errors.csv": errors,
         "import-a/output/result.csv": head + "c1,n,,p,1,Active\nc2,n,,p,1,Active\nc2,n,,p,2,inactive\nc3,n,,p,1,Active\n",
     }
-    write_ordered(records, "Chunk,Row", str(tmp_path / "errors"), one_file=True)
+    write_ordered(lost, "Chunk,Row", str(tmp_path / "errors"), one_file=True)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "errors")).collect()] == ["Chunk,Row", '2,1,,n,,p,1,Active,"Consent code is required"']
 
 
