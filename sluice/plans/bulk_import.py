@@ -15,7 +15,7 @@ from sluice.operators.chunking import assign_chunks, chunk_list, fanout, record_
 from sluice.operators.lifecycle import completion
 from sluice.operators.validate import accepted, chunk_counts, chunk_failures, rejected, validate_rows
 from sluice.sources.gates import verdicts
-from sluice.sources.records import csv_records, without_blanks
+from sluice.sources.records import without_blanks
 from sluice.sources.sinks import chunk_lines, error_lines, merged_error_lines, result_lines, write_files
 from sluice.storage import through_table
 
@@ -65,11 +65,9 @@ def bulk_import(
     its rows are in no output. Checked rows are written once; every output reads that table.
     """
     rules = rules or consent_rules(limits)
-    records = csv_records(spark, folder, limits.record_bytes)
-    plain = F.regexp_replace("path", "^file:/+", "file:///")
-    records = records.withColumn("path", plain)
     asked = rules.columns if parse_columns is None else parse_columns
-    checked = through_table(verdicts(spark, imports.withColumn("path", plain), records, folder, asked, limits))
+    checked, records = verdicts(spark, imports, folder, asked, limits)
+    checked = through_table(checked)
     queued = checked.where("status = 'queued'")
     live = queued.select(F.col("id").alias("import_id"), "path", "header", "source_object_key")
     rows = without_blanks(records.where("record_no > 1")).join(live, "path")

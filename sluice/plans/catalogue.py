@@ -303,7 +303,7 @@ def documents_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _as_files(rows, ["doc_id", "text"], folder)
     ending = F.when(F.regexp_extract("file", "([0-9]+)-", 1).try_cast("int") % 5 == 0, ".txt").otherwise(".CSV")
     imports = files.withColumn("original_filename", F.concat("file", ending)).withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-    found = verdicts(spark, imports, csv_records(spark, folder, Limits().record_bytes), folder, ("doc_id", "text"), Limits(file_bytes=400 * 1024))
+    found = verdicts(spark, imports, folder, ("doc_id", "text"), Limits(file_bytes=400 * 1024))[0]
     return found.select("file", "status", "failure_message")
 
 
@@ -444,7 +444,7 @@ def documents_header_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.unionByName(heads).withColumn("file", F.concat(F.lit("s"), "file")).repartition("file").sortWithinPartitions("file", "n").select("file", "record").write.partitionBy("file").text(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
     imports = files.withColumn("original_filename", F.lit("x.csv")).withColumn("file", F.regexp_extract("path", "file=s([^/]*)/", 1))
-    return verdicts(spark, imports, csv_records(spark, folder), folder, ("doc_id", "text")).select("file", "reason")
+    return verdicts(spark, imports, folder, ("doc_id", "text"))[0].select("file", "reason")
 
 
 @query("""

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
 from sluice.functions.cells import ascii_lower, extension, file_size, is_blank, limited, trim_cell
-from sluice.sources.records import text_lines
+from sluice.sources.records import csv_records
+from sluice.storage import settings, through_table
 
 #: What stands before a reason, and the reasons below; fixed values.
 PREFIX = "The file is not processable: "
@@ -28,38 +29,47 @@ def _is_text(sample: bytes, cut: bool) -> bool:
     return False
 
 
-def sample_verdicts(lines: DataFrame, sample_bytes: int = Limits().sample_bytes) -> DataFrame:
-    """path, has_nul, bad_utf8 of the first bytes of each file, in one pass over the files' first splits.
-
-    A split has the lines of its file in order, so a task sees the first bytes of a file first.
-    """
+def _first_bytes(sample_bytes: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Verdict on the file that a task's rows begin; nothing is asked of them beyond its first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, size = None, [], 0
-
-        def verdict() -> pa.RecordBatch:
+        head, size, path = [], 0, None
+        for batch in batches:
+            # a task of this scan has one split, so these are rows of one file; only a split at its beginning counts
+            if not batch.num_rows:
+                continue
+            if batch.column("block")[0].as_py():
+                return
+            path = batch.column("path")[0].as_py()
+            for value in batch.column("value"):
+                head.append(value.as_py())
+                size += len(head[-1]) + 1
+                if size > sample_bytes:
+                    break
+            if size > sample_bytes:
+                break
+        if path is not None:
             whole = b"\n".join(head)
             sample = whole[:sample_bytes]
-            return pa.RecordBatch.from_pydict({"path": [now], "has_nul": [b"\0" in sample], "bad_utf8": [not _is_text(sample, len(whole) > sample_bytes)]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "has_nul": [b"\0" in sample], "bad_utf8": [not _is_text(sample, len(whole) > sample_bytes)]})
+
+    run.__name__ = name
+    return run
 
-        for batch in batches:
-            paths = batch.column(0).dictionary_encode()
-            codes = paths.indices.to_numpy()
-            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist()] if len(codes) else []
-            for a, b in zip(starts, [*starts[1:], len(codes)], strict=True):
-                path = paths.dictionary[int(codes[a])].as_py()
-                if path != now:
-                    if now is not None:
-                        yield verdict()
-                    now, head, size = path, [], 0
-                while size <= sample_bytes and a < b:
-                    head.append(batch.column(1)[a].as_py())
-                    size, a = size + len(head[-1]) + 1, a + 1
-        if now is not None:
-            yield verdict()
-
-    first = lines.where("block = 0").select("path", F.col("value").cast("binary").alias("value"))
-    return first.mapInArrow(run, "path string, has_nul boolean, bad_utf8 boolean")
+
+def sample_verdicts(spark: SparkSession, folder: str, sample_bytes: int = Limits().sample_bytes, wanted: Column | None = None) -> DataFrame:
+    """path, has_nul, bad_utf8 of the first bytes of each file; ``wanted``: a condition on ``_metadata`` that files are picked by before any is opened.
+
+    Every split is a task of its own, which stops reading as soon as it knows: behind
+    the first bytes of a file, and at once where its split isn't the file's first. Written as a table.
+    """
+    lines = spark.read.option("lineSep", "\n").text(folder, recursiveFileLookup=True)
+    lines = lines if wanted is None else lines.where(wanted)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # no two splits share a task, and a batch is little more than what is asked for
+    with settings(spark, {"spark.sql.files.openCostInBytes": most, "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+        return through_table(rows.mapInArrow(_first_bytes(sample_bytes, "first_bytes"), "path string, has_nul boolean, bad_utf8 boolean"))
 
 
 def file_gate(imports: DataFrame, files: DataFrame, samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -127,12 +137,49 @@ def content_gate(imports: DataFrame, records: DataFrame, required: tuple[str, ..
     return imports.join(headers, "path", "left").join(facts, "path", "left").select(*imports.columns, "header", reason.alias("content_reason"))
 
 
-def verdicts(spark: SparkSession, imports: DataFrame, records: DataFrame, folder: str, required: tuple[str, ...], limits: Limits = Limits()) -> DataFrame:
-    """``imports`` (path, original_filename) with header, status (queued or failed) and failure_message."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
-    gated = file_gate(imports, files.withColumn("path", plain(F.col("path"))), sample_verdicts(text_lines(spark, folder), limits.sample_bytes).withColumn("path", plain(F.col("path"))), limits)
-    gated = content_gate(gated, records.withColumn("path", plain(F.col("path"))), required, limits)
+#: Paths that a condition on files lists at most; of more, only what their sizes say is known before they are read.
+LISTED_PATHS = 4096
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling for paths of local files."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def gate_files(spark: SparkSession, imports: DataFrame, folder: str, limits: Limits = Limits()) -> tuple[DataFrame, Column]:
+    """``imports`` (path, original_filename) with length and ``reason`` from the file gate, and the condition on
+    ``_metadata`` that a scan leaves the refused files out by: none of their bytes is read again.
+
+    Names and sizes come first; only files that pass these are sampled.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain_path(F.col("path")).alias("path"), "length")
+    imports = imports.withColumn("path", plain_path(F.col("path")))
+    size = F.col("_metadata.file_size")
+    named = through_table(file_gate(imports, files, spark.createDataFrame([], "path string, has_nul boolean, bad_utf8 boolean"), limits))
+    wanted = (size <= limits.file_bytes) & passed(named)
+    samples = sample_verdicts(spark, folder, limits.sample_bytes, wanted).withColumn("path", plain_path(F.col("path")))
+    gated = through_table(file_gate(imports, files, samples, limits))
+    return gated, (size <= limits.file_bytes) & passed(gated)
+
+
+def passed(gated: DataFrame) -> Column:
+    """A condition on ``_metadata`` that holds for files without a reason; refused ones are named as long as these are few."""
+    refused = [r["path"] for r in gated.where("reason is not null and path is not null").select("path").limit(LISTED_PATHS + 1).collect()]
+    if not refused or len(refused) > LISTED_PATHS:
+        return F.lit(True)
+    spellings = {s for p in refused for s in (p, re.sub("^file:/+", "file:/", p))}
+    return ~F.col("_metadata.file_path").isin(*spellings)
+
+
+def verdicts(spark: SparkSession, imports: DataFrame, folder: str, required: tuple[str, ...], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """``imports`` (path, original_filename) with header, status (queued or failed) and failure_message, and the
+    records of the files that passed the gate (see ``csv_records``), which stands before any of them is decoded."""
+    gated, wanted = gate_files(spark, imports, folder, limits)
+    records = csv_records(spark, folder, limits.record_bytes, wanted)
+    records = records.withColumn("path", plain_path(F.col("path")))
+    names = imports.columns
+    checked = content_gate(gated, records, required, limits)
     reason = F.coalesce("reason", "content_reason")
     message = F.when(reason.isNotNull(), limited(F.concat(F.lit(PREFIX), reason, F.lit(".")), limits.message_chars))
-    return gated.select(*imports.columns, "header", F.when(reason.isNull(), F.lit("queued")).otherwise(F.lit("failed")).alias("status"), message.alias("failure_message"), reason.alias("reason"))
+    found = checked.select(*names, "header", F.when(reason.isNull(), F.lit("queued")).otherwise(F.lit("failed")).alias("status"), message.alias("failure_message"), reason.alias("reason"))
+    return found, records

@@ -42,9 +42,10 @@ SPLIT_SCHEMA = "file long, block long, from_closed byte, from_quoted byte, start
 PART_SCHEMA = "path string, block long, record_no long, n_bytes long, part binary, whole boolean, unclosed boolean"
 
 
-def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, block, line (rising inside a block), value, file_bytes of every line of the files."""
+def text_lines(spark: SparkSession, paths: str | list[str], wanted: Column | None = None) -> DataFrame:
+    """path, block, line (rising inside a block), value, file_bytes of every line of the files; ``wanted``: a condition on ``_metadata`` that files are picked by."""
     lines = spark.read.option("lineSep", "\n").text(paths, recursiveFileLookup=True)
+    lines = lines if wanted is None else lines.where(wanted)
     return lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
         "value", F.col("_metadata.file_size").alias("file_bytes"),
@@ -226,14 +227,14 @@ def record_parts(lines: DataFrame, entries: DataFrame, record_bytes: int) -> Dat
     return placed.select("file", "path", "block", "map", "value", "entered", "done", tail.alias("tail")).mapInArrow(_records(record_bytes), PART_SCHEMA)
 
 
-def csv_records(spark: SparkSession, paths: str | list[str], record_bytes: int = 1 << 31) -> DataFrame:
-    """path, record_no (the header is 1, blank ones count), n_bytes, raw, cells; a written table.
+def csv_records(spark: SparkSession, paths: str | list[str], record_bytes: int = 1 << 31, wanted: Column | None = None) -> DataFrame:
+    """path, record_no (the header is 1, blank ones count), n_bytes, raw, cells; a written table. wanted: see ``text_lines``.
 
     A record of more than ``record_bytes`` (a quote that is never closed takes the rest of
     its file) has its number and size, but neither text nor cells: it is never put together.
     The text of a file's last record, if its quotes are still open, keeps the file's last line end.
     """
-    lines = text_lines(spark, paths).withColumn("file", F.xxhash64("path"))
+    lines = text_lines(spark, paths, wanted).withColumn("file", F.xxhash64("path"))
     parts = record_parts(lines, through_table(split_entries(lines)), record_bytes)
     # the line end may be \r\n; inside quotes it stays as it is
     text = lambda c: F.when(F.col("unclosed"), c.cast("string")).otherwise(F.regexp_replace(c.cast("string"), "\r\\z", ""))

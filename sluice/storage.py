@@ -26,14 +26,21 @@ def work_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def no_leftovers(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go at its end."""
-    before = spark.conf.get(FILE_CLEANUP, "false")
-    spark.conf.set(FILE_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings hold inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(FILE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def no_leftovers(spark: SparkSession):
+    """Shuffle files of what runs inside go at its end."""
+    return settings(spark, {FILE_CLEANUP: "true"})
 
 
 def through_table(df: DataFrame, name: str = "table") -> DataFrame:

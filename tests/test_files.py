@@ -1,6 +1,7 @@
 import csv
 import io
 import random
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -13,7 +14,7 @@ from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, required
 from sluice.operators.chunking import assign_by_rows, assign_chunks
 from sluice.plans.bulk_import import bulk_import
-from sluice.sources import records
+from sluice.sources import gates, records
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.sources.sinks import rejected_records, write_ordered
@@ -203,13 +204,53 @@ def test_file_verdicts(spark, tmp_path):
     rows = [(f"file://{tmp_path}/{n}.csv", n, f, len(b)) for n, (b, f, _) in BAD.items()] + [(f"file://{tmp_path}/gone.csv", "gone", "x.csv", 5)]
     imports = spark.createDataFrame(rows, "path string, id string, original_filename string, source_size_bytes long").withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
     limits = Limits(file_bytes=1024, record_bytes=200, sample_bytes=68)
-    found = verdicts(spark, imports, csv_records(spark, str(tmp_path)), str(tmp_path), ("A", "B"), limits)
+    found = verdicts(spark, imports, str(tmp_path), ("A", "B"), limits)[0]
     got = {r["id"]: r["reason"] for r in found.collect()}
     assert got == {n: w for n, (_, _, w) in BAD.items()} | {"gone": "the uploaded file is missing"}
     message = found.where("id = 'gone'").first()
     assert (message["status"], message["failure_message"]) == ("failed", "The file is not processable: the uploaded file is missing.")
 
 
+def bytes_read(spark, run):
+    """What run() gives, and the bytes that the scans of text files inside it read by their metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList().size()
+    out = run()
+    found = store.executionsList()
+    total = 0
+    for i in range(seen, found.size()):
+        e = found.apply(i)
+        values, metrics = store.executionMetrics(e.executionId()), e.metrics()
+        for j in range(metrics.size()):
+            if metrics.apply(j).name() == "size of files read":
+                text = values.get(metrics.apply(j).accumulatorId())
+                total += sum(float(x) * 1024 ** "B KiB MiB GiB".split().index(u) for x, u in re.findall(r"^(?:total.*\n)?([0-9.]+) ([KMG]?i?B)", text.get() if text.isDefined() else ""))
+    return out, total
+
+
+def test_refused_files_are_not_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/good.csv").write_text("A,B\n" + "1,2\n" * 1000)
+    (tmp_path / "in/nul.csv").write_bytes(b"A,B\n1,\x002\n" + b"1,2\n" * 500_000)
+    (tmp_path / "in/large.csv").write_bytes(b"A,B\n" + b"1,2\n" * 1_000_000)
+    (tmp_path / "in/ext.csv").write_bytes(b"A,B\n" + b"1,2\n" * 600_000)
+    names = {"good": "x.csv", "nul": "x.csv", "large": "x.csv", "ext": "x.pdf"}
+    imports = spark.createDataFrame([(f"file://{tmp_path}/in/{k}.csv", k, v) for k, v in names.items()], "path string, id string, original_filename string")
+    limits = Limits(file_bytes=3_000_000)
+    gated, wanted = gates.gate_files(spark, imports, str(tmp_path / "in"), limits)
+    assert {r["id"]: r["reason"] for r in gated.collect()} == {"good": None, "nul": "it is not a text file", "large": "it is larger than 3 MB", "ext": "it is not a .csv file"}
+    found, total = bytes_read(spark, lambda: csv_records(spark, str(tmp_path / "in"), wanted=wanted).count())
+    assert found == 1001 and 4004 <= total < 500_000  # of the good file twice, and of small tables
+
+
+def test_a_sample_takes_little_more_than_the_first_bytes(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(b"A,B\n" + b"1,2\n" * 1_000_000 + (b"\0" if k else b""))
+    (tmp_path / "3.csv").write_bytes(b"A,B\n" + b"\0" * (k + 1) + b"1,2\n" * 1_000_000)
+    found = {r["path"][-5:]: (r["has_nul"], r["bad_utf8"]) for r in gates.sample_verdicts(spark, str(tmp_path)).collect()}
+    assert found == {f"{k}.csv": (k == 3, False) for k in range(4)}
+
+
 def chunk_loop(rows, limits, head):
     out, now, full = [], None, True
     for key, order, n in sorted(rows):
