@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.llm.shared import LOWER, blocks, discard, small_batches, split_words, text_bounds, written
+from sluice.storage import settings
 
 #: Bytes of context, and how many of them the trees are grouped by.
 DEPTH, TOP = 4, 2
@@ -47,6 +48,8 @@ DEPTH, TOP = 4, 2
 START, END = 0xFE, 0xFF
 #: Bytes of text in a block.
 TEXT_BYTES = 10 << 20
+#: Bytes of text that a task looks at together, and rows that Spark hands over together.
+PART_BYTES, PART_ROWS = 2 << 20, 1000
 HELD_OUT_OF = 10
 
 BLOCK_SCHEMA = (
@@ -110,7 +113,7 @@ def _to_blocks(most: int):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for part in small_batches([batch], "text"):
+            for part in small_batches([batch], "text", PART_BYTES):
                 column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
                 known = np.zeros(part.num_rows, DOC)
                 known["doc_id"] = column("doc_id").fill_null(0).to_numpy()
@@ -126,6 +129,8 @@ def _to_blocks(most: int):
                     found = split_words(data, bounds)
                     words.append(distinct(found.hashes.view(np.int64), np.repeat(learn, found.counts)))
                     tokens += int((found.counts + 1)[learn].sum())
+                # one list of each before more are made
+                grams, words = [merged(grams)], [merged(words)]
                 docs.append(known)
                 texts.append(raw.tobytes())
                 lengths.append(np.diff(at))
@@ -335,7 +340,8 @@ def _score(end_count: int):
 def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    texts = written(text_blocks(docs, text_bytes), "text-blocks")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PART_ROWS)}):
+        texts = written(text_blocks(docs, text_bytes), "text-blocks")
     facts = texts.agg(F.sum("learn_tokens"), F.sum("learn_docs"), F.count("*")).first()
     tokens, end_count, n_blocks = facts[0] or 0, facts[1] or 0, facts[2]
     by_word = Window.partitionBy("key")
