@@ -6,14 +6,12 @@ all others, and ``write_files`` makes one file of each key.
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.cells import chunk_key, error_key, join_cells, output_key
 from sluice.functions.rules import error_text
+from sluice.sources.keyed_files import remove_others, write_keyed
 
 #: Columns that an error file has before and after those of the rows; fixed values.
 ERROR_COLUMNS = ("Chunk", "Row in chunk", "Errors")
@@ -59,37 +57,19 @@ def rejected_records(rows: DataFrame) -> DataFrame:
     return rows.select("import_id", "chunk_seq", "row_in_chunk", join_cells(_error_cells()).alias("record"))
 
 
-def write_files(lines: DataFrame, folder: str, replace: tuple[str, ...] = ()) -> None:
-    """One file per key under ``folder``, lines in the order of chunk and row.
+def write_files(lines: DataFrame, folder: str, replace: tuple[str, ...] = ()) -> str:
+    """One file per key under ``folder``, lines in the order of chunk and row; returns the run, see ``keyed_files``.
 
-    A task sorts the lines of a key (no file is larger than an import may be) and writes
-    them into a work folder beside the keys; the files are then moved to their keys, one
-    rename each, so that a file is there as a whole or not at all. Folders of ``replace`` (``chunks``, say)
-    that stand in the path of a key are emptied first: a rerun with fewer chunks leaves
-    none behind.
+    A task sorts the lines of a key (no file is larger than an import may be), writes them and puts the file
+    in its place. In folders of ``replace`` (``chunks``, say) that stand in the path of a key, files of
+    other keys go afterwards: a rerun with fewer chunks leaves none behind.
     """
-    spark = lines.sparkSession
-    made = f"{folder.rstrip('/')}/_work-{uuid.uuid4().hex}"
-    lines.repartition("key").sortWithinPartitions("key", "chunk_seq", "row_in_chunk").select("key", "record").write.partitionBy("key").option("lineSep", "\n").text(made)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    store = path(made).getFileSystem(conf)
-    cleared = set()
-    for entry in store.listStatus(path(made)):
-        name = entry.getPath().getName()
-        if not name.startswith("key="):
-            continue
-        to = f"{folder.rstrip('/')}/{unquote(name[4:])}"
-        parent = to.rpartition("/")[0]
-        if parent.rpartition("/")[2] in replace and parent not in cleared:
-            store.delete(path(parent), True)
-            cleared.add(parent)
-        store.mkdirs(path(parent))
-        parts = [f.getPath() for f in store.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-")]
-        store.delete(path(to), False)
-        if len(parts) != 1 or not store.rename(parts[0], path(to)):
-            raise OSError(f"could not move {len(parts)} part(s) to {to}")
-    store.delete(path(made), True)
+    dealt = lines.repartition("key").sortWithinPartitions("key", "chunk_seq", "row_in_chunk")
+    run = write_keyed(dealt, folder)
+    if replace:
+        keys = lines.select("key").distinct()
+        remove_others(keys.where(F.regexp_extract("key", "([^/]*)/[^/]*$", 1).isin(*replace)), folder)
+    return run
 
 
 def write_ordered(records: DataFrame, header: str, path: str, one_file: bool = False) -> None:

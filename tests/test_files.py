@@ -1,5 +1,6 @@
 import csv
 import io
+import json
 import random
 import re
 from types import SimpleNamespace
@@ -14,7 +15,7 @@ from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, required
 from sluice.operators.chunking import assign_by_rows, assign_chunks
 from sluice.plans.bulk_import import bulk_import
-from sluice.sources import gates, records
+from sluice.sources import gates, keyed_files, records
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.sources.sinks import rejected_records, write_ordered
@@ -297,6 +298,7 @@ def test_import_end_to_end(spark, tmp_path):
     for _ in range(2):  # a rerun gives the same
         done.write(f"file://{tmp_path}/out")
     written = {str(p.relative_to(tmp_path / "out/consent")): p.read_text() for p in (tmp_path / "out").rglob("*.csv")}
+    assert not list((tmp_path / "out").rglob("._*"))
     head = '"Consent code","Consent name",Description,Purpose,Version,Status\n'
     errors = f'Chunk,"Row in chunk",{head[:-1]},Errors\n2,1,,n,,p,1,Active,"Consent code is required"\n'
     assert written == {
@@ -405,3 +407,41 @@ def test_no_folder_of_its_own_on_a_cluster():
         session.sparkContext.master = master
         with pytest.raises(RuntimeError):
             work_folder(session)
+
+
+def keyed(spark, n, parts=3):
+    return spark.range(n, numPartitions=parts).selectExpr("concat('a/k-', id % 7, '.csv') as key", "cast(id as string) as record").repartition("key").sortWithinPartitions("key", F.col("record").cast("int"))
+
+
+def test_files_by_key_are_committed_by_a_manifest(spark, tmp_path):
+    run = keyed_files.write_keyed(keyed(spark, 700), f"file://{tmp_path}")
+    for k in range(7):
+        assert (tmp_path / f"a/k-{k}.csv").read_text() == "".join(f"{i}\n" for i in range(k, 700, 7))
+    done = keyed_files.committed(f"file://{tmp_path}", run)
+    assert done["files"] == 7 and done["bytes"] == sum(p.stat().st_size for p in (tmp_path / "a").iterdir())
+    listed = [json.loads(x) for part in done["parts"] for x in (tmp_path / "_runs" / run / part).read_text().splitlines()]
+    assert sorted(x["key"] for x in listed) == [f"a/k-{k}.csv" for k in range(7)]
+    assert keyed_files.committed(f"file://{tmp_path}", "other") is None
+
+
+def test_a_task_that_dies_leaves_nothing_that_readers_see(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/k-3.csv").write_text("of an earlier run\n")
+    dies = F.when((F.col("record") == "693"), F.raise_error(F.lit("killed"))).otherwise(F.col("record"))
+    with pytest.raises(Exception, match="killed"):
+        keyed_files.write_keyed(spark.range(700, numPartitions=1).selectExpr("'a/k-3.csv' as key", "cast(id as string) as record").withColumn("record", dies), f"file://{tmp_path}")
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["k-3.csv"]
+    assert (tmp_path / "a/k-3.csv").read_text() == "of an earlier run\n"
+    assert not list(tmp_path.rglob("manifest.json"))
+    assert spark.read.text(f"file://{tmp_path}/a").count() == 1  # Spark's readers pass hidden files by, too
+
+
+def test_the_drivers_part_does_not_grow_with_the_keys(spark, tmp_path, monkeypatch):
+    lines = spark.range(3000).selectExpr("concat('many/', id, '.csv') as key", "'x' as record").repartition(3, "key").sortWithinPartitions("key")
+    seen = []
+    run = keyed_files.write_keyed(lines, f"file://{tmp_path}")
+    done = keyed_files.committed(f"file://{tmp_path}", run)
+    seen.append((tmp_path / "_runs" / run / "manifest.json").stat().st_size)
+    assert done["files"] == 3000 == len(list((tmp_path / "many").iterdir())) and len(done["parts"]) == 3 and seen[0] < 400
+    keyed_files.remove_others(lines.where("key < 'many/2'").select("key"), f"file://{tmp_path}")
+    assert {p.name for p in (tmp_path / "many").iterdir()} == {f"{k}.csv" for k in range(3000) if f"many/{k}.csv" < "many/2"}
