@@ -52,10 +52,10 @@ class Imported:
 
 
 def bulk_import(
-    spark: SparkSession, imports: DataFrame, folder: str, rules: RuleSet | None = None, limits: Limits = Limits(),
+    spark: SparkSession, imports: DataFrame, folder: str | list[str], rules: RuleSet | None = None, limits: Limits = Limits(),
     parse_columns: tuple[str, ...] | None = None, given_up: DataFrame | None = None,
 ) -> Imported:
-    """Runs the imports (id, path, original_filename, source_object_key) whose files lie in ``folder``.
+    """Runs the imports (id, path, original_filename, source_object_key) whose files lie in ``folder`` (or are the ones listed).
 
     A file that fails a check gives a failed import and no rows. The others are cut into
     chunks, each chunk is requested, validated and counted, and an import whose chunks are

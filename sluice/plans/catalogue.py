@@ -20,6 +20,7 @@ from sluice.storage import through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
 from sluice.streaming.envelopes import dedup_stream, deliver_stream
+from sluice.streaming.imports import arriving_files, import_stream, imported
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,19 +338,28 @@ s as (select file, chunk_seq, key, case when failed then 'failed' else 'complete
 """
 
 
-def consent_import(spark: SparkSession, sf_dir: str, lost: bool = False) -> Imported:
-    """The whole import over files of consent records, one per file of documents, whole texts as names."""
-    folder = f"{work_folder(spark)}/imports"
-    docs = table(spark, sf_dir, "documents")
+def consent_rows(docs: DataFrame) -> DataFrame:
+    """Documents as consent records (file, n, record), whole texts as names."""
     status = F.element_at(F.array(*map(F.lit, ("Active", "INACTIVE", " active ", "x"))), (F.col("doc_id") % 4 + 1).cast("int"))
     cells = F.array(
         F.concat(F.lit("D"), (F.col("doc_id") % 7).cast("string")), F.coalesce("text", F.lit("")), F.lit(""), F.coalesce("lang", F.lit("")),
         (F.col("n_chars") % 3).cast("string"), status, F.col("doc_id").cast("string"),
     )
-    rows = docs.select(import_file(), F.col("doc_id").alias("n"), c.join_cells(cells).alias("record"))
-    files = _as_files(rows, [*consent_rules().columns, "doc_id"], folder)
-    key = F.concat(F.lit("consent/import-"), "file", F.lit("/source/source.csv"))
-    imports = files.select(F.col("file").alias("id"), "path", F.concat("file", F.lit(".csv")).alias("original_filename"), key.alias("source_object_key"))
+    return docs.select(import_file(), F.col("doc_id").alias("n"), c.join_cells(cells).alias("record"))
+
+
+def consent_imports(files: DataFrame) -> DataFrame:
+    """The imports of files (path, in a folder named after the file)."""
+    file = F.regexp_extract("path", "file=([^/]*)/", 1)
+    key = F.concat(F.lit("consent/import-"), file, F.lit("/source/source.csv"))
+    return files.select(file.alias("id"), "path", F.concat(file, F.lit(".csv")).alias("original_filename"), key.alias("source_object_key"))
+
+
+def consent_import(spark: SparkSession, sf_dir: str, lost: bool = False) -> Imported:
+    """The whole import over files of consent records, one per file of documents."""
+    folder = f"{work_folder(spark)}/imports"
+    docs = table(spark, sf_dir, "documents")
+    imports = consent_imports(_as_files(consent_rows(docs), [*consent_rules().columns, "doc_id"], folder))
     given_up = None
     if lost:
         most = docs.groupBy(import_file()).count().select(F.col("file").alias("import_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("count") / CONSENT_LIMITS.chunk_rows).cast("int"))).alias("chunk_seq"))
@@ -364,6 +374,18 @@ def documents_bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.rows.select(F.col("import_id").alias("file"), F.col("cells")[6].cast("long").alias("doc_id"), "chunk_seq", "row_in_chunk", error_text(F.col("errors")).alias("errors"))
 
 
+@query(CONSENT_SQL + "select * from x")
+def documents_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imports of files that arrive in three lots, each lot a run of one stream."""
+    folder = work_folder(spark)
+    rows = consent_rows(table(spark, sf_dir, "documents"))
+    for lot in range(3):
+        _as_files(rows.where(F.pmod(F.xxhash64("file"), F.lit(3)) == lot), [*consent_rules().columns, "doc_id"], f"{folder}/in/lot-{lot}")
+        import_stream(arriving_files(spark, f"{folder}/in"), consent_imports, f"{folder}/out", f"{folder}/log", consent_rules(CONSENT_LIMITS), CONSENT_LIMITS).awaitTermination()
+    done = imported(spark, f"{folder}/out", "rows")
+    return done.select(F.col("import_id").alias("file"), F.col("cells")[6].cast("long").alias("doc_id"), "chunk_seq", "row_in_chunk", error_text(F.col("errors")).alias("errors"))
+
+
 @query(
     CONSENT_SQL
     + STATE_SQL

@@ -57,7 +57,7 @@ def _first_bytes(sample_bytes: int, name: str) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def sample_verdicts(spark: SparkSession, folder: str, sample_bytes: int = Limits().sample_bytes, wanted: Column | None = None) -> DataFrame:
+def sample_verdicts(spark: SparkSession, folder: str | list[str], sample_bytes: int = Limits().sample_bytes, wanted: Column | None = None) -> DataFrame:
     """path, has_nul, bad_utf8 of the first bytes of each file; ``wanted``: a condition on ``_metadata`` that files are picked by before any is opened.
 
     Every split is a task of its own, which stops reading as soon as it knows: behind
@@ -146,7 +146,7 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
-def gate_files(spark: SparkSession, imports: DataFrame, folder: str, limits: Limits = Limits()) -> tuple[DataFrame, Column]:
+def gate_files(spark: SparkSession, imports: DataFrame, folder: str | list[str], limits: Limits = Limits()) -> tuple[DataFrame, Column]:
     """``imports`` (path, original_filename) with length and ``reason`` from the file gate, and the condition on
     ``_metadata`` that a scan leaves the refused files out by: none of their bytes is read again.
 
@@ -171,7 +171,7 @@ def passed(gated: DataFrame) -> Column:
     return ~F.col("_metadata.file_path").isin(*spellings)
 
 
-def verdicts(spark: SparkSession, imports: DataFrame, folder: str, required: tuple[str, ...], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+def verdicts(spark: SparkSession, imports: DataFrame, folder: str | list[str], required: tuple[str, ...], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """``imports`` (path, original_filename) with header, status (queued or failed) and failure_message, and the
     records of the files that passed the gate (see ``csv_records``), which stands before any of them is decoded."""
     gated, wanted = gate_files(spark, imports, folder, limits)
