@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sluice.config import Limits
 from sluice.functions.cells import chunk_key, join_cells
+from sluice.operators import jumps
 from sluice.storage import through_table
 
 
@@ -45,33 +41,23 @@ def assign_chunks(rows: DataFrame, scope: str, order: str, size: str, limits: Li
     """``rows`` with chunk_seq and row_in_chunk.
 
     A chunk is closed after the row that brings it to ``chunk_rows`` rows or, header
-    included, to ``chunk_bytes`` bytes; so it has one row at least. Where a chunk begins
-    depends on every row before it, so a running state goes over the rows of a scope, in
-    one task, batch by batch. Rows go through as they are: those of a null scope or
-    order, and those that repeat both, keep their places (nulls first).
+    included, to ``chunk_bytes`` bytes; so it has one row at least. Where a chunk begins depends on every row
+    before it, and yet many tasks cut one scope: see ``jumps``. Only scope, order and the two sizes go
+    that way; the rows meet their places in one join. A null scope is one, null orders come
+    first, and rows that repeat both are taken by size, equal ones in any order.
     """
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seq, rows_in, bytes_in, full = run, 0, 0, 0, True  # no row has this scope
-        for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            keys, sizes = column(scope).to_pylist(), column("_n").to_pylist()
-            heads = column("_head").to_pylist()
-            seqs, places = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
-            for i, (key, n, head) in enumerate(zip(keys, sizes, heads, strict=True)):
-                if key != now:
-                    now, seq, full = key, 0, True
-                if full:
-                    seq, rows_in, bytes_in = seq + 1, 0, head
-                rows_in, bytes_in = rows_in + 1, bytes_in + n
-                seqs[i], places[i] = seq, rows_in
-                full = rows_in >= limits.chunk_rows or bytes_in >= limits.chunk_bytes
-            yield pa.RecordBatch.from_arrays([*(column(c) for c in names), pa.array(seqs), pa.array(places)], names=[*names, "chunk_seq", "row_in_chunk"])
-
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    dealt = rows.withColumns({"_n": count(size), "_head": count(header) if header else F.lit(0).cast("long")}).repartition(scope).sortWithinPartitions(scope, order)
-    return dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("chunk_seq", IntegerType()), StructField("row_in_chunk", LongType())]))
+    rows = rows.withColumns({"_n": count(size), "_head": count(header) if header else F.lit(0).cast("long")})
+    narrow = rows.select(F.col(scope).alias("s"), F.col(order).alias("o"), F.col("_n").alias("n"), F.col("_head").alias("head"))
+    own = ["_place_scope", "_place_order", "_place_n", "_place_head", "_place_nth"]
+    places = jumps.places(narrow, limits.chunk_rows, limits.chunk_bytes).toDF(*own, "chunk_seq", "row_in_chunk")
+    same = F.col(scope).eqNullSafe(F.col(own[0])) & F.col(order).eqNullSafe(F.col(own[1])) & (F.col("_n") == F.col(own[2])) & (F.col("_head") == F.col(own[3]))
+    if places.where(F.col(own[4]) > 0).isEmpty():
+        out = rows.join(places, same)
+    else:
+        nth = F.row_number().over(Window.partitionBy(scope, order, "_n", "_head").orderBy(F.lit(0))) - 1
+        out = rows.withColumn("_nth", nth).join(places, same & (F.col("_nth") == F.col(own[4]))).drop("_nth")
+    return out.drop(*own, "_n", "_head")
 
 
 def chunk_list(rows: DataFrame, source_key: str = "source_object_key") -> DataFrame:

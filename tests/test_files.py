@@ -5,6 +5,7 @@ import random
 import re
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sluice.config import Limits
 from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, required
+from sluice.operators import jumps
 from sluice.operators.chunking import assign_by_rows, assign_chunks
 from sluice.plans.bulk_import import bulk_import
 from sluice.sources import gates, keyed_files, records
@@ -277,6 +279,61 @@ def test_chunks_equal_a_plain_loop(spark):
     assert sorted(tuple(r) for r in by_rows.select("k", "i", "chunk_seq", "row_in_chunk").collect()) == chunk_loop(rows, Limits(chunk_rows=7, chunk_bytes=1 << 40), 0)
 
 
+def test_pieces_compose_to_what_a_loop_gives():
+    draw = np.random.default_rng(2)
+    for _ in range(150):
+        n, most = int(draw.integers(1, 60)), int(draw.integers(1, 12))
+        limits = (most, int(draw.integers(1, 80)))
+        sizes, heads = draw.integers(0, 15, n), draw.integers(0, 6, n)
+        rows = [("a", i, int(x)) for i, x in enumerate(sizes)]
+        seq, count, size, want = 0, 0, 0, []
+        for i in range(n):
+            if not want or count >= limits[0] or size >= limits[1]:
+                seq, count, size = seq + 1, 0, int(heads[i])
+            count, size = count + 1, size + int(sizes[i])
+            want.append((seq, count))
+        cuts = np.unique(np.concatenate([[0, n], draw.integers(0, n + 1, 4)])).tolist()
+        pieces = [jumps.piece_of(sizes[a:b], heads[a:b], limits) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        state, got = tuple(np.array([0]) for _ in range(3)), []
+        for (a, b), p in zip(zip(cuts[:-1], cuts[1:], strict=True), pieces, strict=True):
+            got += list(zip(*(x.tolist() for x in jumps.numbered(sizes[a:b], heads[a:b], tuple(int(x[0]) for x in state), limits)), strict=True))
+            state = p.leave(*state, limits)
+        assert got == want and len(rows) == n
+        whole = pieces[0]
+        for p in pieces[1:]:
+            whole = whole.then(p, limits)
+        first = tuple(np.array([0]) for _ in range(3))
+        assert [x.tolist() for x in whole.leave(*first, limits)] == [x.tolist() for x in state]
+        own = jumps.piece_of(sizes, heads, limits)
+        assert all((a == b).all() for a, b in ((own.sums, whole.sums), (own.rows, whole.rows), (own.bytes, whole.bytes), (own.starts, whole.starts)))
+
+
+def test_one_scope_is_cut_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jumps, "RANGE_ROWS", 40)
+    monkeypatch.setattr(jumps, "FAN", 4)
+    draw = random.Random(7)
+    rows = [("a", i, draw.randint(0, 30)) for i in range(3000)] + [(draw.choice(["b", "c"]), i, draw.randint(0, 300)) for i in range(300)]
+    for limits in (Limits(chunk_rows=7, chunk_bytes=100), Limits(chunk_rows=500, chunk_bytes=3000), Limits(chunk_rows=1, chunk_bytes=1 << 50), Limits(chunk_rows=1 << 50, chunk_bytes=1 << 50)):
+        df = spark.createDataFrame(rows, "k string, i long, n long").repartition(3).withColumn("head", F.lit(9))
+        got = assign_chunks(df, "k", "i", "n", limits, header="head").select("k", "i", "chunk_seq", "row_in_chunk").collect()
+        assert sorted(map(tuple, got)) == chunk_loop(rows, limits, 9)
+
+
+def test_chunks_of_null_scopes_and_repeated_orders(spark):
+    rows = [(None, i % 3, 5, f"{i}") for i in range(30)] + [("a", None, 5, "x")] * 4 + [("a", 1, None, "y"), ("a", 1, 7, "z")]
+    df = spark.createDataFrame(rows, "k string, i long, n long, other string").repartition(3)
+    got = assign_chunks(df, "k", "i", "n", Limits(chunk_rows=4, chunk_bytes=1000)).collect()
+    assert sorted((str(r["k"]), r["other"]) for r in got) == sorted((str(k), o) for k, _, _, o in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["k"], []).append((r["i"] is not None, r["i"] or 0, r["chunk_seq"], r["row_in_chunk"]))
+    for found in by.values():
+        places = sorted((s, p) for _, _, s, p in found)
+        assert places == [(i // 4 + 1, i % 4 + 1) for i in range(len(found))]
+        assert [x[:2] for x in sorted(found, key=lambda x: x[2:])] == sorted(x[:2] for x in found)
+    assert assign_chunks(df.limit(0), "k", "i", "n").count() == 0
+
+
 def test_import_end_to_end(spark, tmp_path):
     (tmp_path / "in").mkdir()
     head = ",".join(consent_rules().columns)
