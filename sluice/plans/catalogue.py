@@ -16,11 +16,12 @@ from sluice.operators import assemble, chunking, lifecycle, messages, validate,
 from sluice.plans.bulk_import import Imported, bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
-from sluice.storage import through_table, work_folder
+from sluice.storage import settings, through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
 from sluice.streaming.envelopes import dedup_stream, deliver_stream
 from sluice.streaming.imports import arriving_files, import_stream, imported
+from sluice.streaming.stateful import STORE, guarded_barrier, lifecycle_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -571,6 +572,32 @@ def lineitem_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream with keyed state has written once all its files are read."""
+    spark = stream.sparkSession
+    with settings(spark, STORE):
+        query_ = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(f"""
+with k as (select l_orderkey, l_linenumber, bool_or(l_linestatus = 'F') as f from lineitem group by 1, 2),
+t as (select l_orderkey, cast(count(*) as bigint) as chunks from k group by 1 having bool_and(f))
+select o_orderkey as bulk_import_id, chunks from (select *, {ORDER_STATUS_SQL} as status from orders) join t on o_orderkey = l_orderkey where status = 'validating'
+""")
+def orders_guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stream of import states beside their lines as one of chunk states: a request for those that are validating and all of whose lines are finished."""
+    folder = work_folder(spark)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.bool_or(F.col("l_linestatus") == "F").alias("f"))
+    total = F.count("*").over(Window.partitionBy("l_orderkey"))
+    chunks = lines.select(F.col("l_orderkey").alias("bulk_import_id"), F.col("l_linenumber").alias("sequence"), F.when(F.col("f"), "completed").otherwise("processing").alias("status"), total.alias("total"))
+    chunks.repartition(4, "sequence").write.parquet(f"{folder}/chunks")
+    order_imports(spark, sf_dir).select("id", "status", F.lit(None).cast("long").alias("total")).repartition(4).write.parquet(f"{folder}/imports")
+    told, done = (table_stream(spark, f"{folder}/{name}", files_per_trigger=2) for name in ("imports", "chunks"))
+    return _drained(guarded_barrier(told, done), folder)
+
+
 # --- events: lifecycle, envelopes, delivery, outbox ------------------------------------------------------------
 
 EVENT_MOVES = {"view": ("signup",), "click": ("view",), "purchase": ("click",), "error": ("signup", "view")}
@@ -580,7 +607,7 @@ def utc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("""
+LIFECYCLE_SQL = """
 with recursive e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from events),
 walk as (
   select user_id, cast(0 as bigint) as rn, 'signup' as status from (select distinct user_id from events)
@@ -590,11 +617,23 @@ walk as (
   from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1
 )
 select user_id, arg_max(status, rn) as status from walk group by user_id
-""")
+"""
+
+
+@query(LIFECYCLE_SQL)
 def events_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "signup", EVENT_MOVES)
 
 
+@query(LIFECYCLE_SQL)
+def events_lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes out of order, in ten files of a stream; the last row of each key holds."""
+    folder = work_folder(spark)
+    utc_events(spark, sf_dir).repartition(10, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    stream = lifecycle_stream(table_stream(spark, f"{folder}/in", files_per_trigger=4), "user_id", "ts", "event_id", "event_type", "3650 days", "signup", EVENT_MOVES)
+    return _drained(stream, folder).groupBy("user_id").agg(F.max_by("status", "version").alias("status"))
+
+
 @query("""
 with e as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events)
 select user_id, event_type, event_id from e where rn = 1

@@ -1,13 +1,18 @@
 """Streams over files, stopped and started again."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
 from sluice.functions.rules import consent_rules
+from sluice.functions.status import IMPORT_MOVES
+from sluice.operators import lifecycle
 from sluice.plans import bulk_import as plan
 from sluice.plans.bulk_import import bulk_import
 from sluice.streaming import imports as streams
+from sluice.streaming import stateful
 
 
 def lot(folder, names):
@@ -73,3 +78,59 @@ def test_files_that_nobody_describes_start_nothing(spark, tmp_path):
     files = streams.arriving_files(spark, f"file://{tmp_path}/land")
     streams.import_stream(files, lambda f: described(f).where("false"), f"file://{tmp_path}/out", f"file://{tmp_path}/log").awaitTermination()
     assert not (tmp_path / "out").exists()
+
+
+def arrivals(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def drained(stream, folder):
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def test_changes_in_any_order_lead_to_what_fold_gives(spark, tmp_path):
+    stateful.with_keyed_state(spark)
+    draw = random.Random(4)
+    rows = [(draw.choice("abcde"), f"2026-01-01 {i // 60:02}:{i % 60:02}:00", i % 3, draw.choice([*IMPORT_MOVES, None])) for i in range(400)]
+    rows += [("x", f"2026-01-01 03:00:0{2 - i}", 0, to) for i, to in enumerate(["validating", "parsing"])]
+    changes = spark.createDataFrame(rows, "id string, at string, tie long, to string").withColumn("at", F.to_timestamp("at"))
+    want = {r["id"]: r["status"] for r in lifecycle.fold(changes, "id", ["at", "tie"], "to", "queued", IMPORT_MOVES).collect()}
+    draw.shuffle(rows)
+    schema = "id string, at timestamp, tie long, to string"
+    for lot in range(3):  # ten files in all, and two restarts
+        for k in range(lot, 10, 3):
+            part = spark.createDataFrame(rows[k::10], "id string, at string, tie long, to string").withColumn("at", F.to_timestamp("at"))
+            part.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        stream = stateful.lifecycle_stream(arrivals(spark, f"file://{tmp_path}/in", schema), "id", "at", "tie", "to", "1 day")
+        found = drained(stream, f"file://{tmp_path}")
+    latest = found.groupBy("id").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("n"), F.count_distinct("version").alias("m"), F.count("*").alias("rows"))
+    got = latest.collect()
+    assert {r["id"]: r["status"] for r in got} == want
+    assert all(r["n"] == r["m"] == r["rows"] for r in got)
+    assert not found.where("settled").count()
+    # a change that comes days later lets all the others settle
+    spark.createDataFrame([("a", "2026-01-09 00:00:00", 0, "nonsense"), ("y", "2026-01-09 00:00:01", 0, "parsing")], "id string, at string, tie long, to string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"file://{tmp_path}/in/late")
+    for k in range(2):
+        stream = stateful.lifecycle_stream(arrivals(spark, f"file://{tmp_path}/in", schema), "id", "at", "tie", "to", "1 day")
+        found = drained(stream, f"file://{tmp_path}")
+    settled = {r["id"]: r["status"] for r in found.where("settled").groupBy("id").agg(F.max_by("status", "version").alias("status")).collect()}
+    assert {k: v for k, v in settled.items() if k not in "ay"} == {k: v for k, v in want.items() if k != "a"}
+
+
+def test_a_request_waits_for_the_imports_state(spark, tmp_path):
+    stateful.with_keyed_state(spark)
+    imports, chunks = "id string, status string, total long", "bulk_import_id string, sequence long, status string, total long"
+    state = spark.createDataFrame([("z", "validating", 2, [1], False), ("w", "validating", 1, [], True)], "bulk_import_id string, status string, total long, finished array<long>, sent boolean")
+
+    def arrive(n, told, done):
+        spark.createDataFrame(told, imports).coalesce(1).write.parquet(f"file://{tmp_path}/imports/{n}")
+        spark.createDataFrame(done, chunks).coalesce(1).write.parquet(f"file://{tmp_path}/chunks/{n}")
+        streams_ = arrivals(spark, f"file://{tmp_path}/imports", imports), arrivals(spark, f"file://{tmp_path}/chunks", chunks)
+        return sorted(tuple(r) for r in drained(stateful.guarded_barrier(*streams_, state), f"file://{tmp_path}").collect())
+
+    none = [("q", "queued", None)]
+    assert arrive(1, none, [("a", 1, "completed", 2), ("a", 2, "failed", 2), ("b", 1, "completed", None), ("w", 1, "completed", 1)]) == []
+    assert arrive(2, [("a", "parsing", None), ("b", "validating", None)], [("z", 2, "completed", 2)]) == [("z", 2)]
+    assert arrive(3, [("a", "validating", 2)], [("z", 2, "completed", 2)]) == [("a", 2), ("z", 2)]
+    assert arrive(4, [("a", "validating", 2), ("b", "validating", 1)], [("a", 1, "completed", 2)]) == [("a", 2), ("b", 1), ("z", 2)]
