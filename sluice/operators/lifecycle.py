@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sluice.functions.status import CHUNK_TERMINAL, IMPORT_MOVES, is_terminal, progress_percent
 from sluice.storage import through_table
 
+#: Changes of a range.
+RANGE_ROWS = 1 << 18
+
 
 def may_move(now: Column, to: Column, moves: dict[str, tuple[str, ...]]) -> Column:
     """Whether the change is allowed from the current status."""
@@ -26,7 +28,9 @@ def fold(events: DataFrame, key: str, order: list[str], to: str, initial: str =
     one after it, and the few maps of a key are applied one after the other. A null key is a key.
     """
     statuses = sorted({initial, *moves, *(s for sources in moves.values() for s in sources)})
-    ranged = through_table(events.select(key, *order, F.col(to).alias("_to")).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    # so many that a range's changes of one key are a short list
+    ranges = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.count() // RANGE_ROWS + 1)
+    ranged = through_table(events.select(key, *order, F.col(to).alias("_to")).repartitionByRange(ranges, key, *order).withColumn("_range", F.spark_partition_id()))
     steps = F.array_sort(F.collect_list(F.struct(*order, F.col("_to").alias("to"))))
     step = lambda now, e: F.when(F.coalesce(may_move(now, e["to"], moves), F.lit(False)), e["to"]).otherwise(now)
     parts = ranged.groupBy(key, "_range").agg(steps.alias("_steps"))
@@ -37,9 +41,13 @@ def fold(events: DataFrame, key: str, order: list[str], to: str, initial: str =
 
 
 def once(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first event of each key; replays have no effect."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("_n", rank).where("_n = 1").drop("_n")
+    """The first event of each key; replays have no effect.
+
+    A smallest value has partial aggregates, so of a key with many events each task passes on one.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in events.columns))
+    first = events.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def completion(imports: DataFrame, chunks: DataFrame) -> DataFrame:

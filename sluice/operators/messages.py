@@ -76,6 +76,25 @@ def delivery(messages: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame
     )
 
 
+#: Routing key -> what its message is about, the id of that in the payload, and what stands before the reason; fixed values.
+SUBJECTS = {
+    "consent.parse.requested": ("import", "bulk_import_id", "Parsing failed: "),
+    "consent.chunk.validate": ("chunk", "chunk_id", "Validation failed: "),
+    "consent.import.assemble": ("import", "bulk_import_id", "Assembling failed: "),
+}
+
+
+def given_up(dead: DataFrame, most: int = 1000) -> DataFrame:
+    """kind, id, status, failure_message: the imports and chunks that messages whose attempts are used up (routing_key, payload, last_error) leave failed."""
+    kind, id_, before = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("")
+    for key, (what, field, prefix) in SUBJECTS.items():
+        own = F.col("routing_key") == key
+        kind, id_, before = F.when(own, F.lit(what)).otherwise(kind), F.when(own, F.get_json_object("payload", f"$.{field}")).otherwise(id_), F.when(own, F.lit(prefix)).otherwise(before)
+    reason = limited(F.concat(before, F.coalesce("last_error", F.lit(""))), most)
+    found = dead.select(kind.alias("kind"), id_.alias("id"), reason.alias("reason")).where("kind is not null and id is not null")
+    return found.groupBy("kind", "id").agg(F.lit("failed").alias("status"), F.min("reason").alias("failure_message"))
+
+
 def route(messages: DataFrame, bindings: DataFrame) -> DataFrame:
     """A row per message and bound queue; unbound messages go nowhere.
 

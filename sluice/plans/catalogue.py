@@ -19,7 +19,7 @@ from sluice.sources.records import csv_records, without_blanks
 from sluice.storage import settings, through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
-from sluice.streaming.envelopes import dedup_stream, deliver_stream
+from sluice.streaming.envelopes import Handler, dedup_stream, deliver_stream, deliver_with_retries, until_settled
 from sluice.streaming.imports import arriving_files, import_stream, imported
 from sluice.streaming.stateful import STORE, guarded_barrier, lifecycle_stream
 
@@ -732,6 +732,22 @@ def events_handled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
 
 
+@query("""
+with e as (select event_id, event_id % 7 = 0 as bad, event_type from events)
+select event_id, case when bad then 'rejected' when event_type = 'error' then 'dead' else 'handled' end as sink,
+  cast(case when bad then 1 when event_type = 'error' then 3 when event_type = 'click' then 2 else 1 end as int) as attempt from e
+""")
+def events_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes given to a handler that always fails on one kind of event and once on another, until no message comes back."""
+    folder = work_folder(spark)
+    event_bodies(spark, sf_dir).write.parquet(f"{folder}/in")
+    fails = (F.col("event_type") == "error") | ((F.col("event_type") == "click") & (F.col("attempt") == 1))
+    handler = Handler(lambda batch: batch.withColumn("error", F.when(fails, "event failed")))
+    until_settled(lambda: deliver_with_retries(table_stream(spark, f"{folder}/in"), handler, f"{folder}/out", f"{folder}/checkpoint"))
+    sinks = [spark.read.parquet(f"{folder}/out/{name}").select("event_id", F.lit(name).alias("sink"), F.col("attempt").cast("int").alias("attempt")) for name in ("handled", "dead", "rejected")]
+    return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
+
+
 BINDINGS = (("events", "event.view", "views"), ("events", "event.click", "clicks"), ("events", "event.click", "audit"), ("events", "event.purchase", "audit"), ("other", "event.signup", "none"))
 
 

@@ -16,8 +16,9 @@ def _finish(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     total, finished, sent = state.get if state.exists else (0, [], False)
     done = set(finished)
     for rows in batches:
-        total = max(total, int(rows["total"].max()))
-        done.update(int(x) for x, s in zip(rows["sequence"], rows["status"], strict=True) if s in CHUNK_TERMINAL)
+        known = rows["total"].dropna()
+        total = max(total, int(known.max()) if len(known) else 0)
+        done.update(int(x) for x, s in zip(rows["sequence"], rows["status"], strict=True) if s in CHUNK_TERMINAL and not pd.isna(x))
     ready = not sent and total > 0 and len(done) >= total
     state.update((total, sorted(done) if not (sent or ready) else [], sent or ready))
     if ready:

@@ -97,7 +97,7 @@ def test_barrier_sends_once_over_restarts(spark, tmp_path):
     assert run() == [("b", 1)]
     arrive(2, ("a", 2, "failed", 2), ("b", 1, "completed", 1), ("a", 1, "completed", 2))
     assert run() == [("a", 2), ("b", 1)]
-    arrive(3, ("a", 2, "failed", 2), ("c", 1, "processing", 1))
+    arrive(3, ("a", 2, "failed", 2), ("c", 1, "processing", 1), ("d", 1, "completed", None), ("d", None, "completed", None))
     assert run() == [("a", 2), ("b", 1)]
 
 

@@ -1,5 +1,6 @@
 """Streams over files, stopped and started again."""
 
+import json
 import random
 
 import pytest
@@ -8,11 +9,12 @@ from pyspark.sql import functions as F
 from sluice.config import Limits
 from sluice.functions.rules import consent_rules
 from sluice.functions.status import IMPORT_MOVES
-from sluice.operators import lifecycle
+from sluice.operators import lifecycle, messages
 from sluice.plans import bulk_import as plan
 from sluice.plans.bulk_import import bulk_import
 from sluice.streaming import imports as streams
-from sluice.streaming import stateful
+from sluice.streaming import envelopes, stateful
+from sluice.streaming.arrivals import table_stream
 
 
 def lot(folder, names):
@@ -134,3 +136,31 @@ def test_a_request_waits_for_the_imports_state(spark, tmp_path):
     assert arrive(2, [("a", "parsing", None), ("b", "validating", None)], [("z", 2, "completed", 2)]) == [("z", 2)]
     assert arrive(3, [("a", "validating", 2)], [("z", 2, "completed", 2)]) == [("a", 2), ("z", 2)]
     assert arrive(4, [("a", "validating", 2), ("b", "validating", 1)], [("a", 1, "completed", 2)]) == [("a", 2), ("b", 1), ("z", 2)]
+
+
+def test_a_message_that_fails_three_times_fails_its_chunk_once(spark, tmp_path):
+    body = lambda key, n, payload: json.dumps({"message_id": f"m{n}", "routing_key": key, "occurred_at": "2026-01-02T03:04:05Z", "payload": payload})
+    rows = [(1, body("consent.chunk.validate", 1, {"chunk_id": "c1", "bulk_import_id": "i", "chunk_object_key": "k"})), (2, body("consent.import.assemble", 2, {"bulk_import_id": "i"}))]
+    rows += [(3, body("consent.parse.requested", 3, {"bulk_import_id": "j", "source_object_key": "k"})), (4, "nope"), (5, body("other", 5, {}))]
+    spark.createDataFrame(rows, "n int, body string").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    seen, crashed = [], []
+
+    def handle(batch):
+        seen.extend((r["n"], r["attempt"]) for r in batch.where("reason is null").collect())
+        return batch.withColumn("error", F.when(F.col("n").isin(1, 3) | ((F.col("n") == 2) & (F.col("attempt") == 1)), F.concat(F.lit("boom "), F.col("attempt").cast("string"))))
+
+    def failed(dead, batch_id):
+        messages.given_up(dead).write.mode("overwrite").parquet(f"file://{tmp_path}/failed/batch={batch_id}")
+        if not dead.isEmpty() and not crashed:
+            crashed.append(batch_id)
+            raise OSError("dies after the dead are told")
+
+    start = lambda: envelopes.deliver_with_retries(table_stream(spark, f"file://{tmp_path}/in"), envelopes.Handler(handle, failed), f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    with pytest.raises(Exception, match="dies after"):
+        envelopes.until_settled(start)
+    assert envelopes.until_settled(start) == 2
+    assert sorted(set(seen)) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (5, 1)]
+    got = {name: sorted(r["n"] for r in spark.read.parquet(f"file://{tmp_path}/out/{name}").collect()) for name in ("handled", "dead", "rejected")}
+    assert got == {"handled": [2, 5], "dead": [1, 3], "rejected": [4]}
+    told = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/failed").select("kind", "id", "status", "failure_message").collect()]
+    assert sorted(told) == [("chunk", "c1", "failed", "Validation failed: boom 3"), ("import", "j", "failed", "Parsing failed: boom 3")]
