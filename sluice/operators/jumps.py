@@ -189,12 +189,13 @@ def _entries(limits: tuple[int, int]):
 
 
 def _places(limits: tuple[int, int]):
-    def run(table: pa.Table, entries: pa.Table) -> pa.Table:
+    def run(table: pa.Table, entries: pa.Table | None = None) -> pa.Table:
+        """The places of a range's rows; no chunk is open before a range that is alone."""
         table = _sorted(table)
-        of = {r["s"]: (r["rows"], r["bytes"], r["starts"]) for r in entries.to_pylist()}
+        of = {} if entries is None else {r["s"]: (r["rows"], r["bytes"], r["starts"]) for r in entries.to_pylist()}
         seqs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in _scopes(table):
-            seq, place = numbered(_column(table, "n")[a:b], _column(table, "head")[a:b], of[table.column("s")[a].as_py()], limits)
+            seq, place = numbered(_column(table, "n")[a:b], _column(table, "head")[a:b], of[table.column("s")[a].as_py()] if of else (0, 0, 0), limits)
             seqs.append(seq)
             places.append(place)
         # the how many-th of wholly equal rows each one is
@@ -213,6 +214,10 @@ def places(narrow: DataFrame, chunk_rows: int, chunk_bytes: int) -> DataFrame:
     """s, o, n, head, nth, chunk_seq, row_in_chunk of rows (s, o, n, head): scope, order, bytes, and bytes that a chunk they begin has besides."""
     rows = narrow.count()
     limits = (min(chunk_rows, rows + 1), min(chunk_bytes, 1 << 62))
+    found = [*(narrow.schema[c] for c, _ in ORDER), StructField("nth", LongType()), StructField("chunk_seq", IntegerType()), StructField("row_in_chunk", LongType())]
+    if rows <= RANGE_ROWS:
+        whole = narrow.withColumn("range", F.lit(0)).groupBy("range").applyInArrow(lambda table: _places(limits)(table), StructType(found))
+        return through_table(whole)
     ranges = max(int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS + 1)
     dealt = narrow.repartitionByRange(ranges, *(c for c, _ in ORDER)).withColumn("range", F.spark_partition_id().cast("long"))
     dealt = through_table(dealt)
@@ -228,5 +233,4 @@ def places(narrow: DataFrame, chunk_rows: int, chunk_bytes: int) -> DataFrame:
         up = maps.withColumn("g", F.expr(f"range div {FAN}"))
         top = entries.withColumnRenamed("range", "g")
         entries = through_table(up.groupBy("s", "g").cogroup(top.groupBy("s", "g")).applyInArrow(_entries(limits), kinds(ENTRY)))
-    found = [*(dealt.schema[c] for c, _ in ORDER), StructField("nth", LongType()), StructField("chunk_seq", IntegerType()), StructField("row_in_chunk", LongType())]
     return through_table(dealt.groupBy("range").cogroup(entries.groupBy("range")).applyInArrow(_places(limits), StructType(found)))

@@ -19,7 +19,9 @@ from sluice.sources.records import csv_records, without_blanks
 from sluice.storage import settings, through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
+from sluice.streaming.counts import KeptCounts, counts_stream
 from sluice.streaming.envelopes import Handler, dedup_stream, deliver_stream, deliver_with_retries, until_settled
+from sluice.streaming.handled import HandledIds, once_stream
 from sluice.streaming.imports import arriving_files, import_stream, imported
 from sluice.streaming.stateful import STORE, guarded_barrier, lifecycle_stream
 
@@ -598,6 +600,28 @@ def orders_guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(guarded_barrier(told, done), folder)
 
 
+@query("""
+with k as (select o_custkey, o_orderstatus = 'F' as f, cast(floor(o_totalprice) as bigint) % 100 as v from orders),
+t as (select o_custkey, cast(count(*) as bigint) as t, cast(count(*) filter (where f) as bigint) as f, cast(sum(case when f then v else 0 end) as bigint) as v,
+  cast(sum(case when f then v % 3 else 0 end) as bigint) as r from k group by 1)
+select c_custkey as id, coalesce(t, 0) as chunks_total, coalesce(f, 0) as chunks_finished, coalesce(v, 0) as valid_rows, coalesce(r, 0) as rejected_rows,
+  coalesce(f, 0) || ' of ' || coalesce(t, 0) as chunks_progress from customer left join t on c_custkey = o_custkey
+""")
+def customers_kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as imports, their orders as chunks that are all pending first and partly finished later: counts and sums, kept up by the changes."""
+    folder = work_folder(spark)
+    rows = (F.floor("o_totalprice").cast("long") % 100).alias("v")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bulk_import_id"), F.col("o_orderkey").alias("sequence"), (F.col("o_orderstatus") == "F").alias("f"), rows)
+    key, none = ["bulk_import_id", "sequence"], F.lit(None).cast("long")
+    begun = orders.select(*key, F.lit("pending").alias("status"), none.alias("valid_rows"), none.alias("invalid_rows"), F.lit(1).alias("version"))
+    ended = orders.where("f").select(*key, F.lit("completed").alias("status"), F.col("v").alias("valid_rows"), (F.col("v") % 3).alias("invalid_rows"), F.lit(2).alias("version"))
+    for part in (begun, ended):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    kept = KeptCounts(f"{folder}/kept")
+    counts_stream(table_stream(spark, f"{folder}/in", files_per_trigger=1), kept, f"{folder}/checkpoint").awaitTermination()
+    return kept.of_imports(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
 # --- events: lifecycle, envelopes, delivery, outbox ------------------------------------------------------------
 
 EVENT_MOVES = {"view": ("signup",), "click": ("view",), "purchase": ("click",), "error": ("signup", "view")}
@@ -802,6 +826,20 @@ def events_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(once.schema).parquet(f"{folder}/out").select("message_id", "event_type")
 
 
+@query("select 'm' || event_id as message_id, event_type from events")
+def events_once_for_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four files of a stream, and in a fifth one replays of every twentieth of them all; each message once."""
+    sent = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), "event_type", "event_id")
+    folder = work_folder(spark)
+    for k in range(5):
+        part = sent.where(F.pmod("event_id", F.lit(4)) == k) if k < 4 else sent.where(F.xxhash64("message_id") % 20 == 0)
+        part.drop("event_id").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    write = lambda new, batch_id: new.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+    ids = HandledIds(f"{folder}/ids", buckets=16)
+    once_stream(table_stream(spark, f"{folder}/in", files_per_trigger=1), ids, write, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("message_id", "event_type")
+
+
 @query("select 'events' as exchange, 'event.' || event_type as routing_key, cast(count(*) as bigint) as n, cast(count(distinct event_id) as bigint) as n_ids from events group by event_type")
 def events_outbox_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbox rows of all events have ids of their own, the same in every run."""

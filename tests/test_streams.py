@@ -3,17 +3,18 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
 from sluice.functions.rules import consent_rules
 from sluice.functions.status import IMPORT_MOVES
-from sluice.operators import lifecycle, messages
+from sluice.operators import lifecycle, messages, views
 from sluice.plans import bulk_import as plan
 from sluice.plans.bulk_import import bulk_import
 from sluice.streaming import imports as streams
-from sluice.streaming import envelopes, stateful
+from sluice.streaming import counts, envelopes, handled, stateful
 from sluice.streaming.arrivals import table_stream
 
 
@@ -164,3 +165,89 @@ def test_a_message_that_fails_three_times_fails_its_chunk_once(spark, tmp_path):
     assert got == {"handled": [2, 5], "dead": [1, 3], "rejected": [4]}
     told = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/failed").select("kind", "id", "status", "failure_message").collect()]
     assert sorted(told) == [("chunk", "c1", "failed", "Validation failed: boom 3"), ("import", "j", "failed", "Parsing failed: boom 3")]
+
+
+def test_filters_miss_nothing():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 50, 5000):
+        own, others = (draw.integers(-(1 << 62), 1 << 62, k) for k in (n, 20_000))
+        found = handled.filter_of(own)
+        assert handled.may_hold(found, own).all() if n else True
+        assert handled.may_hold(found, others).mean() < (0.03 if n else 0.001)
+
+
+def test_replays_of_any_age_are_dropped_and_no_id_is_lost(spark, tmp_path):
+    ids = handled.HandledIds(f"file://{tmp_path}/ids", buckets=32, most_segments=3)
+    draw, seen, shares = random.Random(6), set(), []
+    for batch in range(8):
+        fresh = [f"m{batch}-{i}" for i in range(200)]
+        old = draw.sample(sorted(seen), 3) if seen else []
+        rows = [(m, k) for k, m in enumerate([*fresh, *fresh[:20], *old])] + [(None, -1), (None, -2)]
+        done = ids.check(spark.createDataFrame(rows, "message_id string, h int"), batch, "message_id")
+        got = [r["message_id"] for r in done.new.collect()]
+        assert sorted(x for x in got if x) == sorted(fresh) and got.count(None) == 2
+        seen |= set(fresh)
+        shares.append((done.read, done.files))
+    assert {r["id"] for r in ids.ids(spark).collect()} == seen and ids.ids(spark).count() == len(seen)
+    assert any(read < files for read, files in shares[1:])
+    few = ids.check(spark.createDataFrame([(sorted(seen)[5], 1)], "message_id string, h int"), 99, "message_id")
+    assert few.new.count() == 0 and 1 <= few.read <= 4 < few.files  # one file, and false positives
+    with pytest.raises(ValueError, match="32 buckets"):
+        handled.HandledIds(f"file://{tmp_path}/ids", buckets=8).check(few.new, 100, "message_id")
+
+
+def test_a_batch_that_runs_again_is_no_replay_of_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(f"m{i % 90}",) for i in range(100)], "message_id string")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    given = []
+
+    def handle(new, batch_id):
+        given.append(sorted(r["message_id"] for r in new.collect()))
+        if len(given) == 1:
+            raise OSError("dies before it is done")
+
+    run = lambda: handled.once_stream(table_stream(spark, f"file://{tmp_path}/in", 1), handled.HandledIds(f"file://{tmp_path}/ids", 4), handle, f"file://{tmp_path}/log").awaitTermination()
+    with pytest.raises(Exception, match="dies before"):
+        run()
+    run()
+    rows.limit(50).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    run()
+    assert given == [sorted({f"m{i}" for i in range(90)})] * 2 + [[]]
+
+
+def test_kept_counts_equal_the_batch_query_after_any_prefix(spark, tmp_path, monkeypatch):
+    draw, version, state, changes = random.Random(3), 0, {}, []
+    for _ in range(300):
+        version += 1
+        changes.append((draw.choice("abc"), draw.randint(1, 9), draw.choice(["pending", "processing", "completed", "failed"]), draw.choice([None, 3, 5]), draw.randint(0, 4), version))
+    schema = "bulk_import_id string, sequence int, status string, valid_rows long, invalid_rows long, version long"
+    imports = spark.createDataFrame([(x, "validating") for x in "abcd"], "id string, status string")
+    kept = counts.KeptCounts(f"file://{tmp_path}/kept", most_segments=3)
+    add, dead = counts.KeptCounts.add, []
+
+    def dies(self, batch, batch_id):
+        add(self, batch, batch_id)
+        if batch_id == 2 and not dead:
+            dead.append(batch_id)
+            raise OSError("dies after the commit")
+
+    monkeypatch.setattr(counts.KeptCounts, "add", dies)
+    for k in range(7):
+        part = changes[43 * k : 43 * k + 43]
+        late = changes[:3] if k else []  # states that newer ones have replaced
+        spark.createDataFrame(part + late, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        run = lambda: counts.counts_stream(arrivals(spark, f"file://{tmp_path}/in", schema), kept, f"file://{tmp_path}/log").awaitTermination()
+        if k == 2:
+            with pytest.raises(Exception, match="dies after"):
+                run()
+        run()
+        for c in part:
+            state[c[:2]] = c
+        now = spark.createDataFrame(list(state.values()), schema)
+
+        counted = {r["id"]: (r["chunks_total"], r["chunks_finished"]) for r in views.with_chunk_counts(imports, now).collect()}
+        summed = {r["id"]: (r["valid_rows"], r["rejected_rows"], r["chunks_progress"]) for r in views.summary(imports, now).collect()}
+        got = kept.of_imports(imports).collect()
+        assert {r["id"]: (r["chunks_total"], r["chunks_finished"]) for r in got} == counted
+        assert {r["id"]: (r["valid_rows"], r["rejected_rows"], r["chunks_progress"]) for r in got} == summed
+    assert dead and len(kept.segments.current()) <= 5
