@@ -13,6 +13,7 @@ from sluice.functions import cells as c
 from sluice.functions.rules import RuleSet, consent_rules, error_text, integer, max_length, one_of, required, whole_number
 from sluice.functions.status import is_terminal, status_label
 from sluice.operators import assemble, chunking, lifecycle, messages, validate, views
+from sluice.operators.search_index import NameIndex, last_place
 from sluice.plans.bulk_import import Imported, bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
@@ -551,6 +552,28 @@ def orders_owned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))).select("id", "original_filename", "place")
 
 
+@query("""
+with i as (select p_partkey as id, p_name || ' ' || p_type || ' ' || p_partkey || '.csv' as original_filename, timestamp '2026-01-01' + interval (p_size) day as created_at from part),
+f as (select *, row_number() over (order by created_at desc, id) as place from i where contains(lower(original_filename), 'mal'))
+select id, original_filename, cast((place - 1) // 20 + 1 as int) as page, cast((place - 1) % 20 + 1 as int) as place from f where place <= 60
+""")
+def part_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three pages of the parts whose name contains a word, each going on where the last one ended."""
+    name = F.concat_ws(" ", "p_name", "p_type", F.concat(F.col("p_partkey").cast("string"), F.lit(".csv")))
+    created = (F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("p_size"))).alias("created_at")
+    imports = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("original_filename"), created)
+    index = NameIndex(f"{work_folder(spark)}/names")
+    index.build(imports)
+    pages, after = [], None
+    for n in range(1, 4):
+        rows = index.page(imports, "MAL", 20, after).collect()  # a page
+        pages += [(r["id"], r["original_filename"], n, i + 1) for i, r in enumerate(rows)]
+        after = last_place(rows)
+        if after is None:
+            break
+    return spark.createDataFrame(pages, "id long, original_filename string, page int, place int")
+
+
 @query(ORDERS_SQL + "select o_orderkey as bulk_import_id, 'consent.import.assemble' as routing_key from j where status = 'validating' and t > 0 and t = f")
 def orders_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.completion(order_imports(spark, sf_dir), order_chunks(spark, sf_dir))

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from sluice.functions.status import IMPORT_MOVES, progress_percent
-from sluice.operators import assemble, chunking, lifecycle, messages, validate, views
+from sluice.operators import assemble, chunking, lifecycle, messages, search_index, validate, views
 from sluice.functions.rules import consent_rules
 from sluice.streaming.arrivals import table_stream
 from sluice.streaming.barrier import barrier_stream
@@ -154,3 +154,35 @@ def test_an_import_whose_assembly_was_given_up(spark):
     got = {r["id"]: r for r in assemble.import_outcome(imports, chunks, given_up=lost).collect()}
     assert (got["a"]["status"], got["b"]["status"], got["b"]["output_object_key"], got["b"]["completed_at"]) == ("completed", "failed", None, None)
     assert len(got["b"]["failure_message"]) in (1002, 1003) and got["a"]["completed_at"]
+
+
+def test_search_by_index_equals_contains(spark, tmp_path):
+    draw = random.Random(12)
+    words = ["report", "Consent", "RE", "reporter", "née", "a", "", "x.csv", "con sent", "zzz"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 4))), f"2026-01-{draw.randint(1, 9):02} 00:00:00") for i in range(300)] + [(300, None, "2026-01-05 00:00:00")]
+    imports = spark.createDataFrame(rows, "id long, original_filename string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    index = search_index.NameIndex(f"file://{tmp_path}/index", buckets=8)
+    index.build(imports)
+    for pattern in ("report", "REPORTER", "t con", "née", "zz", "", "nothing", "sent", "rep%", "csv"):
+        want = [r["id"] for r in views.search(imports, pattern).collect()]
+        got, after = [], None
+        while True:
+            page = index.page(imports, pattern, 40, after).collect()
+            got += [r["id"] for r in page]
+            after = search_index.last_place(page)
+            if len(page) < 40:
+                break
+        assert got == want, pattern
+
+
+def test_search_reads_the_rarest_lists(spark, tmp_path):
+    imports = spark.range(5000).selectExpr("id", "concat('report ', if(id % 500 = 0, 'needle', 'hay')) as original_filename", "timestamp '2026-01-01' + make_dt_interval(int(id)) as created_at")
+    index = search_index.NameIndex(f"file://{tmp_path}/index")
+    index.build(imports)
+    found, read = index.candidates(imports, "ort needle")
+    assert found.count() == 10 and read == 30
+    first = index.page(imports, "ort needle", 4).collect()
+    later, _ = index.candidates(imports, "ort needle", search_index.last_place(first))
+    assert [r["id"] for r in first] == [4500, 4000, 3500, 3000] and later.count() == 6
+    plan = later._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:80]
