@@ -1,6 +1,7 @@
 """Nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Rows are dealt to shards of about ``SHARD_ROWS``. A shard's graph is kept as flat
+Rows are dealt to shards of about ``SHARD_ROWS``, fewer where vectors are long: a shard's
+vectors have ``SHARD_BYTES`` in double precision. A shard's graph is kept as flat
 arrays: vectors, the level of each node, ``LINKS`` neighbours of each node per level
 (twice as many on the lowest), -1 where there are fewer. Equal vectors of a shard are
 one node, so that a common vector can't fill every neighbour list.
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 
 from sluice.llm.shared import written
 
-SHARD_ROWS = 1 << 17
+SHARD_ROWS, SHARD_BYTES = 1 << 17, 64 << 20
 LINKS = 32
 #: Room in a list of neighbours while the graph is built, beyond what is kept.
 SLACK = 16
@@ -313,12 +314,17 @@ def usable(vectors: DataFrame, dim: int) -> Column:
     return F.col("vec_id").isNotNull() & (F.size("v") == dim) & finite & F.exists("v", lambda c: c != 0)
 
 
+def shard_size(dim: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Rows of a shard whose vectors have ``dim`` components."""
+    return max(1, min(shard_rows, SHARD_BYTES // (8 * dim)))
+
+
 def build_index(vectors: DataFrame, dim: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """The graphs of usable ``vectors`` (vec_id, v), a row per shard, and the number of shards.
 
     The input partition is part of what deals rows, so that a vec_id that many rows repeat is spread.
     """
-    shards = max(1, -(-vectors.count() // shard_rows))
+    shards = max(1, -(-vectors.count() // shard_size(dim, shard_rows)))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.spark_partition_id()), F.lit(shards)).cast("int"))
     return written(dealt.groupBy("shard").applyInArrow(_index(dim), "shard int, " + ", ".join(f"{k} {t}" for k, t in GRAPH.items())), "graphs"), shards
 

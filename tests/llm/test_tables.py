@@ -210,6 +210,12 @@ def test_materialised_mix_has_the_words_taken(spark):
 # --- nearest neighbours
 
 
+def test_shards_of_long_vectors_have_fewer_rows():
+    assert hnsw.shard_size(64) == hnsw.SHARD_ROWS == hnsw.shard_size(1)
+    assert hnsw.shard_size(768) * 768 * 8 <= hnsw.SHARD_BYTES and hnsw.shard_size(1 << 30) == 1 and hnsw.shard_size(64, 500) == 500
+
+
+
 def vectors(n=900, seed=1, dim=12):
     draw = np.random.default_rng(seed)
     centres = draw.normal(0, 3, (9, dim))
