@@ -14,6 +14,7 @@ from sluice.operators import lifecycle, messages, views
 from sluice.plans import bulk_import as plan
 from sluice.plans.bulk_import import bulk_import
 from sluice.streaming import imports as streams
+from sluice.streaming import outbox as outboxes
 from sluice.streaming import counts, envelopes, handled, stateful
 from sluice.streaming.arrivals import table_stream
 
@@ -251,3 +252,65 @@ def test_kept_counts_equal_the_batch_query_after_any_prefix(spark, tmp_path, mon
         assert {r["id"]: (r["chunks_total"], r["chunks_finished"]) for r in got} == counted
         assert {r["id"]: (r["valid_rows"], r["rejected_rows"], r["chunks_progress"]) for r in got} == summed
     assert dead and len(kept.segments.current()) <= 5
+
+
+OUTBOX = "id string, failed_attempts int, last_error string, published_at timestamp, bad boolean"
+
+
+def outbox(spark, tmp_path, n=60, range_rows=10):
+    rows = spark.range(n).selectExpr("format_string('%05d', id) as id", "0 as failed_attempts", "cast(null as string) as last_error", "cast(null as timestamp) as published_at", "id in (7, 23, 24) as bad")
+    table = outboxes.OutboxTable(spark, f"file://{tmp_path}/outbox", rows.schema, range_rows)
+    table.append(rows)
+    return table
+
+
+def test_relays_over_a_whole_table_equal_a_plain_loop(spark, tmp_path):
+    table, plain = outbox(spark, tmp_path), {f"{i:05}": [0, False] for i in range(60)}
+    assert len(table.current()[1]) == 6
+    for k in range(14):
+        heals = k >= 4  # what can't be reached at first can be later
+        fails = F.lit(False) if heals else F.col("bad")
+        table.relay(fails, 8, at=F.lit("2026-01-02 00:00:00").cast("timestamp"))
+        assert len(table.touched) <= 2
+        for i in [x for x in sorted(plain) if not plain[x][1]][:8]:
+            if not heals and int(i) in (7, 23, 24):
+                plain[i][0] += 1
+                break
+            plain[i][1] = True
+        assert {r["id"]: [r["failed_attempts"], r["published_at"] is not None] for r in table.rows().collect()} == plain
+    assert table.relay(F.lit(False), 8) == {}
+
+
+def test_a_change_that_comes_too_late_leaves_the_table_as_it_is(spark, tmp_path, monkeypatch):
+    table = outbox(spark, tmp_path)
+    other = outboxes.OutboxTable(spark, table.folder, table.schema, 10)
+    write, begun = outboxes.OutboxTable._written, []
+
+    def slow(self, rows):
+        if not begun:
+            begun.append(1)
+            other.relay(F.lit(False), 3)
+        return write(self, rows)
+
+    monkeypatch.setattr(outboxes.OutboxTable, "_written", slow)
+    with pytest.raises(outboxes.Changed):
+        table.relay(F.lit(False), 5)
+    monkeypatch.setattr(outboxes.OutboxTable, "_written", lambda self, rows: (_ for _ in ()).throw(OSError("dies")))
+    with pytest.raises(OSError, match="dies"):
+        table.relay(F.lit(False), 5)
+    monkeypatch.setattr(outboxes.OutboxTable, "_written", write)
+    assert table.rows().where("published_at is not null").count() == 3 and table.rows().count() == 60
+    table.relay(F.lit(False), 5)
+    assert [r["id"] for r in table.rows().where("published_at is not null").orderBy("id").collect()] == [f"{i:05}" for i in range(8)]
+
+
+def test_prune_writes_only_ranges_with_old_rows(spark, tmp_path):
+    table = outbox(spark, tmp_path)
+    table.relay(F.lit(False), 15, at=F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    table.relay(F.lit(False), 10, at=F.lit("2026-01-20 00:00:00").cast("timestamp"))
+    now = F.lit("2026-01-21 00:00:00").cast("timestamp")
+    assert table.prune(now) <= 3 and table.rows().count() == 45
+    assert table.prune(now) == 0
+    assert [r["id"] for r in table.rows().orderBy("id").limit(1).collect()] == ["00015"]
+    table.append(table.rows().limit(2).withColumn("id", F.concat(F.lit("z"), "id")))
+    assert table.rows().count() == 47
