@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.shared import LOWER, blocks, discard, small_batches, split_words, text_bounds, written
+from sluice.llm.shared import LOWER, blocks, bucketed, discard, small_batches, split_words, text_bounds, written
 from sluice.storage import settings
 
 #: Bytes of context, and how many of them the trees are grouped by.
@@ -48,6 +48,8 @@ DEPTH, TOP = 4, 2
 START, END = 0xFE, 0xFF
 #: Bytes of text in a block.
 TEXT_BYTES = 10 << 20
+#: Documents to a bucket of blocks.
+BUCKET_ROWS = 4096
 #: Bytes of text that a task looks at together, and rows that Spark hands over together.
 PART_BYTES, PART_ROWS = 2 << 20, 1000
 HELD_OUT_OF = 10
@@ -340,10 +342,12 @@ def _score(end_count: int):
 def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    # texts are written in buckets of blocks, so that they stay where they are when the values come to them
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_ROWS)
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PART_ROWS)}):
-        texts = written(text_blocks(docs, text_bytes), "text-blocks")
-    facts = texts.agg(F.sum("learn_tokens"), F.sum("learn_docs"), F.count("*")).first()
-    tokens, end_count, n_blocks = facts[0] or 0, facts[1] or 0, facts[2]
+        texts = bucketed(text_blocks(docs, text_bytes), "block", buckets)
+    facts = texts.agg(F.sum("learn_tokens"), F.sum("learn_docs")).first()
+    tokens, end_count = facts[0] or 0, facts[1] or 0
     by_word = Window.partitionBy("key")
     words = counted(texts, "words", "word_counts")
     words = written(words.select("block", "key", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("once")), "words")
@@ -352,10 +356,8 @@ def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
     grams = written(of_blocks.groupBy("key").agg(F.sum("n").alias("n")), "grams")
     values = written(gram_values(grams), "gram-values")
     asked = of_blocks.join(values, "key").select("block", F.lit(0).alias("kind"), "key", "value").unionByName(words.select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
-    # blocks are large rows: a task gets few of them
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks)
-    sides = (x.repartition(parts, "block").groupBy("block") for x in (texts.select("block", "docs", "data", "bounds"), asked))
-    found = written(next(sides).cogroup(next(sides)).applyInArrow(_score(end_count), SCORE_SCHEMA), "scores")
+    sides = texts.select("block", "docs", "data", "bounds").groupBy("block"), asked.groupBy("block")
+    found = written(sides[0].cogroup(sides[1]).applyInArrow(_score(end_count), SCORE_SCHEMA), "scores")
     discard(texts, words, grams, values)
     base = F.col("log_sum") - F.col("n_tokens") * math.log10(tokens + 0.1 * (distinct_tokens + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
