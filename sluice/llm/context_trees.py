@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.shared import LOWER, blocks, bucketed, discard, small_batches, split_words, text_bounds, written
+from sluice.llm.shared import LOWER, blocks, bucketed, discard, give_back, small_batches, split_words, text_bounds, written
 from sluice.storage import settings
 
 #: Bytes of context, and how many of them the trees are grouped by.
@@ -47,7 +47,7 @@ DEPTH, TOP = 4, 2
 #: Bytes that no UTF-8 text has: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Bytes of text in a block.
-TEXT_BYTES = 10 << 20
+TEXT_BYTES = 4 << 20
 #: Documents to a bucket of blocks.
 BUCKET_ROWS = 4096
 #: Bytes of text that a task looks at together, and rows that Spark hands over together.
@@ -139,9 +139,11 @@ def _to_blocks(most: int):
                 size += len(raw)
                 if size >= most:
                     yield block()
+                    give_back()
                     place, docs, texts, lengths, grams, words, tokens, size = place + 1, [], [], [], [], [], 0, 0
         if docs:
             yield block()
+        give_back()
 
     return run
 
@@ -255,6 +257,7 @@ def _by_contexts(grams: DataFrame, of: Callable[[np.ndarray, np.ndarray], pa.Rec
                 size += len(keys)
         if held:
             yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        give_back()
 
     dealt = grams.withColumn("c", F.shiftright("key", context)).repartition("c").sortWithinPartitions("key").select("key", "n")
     return dealt.mapInArrow(run, schema)
@@ -334,6 +337,7 @@ def _score(end_count: int):
                 out["n_tokens"].append(pa.array(found.counts + 1))
                 out["n_known"].append(pa.array(np.bincount(doc[c > 0], minlength=n) + (end_count > 0)))
                 out["log_sum"].append(pa.array(np.bincount(doc, np.log10(c + 0.1), n) + math.log10(end_count + 0.1)))
+        give_back()
         return pa.table({c: pa.chunked_array(x) for c, x in out.items()})
 
     return run

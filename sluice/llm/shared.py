@@ -7,6 +7,7 @@ nanoseconds and a Python object per word never exists.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,6 +74,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
     x = x ^ (x >> _U(30))
