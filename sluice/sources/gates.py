@@ -18,6 +18,10 @@ from sluice.storage import settings, through_table
 PREFIX = "The file is not processable: "
 
 
+#: Files that a sample may read as a whole.
+SMALL_BYTES = 1 << 20
+
+
 def _is_text(sample: bytes, cut: bool) -> bool:
     """Whether the bytes are UTF-8; a character that the end of a cut sample cuts is forgiven."""
     for less in range(4 if cut else 1):
@@ -40,13 +44,13 @@ def _first_bytes(sample_bytes: int, name: str) -> Callable[[Iterator[pa.RecordBa
                 continue
             if batch.column("block")[0].as_py():
                 return
-            path = batch.column("path")[0].as_py()
-            for value in batch.column("value"):
+            path, small = batch.column("path")[0].as_py(), batch.column("file_bytes")[0].as_py() <= SMALL_BYTES
+            for value in batch.column("value") if size <= sample_bytes else []:
                 head.append(value.as_py())
                 size += len(head[-1]) + 1
                 if size > sample_bytes:
                     break
-            if size > sample_bytes:
+            if size > sample_bytes and not small:
                 break
         if path is not None:
             whole = b"\n".join(head)
@@ -61,11 +65,12 @@ def sample_verdicts(spark: SparkSession, folder: str | list[str], sample_bytes:
     """path, has_nul, bad_utf8 of the first bytes of each file; ``wanted``: a condition on ``_metadata`` that files are picked by before any is opened.
 
     Every split is a task of its own, which stops reading as soon as it knows: behind
-    the first bytes of a file, and at once where its split isn't the file's first. Written as a table.
+    the first bytes of a file, and at once where its split isn't the file's first. A file of ``SMALL_BYTES`` at
+    most is read to its end instead, as a task that stops early costs its worker. Written as a table.
     """
     lines = spark.read.option("lineSep", "\n").text(folder, recursiveFileLookup=True)
     lines = lines if wanted is None else lines.where(wanted)
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_size").alias("file_bytes"))
     most = spark.conf.get("spark.sql.files.maxPartitionBytes")
     # no two splits share a task, and a batch is little more than what is asked for
     with settings(spark, {"spark.sql.files.openCostInBytes": most, "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
