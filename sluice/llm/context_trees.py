@@ -37,7 +37,6 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sluice.llm.shared import LOWER, blocks, bucketed, discard, give_back, small_batches, split_words, text_bounds, written
 from sluice.storage import settings
@@ -352,14 +351,14 @@ def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
         texts = bucketed(text_blocks(docs, text_bytes), "block", buckets)
     facts = texts.agg(F.sum("learn_tokens"), F.sum("learn_docs")).first()
     tokens, end_count = facts[0] or 0, facts[1] or 0
-    by_word = Window.partitionBy("key")
-    words = counted(texts, "words", "word_counts")
-    words = written(words.select("block", "key", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("once")), "words")
-    distinct_tokens = words.where("once and c > 0").count() + (end_count > 0)
-    of_blocks = counted(texts, "grams", "gram_counts")
-    grams = written(of_blocks.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    # words go the way of grams: summed by key, and the sums join the blocks that have the word
+    of_words, of_grams = counted(texts, "words", "word_counts"), counted(texts, "grams", "gram_counts")
+    words, grams = (written(x.groupBy("key").agg(F.sum("n").alias("n")), name) for x, name in ((of_words, "words"), (of_grams, "grams")))
+    distinct_tokens = words.where("n > 0").count() + (end_count > 0)
     values = written(gram_values(grams), "gram-values")
-    asked = of_blocks.join(values, "key").select("block", F.lit(0).alias("kind"), "key", "value").unionByName(words.select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
+    counts = words.select("key", F.col("n").cast("double").alias("value"))
+    asked = [x.join(y, "key").select("block", F.lit(kind).alias("kind"), "key", "value") for kind, (x, y) in enumerate(((of_grams, values), (of_words, counts)))]
+    asked = asked[0].unionByName(asked[1])
     sides = texts.select("block", "docs", "data", "bounds").groupBy("block"), asked.groupBy("block")
     found = written(sides[0].cogroup(sides[1]).applyInArrow(_score(end_count), SCORE_SCHEMA), "scores")
     discard(texts, words, grams, values)
