@@ -19,7 +19,7 @@ summed by key over all blocks. Trees are weighted per context of ``TOP`` bytes (
 the power of the other bytes of a gram, whatever the input); the nodes above them, 255 for each
 of 257 contexts at most, are gathered and broadcast. Each gram so gets its code length once,
 and the values go back to the blocks that asked for them, where each position of each text is
-added up. Nothing that grows with the corpus passes through the driver, and blocks are cut by
+added up; words and their counts went the same way before. Nothing that grows with the corpus passes through the driver, and blocks are cut by
 bytes, so neither a repeated document nor a frequent word makes a large one.
 
 Null text is empty: its end alone is scored. A null doc_id has no remainder: such rows are neither
@@ -56,7 +56,9 @@ HELD_OUT_OF = 10
 BLOCK_SCHEMA = (
     "block long, docs binary, data binary, bounds binary, learn_tokens long, learn_docs long, grams binary, gram_counts binary, words binary, word_counts binary"
 )
-SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, n_bytes long"
+#: By block and place in it: what the words of a document come to, and what its bytes do.
+WORD_SCHEMA = "block long, place long, n_tokens long, n_known long, log_sum double"
+SCORE_SCHEMA = "block long, place long, doc_id long, held_out boolean, score double, n_bytes long"
 #: A document of a block.
 DOC = np.dtype([("doc_id", np.int64), ("no_id", np.bool_), ("held_out", np.bool_), ("learn", np.bool_)])
 
@@ -312,36 +314,58 @@ def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndar
     return values[np.searchsorted(known, np.asarray(coded.dictionary))][coded.indices.to_numpy()]
 
 
-def _score(end_count: int):
+def _asked(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a block asked for, ascending, and their values."""
+    key, value = (asked.column(c).to_numpy() for c in ("key", "value"))
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _table(out: dict[str, list]) -> pa.Table:
+    give_back()
+    return pa.table({c: pa.chunked_array(x) for c, x in out.items()})
+
+
+def _buffers(texts: pa.Table, row: int, **kinds) -> list[np.ndarray]:
+    return [np.frombuffer(texts.column(c)[row].as_buffer(), kind) for c, kind in kinds.items()]
+
+
+def _word_sums(end_count: int):
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        kind, key, value = (asked.column(c).to_numpy() for c in ("kind", "key", "value"))
-        sides = []
-        for k in (0, 1):
-            own, of = key[kind == k], value[kind == k]
-            order = np.argsort(own)
-            sides.append((own[order], of[order]))
-        (grams, lengths), (words, counts) = sides
-        out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score", "n_bytes")}
+        words, counts = _asked(asked)
+        out: dict[str, list] = {x.split()[0]: [] for x in WORD_SCHEMA.split(", ")}
         for i in range(texts.num_rows):
-            docs, raw, bounds = (np.frombuffer(texts.column(c)[i].as_buffer(), kind) for c, kind in (("docs", DOC), ("data", np.uint8), ("bounds", np.int64)))
-            out["doc_id"].append(pa.array(docs["doc_id"], mask=docs["no_id"]))
-            out["held_out"].append(pa.array(docs["held_out"].copy()))
-            out["n_bytes"].append(pa.array(np.diff(bounds)))
-            for _, _, data, at in blocks(raw, bounds):
-                keys, ends = gram_keys(data, at)
-                out["score"].append(pa.array(np.add.reduceat(_look_up(keys, grams, lengths), ends[:-1])))
-                found = split_words(data, at)
-                doc, n = np.repeat(np.arange(len(at) - 1), found.counts), len(at) - 1
+            raw, bounds = _buffers(texts, i, data=np.uint8, bounds=np.int64)
+            for first, last, data, at in blocks(raw, bounds):
+                found, n = split_words(data, at), last - first
+                doc = np.repeat(np.arange(n), found.counts)
                 c = _look_up(found.hashes.view(np.int64), words, counts)
+                out["block"].append(pa.array(np.full(n, texts.column("block")[i].as_py())))
+                out["place"].append(pa.array(np.arange(first, last)))
                 out["n_tokens"].append(pa.array(found.counts + 1))
                 out["n_known"].append(pa.array(np.bincount(doc[c > 0], minlength=n) + (end_count > 0)))
                 out["log_sum"].append(pa.array(np.bincount(doc, np.log10(c + 0.1), n) + math.log10(end_count + 0.1)))
-        give_back()
-        return pa.table({c: pa.chunked_array(x) for c, x in out.items()})
+        return _table(out)
 
     return run
 
 
+def _scores(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    grams, lengths = _asked(asked)
+    out: dict[str, list] = {x.split()[0]: [] for x in SCORE_SCHEMA.split(", ")}
+    for i in range(texts.num_rows):
+        docs, raw, bounds = _buffers(texts, i, docs=DOC, data=np.uint8, bounds=np.int64)
+        out["block"].append(pa.array(np.full(len(docs), texts.column("block")[i].as_py())))
+        out["place"].append(pa.array(np.arange(len(docs))))
+        out["doc_id"].append(pa.array(docs["doc_id"], mask=docs["no_id"]))
+        out["held_out"].append(pa.array(docs["held_out"].copy()))
+        out["n_bytes"].append(pa.array(np.diff(bounds)))
+        for _, _, data, at in blocks(raw, bounds):
+            keys, ends = gram_keys(data, at)
+            out["score"].append(pa.array(np.add.reduceat(_look_up(keys, grams, lengths), ends[:-1])))
+    return _table(out)
+
+
 def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -351,17 +375,28 @@ def scored(docs: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
         texts = bucketed(text_blocks(docs, text_bytes), "block", buckets)
     facts = texts.agg(F.sum("learn_tokens"), F.sum("learn_docs")).first()
     tokens, end_count = facts[0] or 0, facts[1] or 0
-    # words go the way of grams: summed by key, and the sums join the blocks that have the word
-    of_words, of_grams = counted(texts, "words", "word_counts"), counted(texts, "grams", "gram_counts")
-    words, grams = (written(x.groupBy("key").agg(F.sum("n").alias("n")), name) for x, name in ((of_words, "words"), (of_grams, "grams")))
+    def summed(rows: DataFrame, name: str) -> DataFrame:
+        return written(rows.groupBy("key").agg(F.sum("n").alias("n")), name)
+
+    def asked(rows: DataFrame, values: DataFrame, columns: list[str], of: Callable[[pa.Table, pa.Table], pa.Table], schema: str, name: str) -> DataFrame:
+        """``of`` applied to each block and the values (key, value) of its keys."""
+        sides = texts.select("block", *columns).groupBy("block"), rows.join(values, "key").select("block", "key", "value").groupBy("block")
+        return written(sides[0].cogroup(sides[1]).applyInArrow(of, schema), name)
+
+    # first the words and then the grams, so that only one of the two is between tasks at a time
+    of_words = counted(texts, "words", "word_counts")
+    words = summed(of_words, "words")
     distinct_tokens = words.where("n > 0").count() + (end_count > 0)
-    values = written(gram_values(grams), "gram-values")
     counts = words.select("key", F.col("n").cast("double").alias("value"))
-    asked = [x.join(y, "key").select("block", F.lit(kind).alias("kind"), "key", "value") for kind, (x, y) in enumerate(((of_grams, values), (of_words, counts)))]
-    asked = asked[0].unionByName(asked[1])
-    sides = texts.select("block", "docs", "data", "bounds").groupBy("block"), asked.groupBy("block")
-    found = written(sides[0].cogroup(sides[1]).applyInArrow(_score(end_count), SCORE_SCHEMA), "scores")
-    discard(texts, words, grams, values)
+    sums = asked(of_words, counts, ["data", "bounds"], _word_sums(end_count), WORD_SCHEMA, "word-sums")
+    discard(words)
+    of_grams = counted(texts, "grams", "gram_counts")
+    grams = summed(of_grams, "grams")
+    values = written(gram_values(grams), "gram-values")
+    scores = asked(of_grams, values, ["docs", "data", "bounds"], _scores, SCORE_SCHEMA, "scores")
+    discard(texts, grams, values)
+    found = written(scores.join(sums, ["block", "place"]), "found")
+    discard(scores, sums)
     base = F.col("log_sum") - F.col("n_tokens") * math.log10(tokens + 0.1 * (distinct_tokens + 1))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
 
