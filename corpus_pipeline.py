@@ -8,6 +8,7 @@ read again as the next stage's documents. All but the last return the columns of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from sluice.llm.lines import dedup_lines
 from sluice.llm.mixing import materialised, mixed, sized
 from sluice.llm.packing import pack
 from sluice.llm.quality_rules import judged
-from sluice.llm.shared import written
+from sluice.llm.shared import discard, written
+from sluice.storage import settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -78,8 +80,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the table documents."""
+    """The result of all stages over the table documents. What stages write on their way, and a stage's documents after it, are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for place, (name, stage) in enumerate(STAGES):
+        kept = settled(spark, partial(stage, spark, docs, sf_dir), name)
+        if place:
+            discard(docs)
+        docs = kept
     return docs

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own removal of an execution's shuffle files at its end.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Folders handed out inside ``settled``.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one in local mode, an error on a cluster."""
@@ -22,7 +26,10 @@ def work_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    folder, noted = f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}", _FOLDERS.get()
+    if noted is not None:
+        noted.append(folder)
+    return folder
 
 
 @contextmanager
@@ -50,3 +57,28 @@ def through_table(df: DataFrame, name: str = "table") -> DataFrame:
     with no_leftovers(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of any store that Spark writes to; one that isn't there is no error."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """``make()`` as a written table; all tables that steps wrote on the way to it are deleted, if it fails as well.
+
+    Calls may stand inside one another: the table of an inner one is a step of the outer one.
+    """
+    outer, own = _FOLDERS.get(), []
+    inside, kept = _FOLDERS.set(own), []
+    try:
+        out = through_table(make(), name)
+        kept = [own.pop()]
+    finally:
+        _FOLDERS.reset(inside)
+        delete(spark, *own)
+        if outer is not None:
+            outer.extend(kept)
+    return out

@@ -1,6 +1,7 @@
 import csv
 import io
 import json
+import os
 import random
 import re
 from types import SimpleNamespace
@@ -21,7 +22,7 @@ from sluice.sources import gates, keyed_files, records
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
 from sluice.sources.sinks import rejected_records, write_ordered
-from sluice.storage import through_table, work_folder
+from sluice.storage import settled, through_table, work_folder
 
 CELL = st.text(st.sampled_from('ab ,"\n\té😀;\''), max_size=6)
 
@@ -502,3 +503,27 @@ def test_the_drivers_part_does_not_grow_with_the_keys(spark, tmp_path, monkeypat
     assert done["files"] == 3000 == len(list((tmp_path / "many").iterdir())) and len(done["parts"]) == 3 and seen[0] < 400
     keyed_files.remove_others(lines.where("key < 'many/2'").select("key"), f"file://{tmp_path}")
     assert {p.name for p in (tmp_path / "many").iterdir()} == {f"{k}.csv" for k in range(3000) if f"many/{k}.csv" < "many/2"}
+
+
+def test_only_the_result_of_steps_stays(spark):
+    base = work_folder(spark).rpartition("/")[0].removeprefix("file:")
+    before = set(os.listdir(base))
+
+    def one():
+        return through_table(through_table(spark.range(10)).where("id > 2"))
+
+    def two():
+        return settled(spark, one).where("id > 5")
+
+    out = settled(spark, two)
+    assert sorted(r["id"] for r in out.collect()) == [6, 7, 8, 9] and len(set(os.listdir(base)) - before) == 1
+
+    def fails():
+        one()
+        raise ValueError("late")
+
+    with pytest.raises(ValueError, match="late"):
+        settled(spark, fails)
+    assert len(set(os.listdir(base)) - before) == 1
+    out = through_table(spark.range(3))  # outside, tables stay
+    assert out.count() == 3 and len(set(os.listdir(base)) - before) == 2
