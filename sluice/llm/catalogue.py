@@ -1,8 +1,7 @@
-"""The queries of this subpackage, and their SQL where SQL can express them."""
+"""The queries of this subpackage but for the pipeline, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from sluice.llm import centroids, context_trees, embeddings_classifier, hnsw, jaccard, licenses, lines, mixing, packing, prefix_trie, quality_rules, sharding, warc
 
 QUERIES = {
@@ -19,7 +18,6 @@ QUERIES = {
     "op11_heap_clusters": centroids.query,
     "op12_context_trees": context_trees.query,
     "op13_prefix_trie": prefix_trie.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

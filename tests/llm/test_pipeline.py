@@ -1,3 +1,4 @@
+import os
 import re
 
 import public_tokenizers
@@ -7,8 +8,10 @@ from test_jaccard import brute as all_pairs
 from test_lines import brute as plain_lines
 from test_tables import plain_targets
 
+import __spark_entry__
 import corpus_pipeline
 from sluice.llm.catalogue import ORACLES, QUERIES
+from sluice.llm.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,16 +92,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
 
 def test_run(spark):
+    base = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
     assert corpus_pipeline.run(spark, SF).count() > 50 and corpus_pipeline.ORACLE_SQL is None
+    left = [f"{base}/{x}" for x in set(os.listdir(base)) - before]
+    assert [x for x in left if any(files for _, _, files in os.walk(x))] == [x for x in left if os.path.isdir(f"{x}/packing")]
 
 
 def test_catalogue():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"} and set(ORACLES) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
-    import os
     import sys
 
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
