@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.graph import components
 from sluice.llm.shared import LOWER, blocks, mix, shingle_sets, split_words, text_bounds, written
+from sluice.storage import settled
 
 SIMILARITY_PERCENT = 80
 #: Bytes of text in one group of documents, tokens in one token range.
@@ -397,7 +398,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return settled(spark, lambda: near_duplicates(docs))
 
 
 ORACLE = r"""
