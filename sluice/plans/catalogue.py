@@ -638,10 +638,12 @@ def customers_kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, none = ["bulk_import_id", "sequence"], F.lit(None).cast("long")
     begun = orders.select(*key, F.lit("pending").alias("status"), none.alias("valid_rows"), none.alias("invalid_rows"), F.lit(1).alias("version"))
     ended = orders.where("f").select(*key, F.lit("completed").alias("status"), F.col("v").alias("valid_rows"), (F.col("v") % 3).alias("invalid_rows"), F.lit(2).alias("version"))
-    for part in (begun, ended):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     kept = KeptCounts(f"{folder}/kept")
-    counts_stream(table_stream(spark, f"{folder}/in", files_per_trigger=1), kept, f"{folder}/checkpoint").awaitTermination()
+    for part in (begun, ended):
+        part.write.mode("append").parquet(f"{folder}/in")
+        with settings(spark, STORE):
+            stream = counts_stream(table_stream(spark, f"{folder}/in"), kept, f"{folder}/checkpoint")
+        stream.awaitTermination()
     return kept.of_imports(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 

@@ -1,9 +1,9 @@
 """Chunk counts and row sums per import, kept up by what changes.
 
 A chunk's state changes; the change takes back what the chunk counted for before and adds what it counts for
-now. The state before is keyed state (one row per chunk), so what goes on is a difference; differences are summed per
-import in each batch and become the batch's segment of the kept table. A reader sums the segments, and
-merging them keeps these few. No change ever reads the chunks or the imports that it isn't about.
+now. The state before is keyed state (chunks by hash bucket, so a change reads its own bucket alone), and what goes on is a
+difference; differences are summed per import in each batch and become the batch's segment of the kept
+table. A reader sums the segments, and merging them keeps these few.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sluice.functions.status import CHUNK_TERMINAL
+from sluice.streaming.buckets import BUCKETS, bucket_of, packed, unpacked
 from sluice.streaming.segments import Segments
 
 #: What an import's chunks are summed up to.
@@ -26,28 +28,40 @@ SUMS = ("chunks_total", "chunks_finished", "valid_rows", "rejected_rows")
 MOST_SEGMENTS = 16
 
 
+#: A chunk's state: its last version, and what it counts for.
+CHUNKS = pa.schema([("id", pa.string()), ("sequence", pa.string()), *((c, pa.int64()) for c in ("version", *SUMS[1:]))])
+
+
 def _difference(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What the changes of a chunk add to its import's sums; changes older than the last one have no effect."""
-    known = state.exists
-    before = now = tuple(state.get) if known else (-1, 0, 0, 0)
-    for rows in frames:
-        rows = rows.sort_values("version", kind="stable")
-        version, status, valid, invalid = (rows[c].iloc[-1] for c in ("version", "status", "valid", "invalid"))
-        if int(version) >= now[0]:
-            now = (int(version), int(status in CHUNK_TERMINAL), 0 if pd.isna(valid) else int(valid), 0 if pd.isna(invalid) else int(invalid))
-    if now != before:
-        state.update(now)
-        yield pd.DataFrame({"bulk_import_id": [key[0]], SUMS[0]: [int(not known)]} | {c: [n - m] for c, n, m in zip(SUMS[1:], now[1:], before[1:], strict=True)})
-
-
-def differences(changes: DataFrame) -> DataFrame:
+    """What the changes of a bucket's chunks add to their imports' sums; changes older than a chunk's last one have no effect."""
+    names = CHUNKS.names
+    before = pd.DataFrame(dict(zip(names, unpacked(CHUNKS, state.get[0] if state.exists else None), strict=True)), columns=names)
+    rows = pd.concat([f[names] for f in frames], ignore_index=True).astype({c: "int64" for c in names[2:]})
+    both = pd.concat([before, rows[rows["version"] >= 0]], ignore_index=True)
+    now = both.sort_values("version", kind="stable").drop_duplicates(names[:2], keep="last")
+    state.update((packed(CHUNKS, *(now[c] for c in names)),))
+    signed = pd.concat([now.assign(n=1), before.assign(n=-1)], ignore_index=True)
+    signed = signed[["id", "n"]].join(signed[names[3:]].mul(signed["n"], axis=0)).groupby("id", dropna=False, sort=False).sum().reset_index()
+    signed = signed[(signed[["n", *names[3:]]] != 0).any(axis=1)]
+    if len(signed):
+        yield signed.set_axis(["id", *SUMS], axis=1).astype({"id": object})
+
+
+def differences(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bulk_import_id and differences of ``SUMS``, for a stream of chunk states (bulk_import_id, sequence, status, valid_rows, invalid_rows, version).
 
-    Versions are whole numbers from 0; of equal ones the last that arrives holds. A null sum counts 0.
+    Versions are whole numbers from 0; of equal ones the last that arrives holds. A null sum counts 0. The state is kept by bucket of chunks
+    (see ``buckets``), so the chunks of one import fall into many.
     """
-    rows = changes.select("bulk_import_id", "sequence", "status", F.col("valid_rows").alias("valid"), F.col("invalid_rows").alias("invalid"), F.col("version").cast("long").alias("version"))
-    out = StructType([changes.schema["bulk_import_id"], *(StructField(c, LongType()) for c in SUMS)])
-    return rows.groupBy("bulk_import_id", "sequence").applyInPandasWithState(_difference, out, "version long, finished long, valid long, invalid long", "append", GroupStateTimeout.NoTimeout)
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    finished = F.coalesce(F.col("status").isin(*CHUNK_TERMINAL), F.lit(False)).cast("long")
+    rows = changes.select(
+        bucket_of(F.col("bulk_import_id"), F.col("sequence"), buckets=buckets), F.col("bulk_import_id").cast("string").alias("id"), F.col("sequence").cast("string").alias("sequence"),
+        F.col("version").cast("long").alias("version"), finished.alias(SUMS[1]), whole("valid_rows").alias(SUMS[2]), whole("invalid_rows").alias(SUMS[3]),
+    )
+    out = StructType([StructField("id", StringType()), *(StructField(c, LongType()) for c in SUMS)])
+    told = rows.groupBy("bucket").applyInPandasWithState(_difference, out, "chunks binary", "append", GroupStateTimeout.NoTimeout)
+    return told.select(F.col("id").cast(changes.schema["bulk_import_id"].dataType).alias("bulk_import_id"), *SUMS)
 
 
 class KeptCounts:
