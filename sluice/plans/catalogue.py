@@ -612,15 +612,19 @@ t as (select l_orderkey, cast(count(*) as bigint) as chunks from k group by 1 ha
 select o_orderkey as bulk_import_id, chunks from (select *, {ORDER_STATUS_SQL} as status from orders) join t on o_orderkey = l_orderkey where status = 'validating'
 """)
 def orders_guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a stream of import states beside their lines as one of chunk states: a request for those that are validating and all of whose lines are finished."""
+    """Orders as a stream of import states beside their lines as one of chunk states, both in two lots: a request for those that are validating and all of whose lines are finished."""
     folder = work_folder(spark)
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.bool_or(F.col("l_linestatus") == "F").alias("f"))
     total = F.count("*").over(Window.partitionBy("l_orderkey"))
     chunks = lines.select(F.col("l_orderkey").alias("bulk_import_id"), F.col("l_linenumber").alias("sequence"), F.when(F.col("f"), "completed").otherwise("processing").alias("status"), total.alias("total"))
-    chunks.repartition(4, "sequence").write.parquet(f"{folder}/chunks")
-    order_imports(spark, sf_dir).select("id", "status", F.lit(None).cast("long").alias("total")).repartition(4).write.parquet(f"{folder}/imports")
-    told, done = (table_stream(spark, f"{folder}/{name}", files_per_trigger=2) for name in ("imports", "chunks"))
-    return _drained(guarded_barrier(told, done), folder)
+    imports = order_imports(spark, sf_dir).select("id", "status", F.lit(None).cast("long").alias("total"))
+    chunks = through_table(chunks)
+    for lot in range(2):
+        chunks.where(F.pmod("sequence", F.lit(2)) == lot).write.mode("append").parquet(f"{folder}/chunks")
+        imports.where(F.pmod(F.xxhash64("id"), F.lit(2)) == lot).write.mode("append").parquet(f"{folder}/imports")
+        told, done = (table_stream(spark, f"{folder}/{name}") for name in ("imports", "chunks"))
+        out = _drained(guarded_barrier(told, done), folder)
+    return out
 
 
 @query("""

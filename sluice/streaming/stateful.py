@@ -1,6 +1,6 @@
 """Status changes and the completion barrier as keyed state, whatever order things arrive in.
 
-Both keep their state per import with ``transformWithStateInPandas`` (the state store is RocksDB): it
+Both keep their state per key or by bucket of keys with ``transformWithStateInPandas`` (the state store is RocksDB): it
 is on disk, saved with each batch, and a restart goes on where the last batch ended.
 """
 
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from sluice.functions.status import CHUNK_TERMINAL, IMPORT_MOVES
+from sluice.functions.status import IMPORT_MOVES
+from sluice.streaming.barrier import STATE, Imports, chunk_rows
+from sluice.streaming.buckets import BUCKETS, bucket_of
 
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -104,57 +106,47 @@ def lifecycle_stream(
 class Barrier(StatefulProcessor):
     """One request per import, once it is validating and all its chunks are finished, whichever comes first.
 
-    State: the import's status and number of chunks, the sequences that are finished, and whether the request is out.
+    State, by bucket of imports: each import's status and number of chunks, the sequences that are finished, and whether the request is out.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "status string, total long, sent boolean")
-        self.finished = handle.getMapState("finished", "sequence long", "status string")
+        self.held = handle.getValueState("imports", STATE)
 
-    def _ready(self, status: str | None, total: int | None, sent: bool) -> bool:
-        return not sent and status == "validating" and bool(total) and sum(1 for _ in self.finished.keys()) >= total
+    def _imports(self) -> Imports:
+        return Imports(self.held.get() if self.held.exists() else None)
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        row = initialState.iloc[0]
-        total = None if pd.isna(row["total"]) else int(row["total"])
-        for s in row["finished"] if row["finished"] is not None else []:
-            self.finished.updateValue((int(s),), ("completed",))
-        self.known.update((row["status"], total, bool(row["sent"])))
+        imports = self._imports()
+        imports.begin(*(initialState[c] for c in ("key", "status", "total", "sent", "finished")))
+        self.held.update(imports.state())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, total, sent = self.known.get() if self.known.exists() else (None, None, False)
-        for frame in rows:
-            for kind, now, n, sequence in zip(frame["kind"], frame["status"], frame["total"], frame["sequence"], strict=True):
-                if kind == "import":
-                    # a status that comes late doesn't take the import back
-                    status = now if status is None or ORDER.get(now, -1) >= ORDER.get(status, -1) else status
-                elif now in CHUNK_TERMINAL and not pd.isna(sequence):
-                    self.finished.updateValue((int(sequence),), (now,))
-                if not pd.isna(n):
-                    total = max(total or 0, int(n))
-        ready = self._ready(status, total, sent)
-        self.known.update((status, total, sent or ready))
-        if ready:
-            self.finished.clear()
-            yield pd.DataFrame({"key": [key[0]], "chunks": [total]})
+        imports = self._imports()
+        found = [imports.add(frame, guarded=True) for frame in rows]
+        self.held.update(imports.state())
+        for keys, totals in found:
+            if len(keys):
+                yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "chunks": totals})
 
     def close(self) -> None:
         pass
 
 
-#: How far an import has come by its status.
-ORDER = {"awaiting_upload": 0, "queued": 1, "parsing": 2, "validating": 3, "assembling": 4, "completed": 5, "completed_with_errors": 5, "failed": 5}
-
-
-def guarded_barrier(imports: DataFrame, chunks: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def guarded_barrier(imports: DataFrame, chunks: DataFrame, state: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """bulk_import_id, chunks: a request for each import that is validating once all its chunks are finished.
 
     imports: a stream of id, status, total (how many chunks it has; may be null); chunks: a stream of bulk_import_id,
     sequence, status, total. state: where a new stream begins (bulk_import_id, status, total, finished: sequences, sent), null without one.
     """
-    kind = chunks.schema["bulk_import_id"].dataType
-    told = imports.select(F.col("id").cast(kind).alias("key"), F.lit("import").alias("kind"), "status", F.col("total").cast("long").alias("total"), F.lit(None).cast("long").alias("sequence"))
-    done = chunks.select(F.col("bulk_import_id").alias("key"), F.lit("chunk").alias("kind"), "status", F.col("total").cast("long").alias("total"), F.col("sequence").cast("long").alias("sequence"))
-    out = StructType([StructField("key", kind), StructField("chunks", LongType())])
-    begin = None if state is None else state.select(F.col("bulk_import_id").cast(kind).alias("key"), "status", F.col("total").cast("long").alias("total"), "finished", "sent").groupBy("key")
-    return told.unionByName(done).groupBy("key").transformWithStateInPandas(Barrier(), out, "Append", "None", begin).withColumnRenamed("key", "bulk_import_id")
+    kind, bucket = chunks.schema["bulk_import_id"].dataType, bucket_of(F.col("key"), buckets=buckets)
+    told = imports.select(
+        F.col("id").cast(kind).cast("string").alias("key"), F.lit(True).alias("told"), "status", F.coalesce(F.col("total").cast("long"), F.lit(0)).alias("total"), F.lit(0).cast("long").alias("sequence"), F.lit(False).alias("done")
+    )
+    rows = told.unionByName(chunk_rows(chunks)).withColumn("bucket", bucket)
+    begin = None
+    if state is not None:
+        begun = state.select(F.col("bulk_import_id").cast(kind).cast("string").alias("key"), "status", F.col("total").cast("long").alias("total"), F.col("finished").cast("array<long>").alias("finished"), "sent")
+        begin = begun.withColumn("bucket", bucket).groupBy("bucket")
+    out = StructType([StructField("key", StringType()), StructField("chunks", LongType())])
+    sent = rows.groupBy("bucket").transformWithStateInPandas(Barrier(), out, "Append", "None", begin)
+    return sent.select(F.col("key").cast(kind).alias("bulk_import_id"), "chunks")
