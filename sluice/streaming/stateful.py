@@ -1,6 +1,6 @@
 """Status changes and the completion barrier as keyed state, whatever order things arrive in.
 
-Both keep their state per key or by bucket of keys with ``transformWithStateInPandas`` (the state store is RocksDB): it
+Both keep their state by bucket of keys with ``transformWithStateInPandas`` (the state store is RocksDB): it
 is on disk, saved with each batch, and a restart goes on where the last batch ended.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,7 +19,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from sluice.functions.status import IMPORT_MOVES
 from sluice.streaming.barrier import STATE, Imports, chunk_rows
-from sluice.streaming.buckets import BUCKETS, bucket_of
+from sluice.streaming.buckets import BUCKETS, bucket_of, numbered, packed, unpacked, widened
 
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -28,12 +30,18 @@ def with_keyed_state(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+#: A key: the status that its settled changes led to, and how many rows it has had.
+SETTLED = pa.schema([("key", pa.string()), ("status", pa.string()), ("version", pa.int64())])
+#: A change that the watermark hasn't passed: the place of its key among the settled ones, time, tie, and status it leads to.
+EARLY = pa.schema([("of", pa.int64()), ("at", pa.int64()), ("tie", pa.int64()), ("to", pa.string())])
+
+
 class Changes(StatefulProcessor):
-    """Folds the changes of a key in the order of their time, as far as the watermark has come, and beyond it provisionally.
+    """Folds the changes of keys in the order of their time, as far as the watermark has come, and beyond it provisionally.
 
-    State: the status that settled changes led to, and the early ones, which the watermark hasn't passed. A
-    timer per early time settles it; what is settled is forgotten, so the state has no more
-    changes than come within the watermark's delay.
+    State, by bucket of keys: the status that settled changes led to, and the early ones, which the watermark hasn't passed. One
+    timer per bucket, at its earliest change, settles all that the watermark has passed by then; what is settled is forgotten, so
+    the state has no more changes than come within the watermark's delay.
     """
 
     def __init__(self, initial: str, moves: dict[str, tuple[str, ...]]) -> None:
@@ -41,48 +49,60 @@ class Changes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "status string, version long")
-        self.early = handle.getListState("early", "at long, tie long, to string")
-
-    def _fold(self, status: str, changes: list[tuple]) -> str:
-        for *_, to in changes:
-            if to is not None and status in self.moves.get(to, ()):
-                status = to
-        return status
-
-    def _result(self, key: Any, status: str, version: int, early: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "status": [self._fold(status, early)], "settled": [not early], "version": [version]})
-
-    def _now(self) -> tuple[str, int, list[tuple]]:
-        status, version = self.settled.get() if self.settled.exists() else (self.initial, 0)
-        early = [tuple(x) for x in self.early.get()] if self.early.exists() else []
-        return status, version, early
+        self.held = handle.getValueState("changes", "settled binary, early binary, timer long")
+
+    def _now(self) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+        settled, early, timer = self.held.get() if self.held.exists() else (None, None, 0)
+        return unpacked(SETTLED, settled), unpacked(EARLY, early), timer
+
+    def _fold(self, status: np.ndarray, early: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+        """Where these changes lead each key to; they are in order."""
+        now = status.copy()
+        for k, to in zip(early[0][which].tolist(), early[3][which], strict=True):
+            if now[k] in self.moves.get(to, ()):
+                now[k] = to
+        return now
+
+    def _keep(self, settled: list[np.ndarray], early: list[np.ndarray], timer: int, passed: bool = False) -> None:
+        """Puts the state back and sees to the timer; ``passed``: it has just gone off."""
+        due = int(early[1].min()) // 1000 + 1 if len(early[1]) else 0
+        if due != timer or passed:
+            if timer and not passed:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        self.held.update((packed(SETTLED, *settled), packed(EARLY, *early), due))
+
+    def _results(self, keys: np.ndarray, now: np.ndarray, early: list[np.ndarray], version: np.ndarray, which: np.ndarray) -> pd.DataFrame:
+        open_ = np.bincount(early[0], minlength=len(keys)) > 0
+        return pd.DataFrame({"key": pd.Series(keys[which], dtype=object), "status": now[which], "settled": ~open_[which], "version": version[which]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, version, early = self._now()
-        for frame in rows:
-            for at, tie, to in zip(frame["at"], frame["tie"], frame["to"], strict=True):
-                early.append((int(at), int(tie), to))
-        early.sort(key=lambda x: x[:2])
-        self.early.put(early)
-        for at in {x[0] // 1000 for x in early}:
-            self.handle.registerTimer(at + 1)
-        self.settled.update((status, version + 1))
-        yield self._result(key, status, version + 1, early)
+        (keys, status, version), early, timer = self._now()
+        new = pd.concat(list(rows), ignore_index=True)
+        of, keys = numbered(keys, new["key"])
+        n = len(keys)
+        status, version = widened(status, n, self.initial), widened(version, n, 0)
+        own = (of, new["at"].to_numpy().astype(np.int64), new["tie"].to_numpy().astype(np.int64), new["to"].to_numpy(dtype=object))
+        early = [np.concatenate(x) for x in zip(early, own, strict=True)]
+        order = np.lexsort((early[2], early[1], early[0]))
+        early = [x[order] for x in early]
+        met = np.zeros(n, dtype=bool)
+        met[of] = True
+        version = version + met
+        self._keep([keys, status, version], early, timer)
+        yield self._results(keys, self._fold(status, early, met[early[0]]), early, version, np.flatnonzero(met))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        status, version, early = self._now()
-        passed = [x for x in early if x[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs()]
-        if not passed:
-            return
-        left = early[len(passed) :]
-        status = self._fold(status, passed)
-        if left:
-            self.early.put(left)
-        else:
-            self.early.clear()
-        self.settled.update((status, version + 1))
-        yield self._result(key, status, version + 1, left)
+        (keys, status, version), early, timer = self._now()
+        passed = early[1] // 1000 < timerValues.getCurrentWatermarkInMs()
+        met = np.zeros(len(keys), dtype=bool)
+        met[early[0][passed]] = True
+        status, version = self._fold(status, early, passed), version + met
+        early = [x[~passed] for x in early]
+        self._keep([keys, status, version], early, timer, passed=expiredTimerInfo.getExpiryTimeInMs() == timer)
+        if met.any():
+            yield self._results(keys, self._fold(status, early, met[early[0]]), early, version, np.flatnonzero(met))
 
     def close(self) -> None:
         pass
@@ -90,17 +110,19 @@ class Changes(StatefulProcessor):
 
 def lifecycle_stream(
     changes: DataFrame, key: str, time: str, tie: str, to: str, delay: str, initial: str = "queued", moves: dict[str, tuple[str, ...]] = IMPORT_MOVES,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """key, status, settled, version: after each batch, the status that all changes seen so far lead to in the order of
     ``time`` and ``tie``; of a key the row with the highest version holds.
 
     Changes may be late by ``delay``; those that are later are dropped. A settled row can't be changed any more.
     """
-    kind = changes.schema[key].dataType
-    rows = changes.select(F.col(key).alias("key"), F.col(time).alias("time"), F.unix_micros(F.col(time)).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(to).alias("to"))
-    out = StructType([StructField("key", kind), StructField("status", StringType()), StructField("settled", BooleanType()), StructField("version", LongType())])
-    grouped = rows.withWatermark("time", delay).groupBy("key")
-    return grouped.transformWithStateInPandas(Changes(initial, moves), out, "Append", "EventTime").withColumnRenamed("key", key)
+    rows = changes.select(
+        F.col(key).cast("string").alias("key"), F.col(time).alias("time"), F.unix_micros(F.col(time)).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(to).alias("to")
+    ).withColumn("bucket", bucket_of(F.col("key"), buckets=buckets))
+    out = StructType([StructField("key", StringType()), StructField("status", StringType()), StructField("settled", BooleanType()), StructField("version", LongType())])
+    told = rows.withWatermark("time", delay).groupBy("bucket").transformWithStateInPandas(Changes(initial, moves), out, "Append", "EventTime")
+    return told.select(F.col("key").cast(changes.schema[key].dataType).alias(key), "status", "settled", "version")
 
 
 class Barrier(StatefulProcessor):

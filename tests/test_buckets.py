@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions.status import IMPORT_MOVES
+from sluice.operators import lifecycle
 from sluice.storage import settings
 from sluice.streaming import barrier, counts, stateful
 from sluice.streaming.arrivals import table_stream
@@ -64,3 +66,28 @@ def test_differences_keep_a_row_of_state_a_bucket(spark, tmp_path):
     found = spark.read.parquet(f"file://{tmp_path}/out").groupBy("bulk_import_id").agg(*(F.sum(c) for c in counts.SUMS)).collect()
     assert {r[0]: list(r[1:]) for r in found} == want
     assert kept <= BUCKETS
+
+
+def test_changes_keep_a_row_of_state_a_bucket(spark, tmp_path):
+    draw = random.Random(7)
+    rows = [(draw.choice([None, *range(40)]), f"2026-01-01 {i // 60:02}:{i % 60:02}:00", i, draw.choice([*IMPORT_MOVES, None])) for i in range(400)]
+    rows = [(k if k != 39 else 2**62 + 1, *r) for k, *r in rows]
+    changes = spark.createDataFrame(rows, "id long, at string, tie long, to string").withColumn("at", F.to_timestamp("at"))
+    want = {r["id"]: r["status"] for r in lifecycle.fold(changes, "id", ["at", "tie"], "to", "queued", IMPORT_MOVES).collect()}
+    late = spark.createDataFrame([(1, "2026-02-01 00:00:00", 0, None)], "id long, at string, tie long, to string").withColumn("at", F.to_timestamp("at"))
+    kept = []
+    for part in (changes.where("tie % 2 = 0"), changes.where("tie % 2 = 1"), late, None):
+        if part is not None:
+            part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = stateful.lifecycle_stream(table_stream(spark, f"file://{tmp_path}/in"), "id", "at", "tie", "to", "1 day", buckets=BUCKETS)
+        with settings(spark, stateful.STORE):
+            query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    found = spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/out")
+    assert {r["id"]: r["status"] for r in found.groupBy("id").agg(F.max_by("status", "version").alias("status")).collect()} == want
+    # all but the change that comes last are settled, each key once
+    settled = found.where("settled").groupBy("id").count().collect()
+    assert {r["id"] for r in settled} == set(want) - {1} and {r["count"] for r in settled} == {1}
+    assert found.groupBy("id", "version").count().where("count > 1").isEmpty()
+    assert max(kept) <= 3 * BUCKETS  # state, timer and the timer by time
