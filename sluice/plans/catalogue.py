@@ -776,11 +776,13 @@ with e as (select event_id, event_id % 7 = 0 as bad, event_type = 'error' as fai
 select event_id, case when bad then 'rejected' when failed then 'retry' else 'handled' end as sink, cast(case when bad or not failed then 1 else 2 end as int) as next_attempt from e
 """)
 def events_handled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes as a stream, given to a handler that fails on one kind of event, and what went to each sink."""
+    """Envelopes in two lots of a stream, given to a handler that fails on one kind of event, and what went to each sink."""
     folder = work_folder(spark)
-    event_bodies(spark, sf_dir).write.parquet(f"{folder}/in")
+    bodies = event_bodies(spark, sf_dir)
     fails = lambda batch: batch.withColumn("error", F.when(F.col("event_type") == "error", "event failed"))
-    deliver_stream(table_stream(spark, f"{folder}/in", files_per_trigger=2), fails, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    for lot in range(2):
+        bodies.where(F.pmod("event_id", F.lit(2)) == lot).write.mode("append").parquet(f"{folder}/in")
+        deliver_stream(table_stream(spark, f"{folder}/in"), fails, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     sinks = [spark.read.parquet(f"{folder}/out/{name}").select("event_id", F.lit(name).alias("sink"), "next_attempt") for name in ("handled", "retry", "rejected")]
     return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.status import IMPORT_MOVES
 from sluice.operators import lifecycle
+from sluice.plans import catalogue
 from sluice.storage import settings
 from sluice.streaming import barrier, counts, stateful
 from sluice.streaming.arrivals import table_stream
@@ -91,3 +92,12 @@ def test_changes_keep_a_row_of_state_a_bucket(spark, tmp_path):
     assert {r["id"] for r in settled} == set(want) - {1} and {r["count"] for r in settled} == {1}
     assert found.groupBy("id", "version").count().where("count > 1").isEmpty()
     assert max(kept) <= 3 * BUCKETS  # state, timer and the timer by time
+
+
+def test_envelopes_come_in_as_many_batches_whatever_the_number_of_files(spark, tmp_path, monkeypatch):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(12).write.parquet(f"file://{tmp_path}/events.parquet")
+    started, start = [], catalogue.deliver_stream
+    monkeypatch.setattr(catalogue, "deliver_stream", lambda *x: started.append(start(*x)) or started[-1])
+    rows = catalogue.events_handled_stream(spark, f"file://{tmp_path}").count()
+    assert rows == spark.read.parquet(f"file://{tmp_path}/events.parquet").count()
+    assert sum(p["numInputRows"] > 0 for q in started for p in q.recentProgress) == 2
