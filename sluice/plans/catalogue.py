@@ -17,7 +17,7 @@ from sluice.operators.search_index import NameIndex, last_place
 from sluice.plans.bulk_import import Imported, bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
-from sluice.storage import settings, through_table, work_folder
+from sluice.storage import settings, short_listing, through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
 from sluice.streaming.counts import KeptCounts, counts_stream
@@ -283,7 +283,8 @@ def _as_files(rows: DataFrame, header: list[str], folder: str) -> DataFrame:
     heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), c.join_cells(F.array(*map(F.lit, header))).alias("record"))
     ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "n")
     ordered.select("file", "record").write.partitionBy("file").text(folder)
-    files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    with short_listing(rows.sparkSession):
+        files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     return files.withColumn("file", F.regexp_extract("path", "file=([^/]*)/", 1))
 
 

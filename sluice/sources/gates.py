@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.config import Limits
 from sluice.functions.cells import ascii_lower, extension, file_size, is_blank, limited, trim_cell
 from sluice.sources.records import csv_records
-from sluice.storage import settings, through_table
+from sluice.storage import settings, short_listing, through_table
 
 #: What stands before a reason, and the reasons below; fixed values.
 PREFIX = "The file is not processable: "
@@ -34,28 +35,42 @@ def _is_text(sample: bytes, cut: bool) -> bool:
 
 
 def _first_bytes(sample_bytes: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Verdict on the file that a task's rows begin; nothing is asked of them beyond its first bytes."""
+    """Verdicts on the files that a task's rows begin; nothing is asked of the last one beyond its first bytes, unless it is small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, size, path = [], 0, None
+        head, size, now = [], 0, None
+
+        def verdict() -> pa.RecordBatch:
+            whole = b"\n".join(head)
+            sample = whole[:sample_bytes]
+            return pa.RecordBatch.from_pydict({"path": [now], "has_nul": [b"\0" in sample], "bad_utf8": [not _is_text(sample, len(whole) > sample_bytes)]})
+
         for batch in batches:
-            # a task of this scan has one split, so these are rows of one file; only a split at its beginning counts
             if not batch.num_rows:
                 continue
-            if batch.column("block")[0].as_py():
+            small = batch.column("file_bytes")[0].as_py() <= SMALL_BYTES
+            # a task of large files has one split; only a split at its beginning counts
+            if not small and batch.column("block")[0].as_py():
                 return
-            path, small = batch.column("path")[0].as_py(), batch.column("file_bytes")[0].as_py() <= SMALL_BYTES
-            for value in batch.column("value") if size <= sample_bytes else []:
-                head.append(value.as_py())
-                size += len(head[-1]) + 1
-                if size > sample_bytes:
-                    break
+            ends = pc.run_end_encode(batch.column("path"))
+            first = 0
+            for path, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                if path != now:
+                    if now is not None:
+                        yield verdict()
+                    head, size, now = [], 0, None
+                if batch.column("block")[first].as_py() == 0:
+                    now = path
+                    i = first
+                    while i < end and size <= sample_bytes:
+                        head.append(batch.column("value")[i].as_py())
+                        size += len(head[-1]) + 1
+                        i += 1
+                first = end
             if size > sample_bytes and not small:
                 break
-        if path is not None:
-            whole = b"\n".join(head)
-            sample = whole[:sample_bytes]
-            yield pa.RecordBatch.from_pydict({"path": [path], "has_nul": [b"\0" in sample], "bad_utf8": [not _is_text(sample, len(whole) > sample_bytes)]})
+        if now is not None:
+            yield verdict()
 
     run.__name__ = name
     return run
@@ -64,17 +79,24 @@ def _first_bytes(sample_bytes: int, name: str) -> Callable[[Iterator[pa.RecordBa
 def sample_verdicts(spark: SparkSession, folder: str | list[str], sample_bytes: int = Limits().sample_bytes, wanted: Column | None = None) -> DataFrame:
     """path, has_nul, bad_utf8 of the first bytes of each file; ``wanted``: a condition on ``_metadata`` that files are picked by before any is opened.
 
-    Every split is a task of its own, which stops reading as soon as it knows: behind
-    the first bytes of a file, and at once where its split isn't the file's first. A file of ``SMALL_BYTES`` at
-    most is read to its end instead, as a task that stops early costs its worker. Written as a table.
+    Every split of a file of more than ``SMALL_BYTES`` is a task of its own, which stops reading as soon as it knows: behind
+    the first bytes of a file, and at once where its split isn't the file's first. Smaller files share tasks and are
+    read to their end, as a task that stops early costs its worker, and a worker for each costs more than the file. Written as tables.
     """
-    lines = spark.read.option("lineSep", "\n").text(folder, recursiveFileLookup=True)
+    with short_listing(spark):
+        lines = spark.read.option("lineSep", "\n").text(folder, recursiveFileLookup=True)
     lines = lines if wanted is None else lines.where(wanted)
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_size").alias("file_bytes"))
     most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def sampled(which: Column) -> DataFrame:
+        rows = lines.where(which).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_size").alias("file_bytes"))
+        return through_table(rows.mapInArrow(_first_bytes(sample_bytes, "first_bytes"), "path string, has_nul boolean, bad_utf8 boolean"))
+
+    size = F.col("_metadata.file_size")
+    few = sampled(size <= SMALL_BYTES)
     # no two splits share a task, and a batch is little more than what is asked for
     with settings(spark, {"spark.sql.files.openCostInBytes": most, "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
-        return through_table(rows.mapInArrow(_first_bytes(sample_bytes, "first_bytes"), "path string, has_nul boolean, bad_utf8 boolean"))
+        return few.unionByName(sampled(size > SMALL_BYTES))
 
 
 def file_gate(imports: DataFrame, files: DataFrame, samples: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -157,7 +179,8 @@ def gate_files(spark: SparkSession, imports: DataFrame, folder: str | list[str],
 
     Names and sizes come first; only files that pass these are sampled.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain_path(F.col("path")).alias("path"), "length")
+    with short_listing(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain_path(F.col("path")).alias("path"), "length")
     imports = imports.withColumn("path", plain_path(F.col("path")))
     size = F.col("_metadata.file_size")
     named = through_table(file_gate(imports, files, spark.createDataFrame([], "path string, has_nul boolean, bad_utf8 boolean"), limits))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions.cells import BODY, LEAD, is_blank, split_cells
-from sluice.storage import through_table
+from sluice.storage import short_listing, through_table
 
 #: What a line does to the two states: exit from a closed one (bit 0) and from quotes (bit 1), set where quotes are open.
 SHUT, SWAP, KEEP, OPEN = range(4)
@@ -44,7 +44,8 @@ PART_SCHEMA = "path string, block long, record_no long, n_bytes long, part binar
 
 def text_lines(spark: SparkSession, paths: str | list[str], wanted: Column | None = None) -> DataFrame:
     """path, block, line (rising inside a block), value, file_bytes of every line of the files; ``wanted``: a condition on ``_metadata`` that files are picked by."""
-    lines = spark.read.option("lineSep", "\n").text(paths, recursiveFileLookup=True)
+    with short_listing(spark):
+        lines = spark.read.option("lineSep", "\n").text(paths, recursiveFileLookup=True)
     lines = lines if wanted is None else lines.where(wanted)
     return lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),

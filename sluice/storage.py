@@ -50,6 +50,11 @@ def no_leftovers(spark: SparkSession):
     return settings(spark, {FILE_CLEANUP: "true"})
 
 
+def short_listing(spark: SparkSession):
+    """Folders that are listed inside are dealt to some tasks a core; Spark's own way is a task for each folder, up to 10,000."""
+    return settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism)})
+
+
 def through_table(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read again, so that several outputs share one computation."""
     spark = df.sparkSession
