@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from sluice.functions.rules import RuleSet, consent_rules, error_text, integer,
 from sluice.functions.status import is_terminal, status_label
 from sluice.operators import assemble, chunking, lifecycle, messages, validate, views
 from sluice.operators.search_index import NameIndex, last_place
-from sluice.plans.bulk_import import Imported, bulk_import
+from sluice.plans.bulk_import import FILE_KINDS, Imported, bulk_import
 from sluice.sources.gates import verdicts
 from sluice.sources.records import csv_records, without_blanks
-from sluice.storage import settings, short_listing, through_table, work_folder
+from sluice.storage import delete, no_leftovers, passing, settings, short_listing, through_table, work_folder
 from sluice.streaming.arrivals import table_stream, validate_stream
 from sluice.streaming.barrier import barrier_stream
 from sluice.streaming.counts import KeptCounts, counts_stream
@@ -282,7 +283,8 @@ def _as_files(rows: DataFrame, header: list[str], folder: str) -> DataFrame:
     """Writes rows (file, n, record) as one delimited file each, header first; returns path and file."""
     heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), c.join_cells(F.array(*map(F.lit, header))).alias("record"))
     ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "n")
-    ordered.select("file", "record").write.partitionBy("file").text(folder)
+    with no_leftovers(rows.sparkSession):
+        ordered.select("file", "record").write.partitionBy("file").text(folder)
     with short_listing(rows.sparkSession):
         files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     return files.withColumn("file", F.regexp_extract("path", "file=([^/]*)/", 1))
@@ -361,7 +363,7 @@ def consent_imports(files: DataFrame) -> DataFrame:
 
 
 def consent_import(spark: SparkSession, sf_dir: str, lost: bool = False) -> Imported:
-    """The whole import over files of consent records, one per file of documents."""
+    """The whole import over files of consent records, one per file of documents; they go once they are read."""
     folder = f"{work_folder(spark)}/imports"
     docs = table(spark, sf_dir, "documents")
     imports = consent_imports(_as_files(consent_rows(docs), [*consent_rules().columns, "doc_id"], folder))
@@ -369,7 +371,7 @@ def consent_import(spark: SparkSession, sf_dir: str, lost: bool = False) -> Impo
     if lost:
         most = docs.groupBy(import_file()).count().select(F.col("file").alias("import_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("count") / CONSENT_LIMITS.chunk_rows).cast("int"))).alias("chunk_seq"))
         given_up = most.where("chunk_seq % 3 = 2").withColumn("reason", F.lit("no attempt is left"))
-    return bulk_import(spark, imports, folder, consent_rules(CONSENT_LIMITS), CONSENT_LIMITS, given_up=given_up)
+    return bulk_import(spark, imports, folder, consent_rules(CONSENT_LIMITS), CONSENT_LIMITS, given_up=given_up, when_read=lambda: delete(spark, folder))
 
 
 @query(CONSENT_SQL + "select * from x")
@@ -405,15 +407,24 @@ select key, row_number() over (partition by key order by chunk_seq, row_in_chunk
 union all select key, 1, 'doc_id', case when contains(key, 'errors') then 'Errors' end from h"""
 )
 def documents_import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files of the imports, read back: chunks, rejected rows by chunk, results and merged errors, headers included."""
-    folder = f"{work_folder(spark)}/out"
-    consent_import(spark, sf_dir, lost=True).write(folder)
-    records = csv_records(spark, folder)
+    """All files of the imports, read back: chunks, rejected rows by chunk, results and merged errors, headers included.
+
+    Files of one kind are written and read back before those of the next, and go once they are read.
+    """
     key = F.regexp_extract("path", "(consent/import-.*)$", 1)
     errors = F.contains(key, F.lit("errors"))
     # rejected rows have chunk and row before their cells and the messages after them
-    doc = F.when(errors, F.try_element_at("cells", F.lit(9))).otherwise(F.try_element_at("cells", F.lit(7)))
-    return records.select(key.alias("key"), F.col("record_no").cast("long").alias("record_no"), doc.alias("doc_id"), F.when(errors, F.try_element_at("cells", F.lit(10))).alias("errors"))
+    doc = F.try_element_at("cells", F.when(errors, 9).otherwise(7))
+    asked = (key.alias("key"), F.col("record_no").cast("long").alias("record_no"), doc.alias("doc_id"), F.when(errors, F.try_element_at("cells", F.lit(10))).alias("errors"))
+    found = []
+    with passing(spark) as kept:
+        done = consent_import(spark, sf_dir, lost=True)
+        for kind in FILE_KINDS:
+            folder = work_folder(spark)
+            done.write(folder, (kind,))
+            found.append(csv_records(spark, folder, columns=asked))
+            delete(spark, folder)
+        return kept(reduce(DataFrame.unionByName, found))
 
 
 @query(CONSENT_SQL + STATE_SQL + "select key, status, valid_rows, invalid_rows, case when invalid_rows > 0 then replace(key, '/chunks/', '/errors/') end as error_object_key, failure_message from s")

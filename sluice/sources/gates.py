@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice.config import Limits
 from sluice.functions.cells import ascii_lower, extension, file_size, is_blank, limited, trim_cell
 from sluice.sources.records import csv_records
-from sluice.storage import settings, short_listing, through_table
+from sluice.storage import settings, shared_tasks, short_listing, through_table
 
 #: What stands before a reason, and the reasons below; fixed values.
 PREFIX = "The file is not processable: "
@@ -93,7 +93,8 @@ def sample_verdicts(spark: SparkSession, folder: str | list[str], sample_bytes:
         return through_table(rows.mapInArrow(_first_bytes(sample_bytes, "first_bytes"), "path string, has_nul boolean, bad_utf8 boolean"))
 
     size = F.col("_metadata.file_size")
-    few = sampled(size <= SMALL_BYTES)
+    with shared_tasks(spark):
+        few = sampled(size <= SMALL_BYTES)
     # no two splits share a task, and a batch is little more than what is asked for
     with settings(spark, {"spark.sql.files.openCostInBytes": most, "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
         return few.unionByName(sampled(size > SMALL_BYTES))
@@ -201,10 +202,9 @@ def passed(gated: DataFrame) -> Column:
 
 def verdicts(spark: SparkSession, imports: DataFrame, folder: str | list[str], required: tuple[str, ...], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """``imports`` (path, original_filename) with header, status (queued or failed) and failure_message, and the
-    records of the files that passed the gate (see ``csv_records``), which stands before any of them is decoded."""
+    records of the files that passed the gate (see ``csv_records``, without ``raw``), which stands before any of them is decoded."""
     gated, wanted = gate_files(spark, imports, folder, limits)
-    records = csv_records(spark, folder, limits.record_bytes, wanted)
-    records = records.withColumn("path", plain_path(F.col("path")))
+    records = csv_records(spark, folder, limits.record_bytes, wanted, (plain_path(F.col("path")).alias("path"), "record_no", "n_bytes", "cells"))
     names = imports.columns
     checked = content_gate(gated, records, required, limits)
     reason = F.coalesce("reason", "content_reason")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from sluice.storage import no_leftovers
+
 #: Stores where an object is there as a whole or not at all.
 WHOLE_OBJECTS = ("s3", "gcs", "abfs")
 RUNS = "_runs"
@@ -132,7 +134,8 @@ def write_keyed(lines: DataFrame, folder: str) -> str:
     """Writes ``lines`` (key, record; those of a key in one partition, in order) and returns the run that is committed."""
     spark, run = lines.sparkSession, uuid.uuid4().hex
     spark.dataSource.register(KeyedFiles)
-    lines.select("key", "record").write.format("sluice_files").option("folder", folder).option("run", run).mode("append").save()
+    with no_leftovers(spark):
+        lines.select("key", "record").write.format("sluice_files").option("folder", folder).option("run", run).mode("append").save()
     return run
 
 
@@ -149,4 +152,5 @@ def remove_others(keys: DataFrame, folder: str) -> None:
         return pa.table({"parent": [parent], "deleted": [len(others)]})
 
     parents = keys.select("key", F.regexp_extract("key", "^(.*)/[^/]*$", 1).alias("parent"))
-    parents.groupBy("parent").applyInArrow(clear, "parent string, deleted long").write.format("noop").mode("overwrite").save()
+    with no_leftovers(keys.sparkSession):
+        parents.groupBy("parent").applyInArrow(clear, "parent string, deleted long").write.format("noop").mode("overwrite").save()

@@ -16,7 +16,7 @@ the end of a split travels, as one part per split; no other line is ever shuffle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.functions.cells import BODY, LEAD, is_blank, split_cells
-from sluice.storage import short_listing, through_table
+from sluice.storage import shared_tasks, short_listing, through_table
 
 #: What a line does to the two states: exit from a closed one (bit 0) and from quotes (bit 1), set where quotes are open.
 SHUT, SWAP, KEEP, OPEN = range(4)
@@ -39,6 +39,9 @@ FROM_QUOTED = f'^{BODY}(?:"[^,]*+,(?:{_CELL},)*+{_OPENED})?+\\z'
 BROADCAST_SPLITS = 1 << 20
 
 SPLIT_SCHEMA = "file long, block long, from_closed byte, from_quoted byte, starts_closed long, starts_quoted long, n_bytes long"
+#: Columns of a record.
+RECORD = ("path", "record_no", "n_bytes", "raw", "cells")
+
 PART_SCHEMA = "path string, block long, record_no long, n_bytes long, part binary, whole boolean, unclosed boolean"
 
 
@@ -228,26 +231,32 @@ def record_parts(lines: DataFrame, entries: DataFrame, record_bytes: int) -> Dat
     return placed.select("file", "path", "block", "map", "value", "entered", "done", tail.alias("tail")).mapInArrow(_records(record_bytes), PART_SCHEMA)
 
 
-def csv_records(spark: SparkSession, paths: str | list[str], record_bytes: int = 1 << 31, wanted: Column | None = None) -> DataFrame:
+def csv_records(
+    spark: SparkSession, paths: str | list[str], record_bytes: int = 1 << 31, wanted: Column | None = None, columns: Sequence[str | Column] = RECORD,
+) -> DataFrame:
     """path, record_no (the header is 1, blank ones count), n_bytes, raw, cells; a written table. wanted: see ``text_lines``.
 
+    ``columns``: some of these or expressions on them; nothing else of a record is written but where it goes over the end of a split.
     A record of more than ``record_bytes`` (a quote that is never closed takes the rest of
     its file) has its number and size, but neither text nor cells: it is never put together.
     The text of a file's last record, if its quotes are still open, keeps the file's last line end.
     """
     lines = text_lines(spark, paths, wanted).withColumn("file", F.xxhash64("path"))
-    parts = record_parts(lines, through_table(split_entries(lines)), record_bytes)
     # the line end may be \r\n; inside quotes it stays as it is
     text = lambda c: F.when(F.col("unclosed"), c.cast("string")).otherwise(F.regexp_replace(c.cast("string"), "\r\\z", ""))
-    parts = parts.withColumn("raw", F.when(F.col("whole"), text(F.col("part")))).withColumn("cells", split_cells(F.col("raw"))).withColumn("part", F.when(~F.col("whole"), F.col("part")))
-    parts = through_table(parts)
-    whole = parts.where("whole").select("path", "record_no", "n_bytes", "raw", "cells")
+    only = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
+    with shared_tasks(spark):  # both passes see the same splits
+        parts = record_parts(lines, through_table(split_entries(lines)), record_bytes)
+        parts = parts.withColumn("raw", F.when(F.col("whole"), text(F.col("part")))).withColumn("cells", split_cells(F.col("raw")))
+        parts = parts.select("whole", F.when(F.col("whole"), F.struct(*columns)).alias("record"), *map(only, ("path", "block", "record_no", "n_bytes", "part", "unclosed")))
+        parts = through_table(parts, small=True)
+    whole = parts.where("whole").select("record.*")
     split = parts.where("not whole").groupBy("path", "record_no").agg(
         F.sum("n_bytes").alias("n_bytes"), F.max("unclosed").alias("unclosed"), F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("block", "part")))).alias("parts"), F.count("*").alias("n")
     )
     fits = (F.col("n_bytes") <= record_bytes) & (F.size("parts") == F.col("n"))
     joined = F.aggregate("parts", F.lit(None).cast("binary"), lambda out, p: F.when(out.isNull(), p["part"]).otherwise(F.concat(out, F.lit(b"\n"), p["part"])))
-    split = split.withColumn("raw", F.when(fits, text(joined))).select("path", "record_no", "n_bytes", "raw", split_cells(F.col("raw")).alias("cells"))
+    split = split.withColumn("raw", F.when(fits, text(joined))).withColumn("cells", split_cells(F.col("raw"))).select(*columns)
     return whole.unionByName(split)
 
 

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark's own removal of an execution's shuffle files at its end.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Folders handed out inside ``settled``.
+#: Bytes that are decoded in the time that opening a file takes.
+OPEN_COST = 128 * 1024
+
+#: Folders handed out inside ``passing``.
 _FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
 
 
@@ -55,12 +58,17 @@ def short_listing(spark: SparkSession):
     return settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism)})
 
 
-def through_table(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet and read again, so that several outputs share one computation."""
+def shared_tasks(spark: SparkSession):
+    """Small files that are read inside share tasks by their bytes; Spark's own way counts each as 4 MB at least, which decoding takes much longer for than opening a file."""
+    return settings(spark, {"spark.sql.files.openCostInBytes": str(OPEN_COST)})
+
+
+def through_table(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read again, so that several outputs share one computation; ``small``: for whole texts, with a codec that takes less disk."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}"
     with no_leftovers(spark):
-        df.write.parquet(path)
+        (df.write.option("compression", "zstd") if small else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,19 +79,35 @@ def delete(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "result") -> DataFrame:
-    """``make()`` as a written table; all tables that steps wrote on the way to it are deleted, if it fails as well.
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """All folders that steps inside take are deleted at its end, if it fails as well, but for tables written by the
+    function that it gives, a ``through_table`` whose tables stay.
 
-    Calls may stand inside one another: the table of an inner one is a step of the outer one.
+    Calls may stand inside one another: what stays of an inner one is a step of the outer one.
     """
-    outer, own = _FOLDERS.get(), []
-    inside, kept = _FOLDERS.set(own), []
+    outer, own, stay = _FOLDERS.get(), [], []
+
+    def kept(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
+        out = through_table(df, name, small)
+        stay.append(_FOLDERS.get().pop())
+        return out
+
+    inside = _FOLDERS.set(own)
     try:
-        out = through_table(make(), name)
-        kept = [own.pop()]
+        yield kept
+    except BaseException:
+        own.extend(stay)
+        stay.clear()
+        raise
     finally:
         _FOLDERS.reset(inside)
         delete(spark, *own)
         if outer is not None:
-            outer.extend(kept)
-    return out
+            outer.extend(stay)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """``make()`` as a written table; all tables that steps wrote on the way to it are deleted, if it fails as well."""
+    with passing(spark) as kept:
+        return kept(make(), name)
